@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglode.functions.text import byte_lines, explode_lines, indent_width, lstrip, rstrip, strip
-from loglode.operators.slices import MODULE_CONTEXT_LINES, line_slices
-from loglode.plans.bounds import broadcast_if_small
+from loglode.operators.slices import MODULE_CONTEXT_LINES, files_with_hits, line_slices
 
 # Header patterns, decorator and comment marks, and the note.
 DEF_HEADER = r"^\s*(async\s+def|def)\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
@@ -149,8 +148,7 @@ def enclose(
     """
     key = list(key)
     places = hits.select(*key, "line_no").distinct()
-    src = files.select(*key, "text").join(broadcast_if_small(places.select(*key).distinct()), key, "left_semi")
-    blocks = block_bounds(src, key).filter("enclosure_type is not null")
+    blocks = block_bounds(files, key).filter("enclosure_type is not null")
     block = F.struct(*BLOCK_FIELDS)
     levels = blocks.groupBy(*key).agg(F.collect_set("header_indent").alias("levels"))
     heads = blocks.select(
@@ -293,7 +291,7 @@ def doc_and_comments(files: DataFrame, blocks: DataFrame, key: Sequence[str] = (
     key = list(key)
     heads = blocks.filter("def_line_no is not null").select(*key, "def_line_no", "end_line", "header_indent").distinct()
     per_file = heads.groupBy(*key).agg(F.collect_list(F.struct("def_line_no", "end_line", "header_indent")).alias("heads"))
-    src = files.select(*key, "text").join(broadcast_if_small(per_file), key)
+    src = files.select(*key, "text").join(per_file, key)
     src = src.withColumn("_lines", byte_lines(F.col("text")))
 
     def surround(h: Column) -> Column:
@@ -317,7 +315,8 @@ def doc_and_comments(files: DataFrame, blocks: DataFrame, key: Sequence[str] = (
 
 
 def enrich_matches(files: DataFrame, hits: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
-    """Enclosing block, docstring and leading comment of every hit."""
-    enclosed = enclose(files, hits, key)
-    docs = doc_and_comments(files, enclosed, key)
+    """Enclosing block, docstring and leading comment of every (persisted) hit."""
+    held = files_with_hits(files, hits, key)
+    enclosed = enclose(held, hits, key)
+    docs = doc_and_comments(held, enclosed, key)
     return enclosed.join(docs, [*key, "def_line_no"], "left")
