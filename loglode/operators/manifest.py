@@ -20,11 +20,11 @@ STATUS_ORDER = ["only_in_a", "only_in_b", "different", "identical"]
 def manifest_entries(listing: DataFrame, key: Sequence[str] = ("machine",)) -> DataFrame:
     """Entries of a listing (path, type, length, content, link_target, error).
 
-    Files get size and SHA-256, links their target, directories neither. The content
+    Links to directories are no entries. Files get size and SHA-256, links their target, directories neither. The content
     column is read by the hash only, so it never leaves the scan stage.
     """
     is_file = F.col("type") == "file"
-    return listing.select(
+    return listing.filter(F.col("type").isin("file", "dir", "symlink")).select(
         *key,
         F.translate("path", "\\", "/").alias("path"),
         "type",
