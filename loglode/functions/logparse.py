@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglode.functions.text import collapse, split_lines, strip, words
+from loglode.functions.text import collapse, settle, split_lines, strip, words
 
 # Fixed values of the log format.
 ERROR_MARK = "<E>"
@@ -23,6 +23,10 @@ KEY_INTEGER = r"\b\d{4,}\b"
 KEY_NUMBER = "<NUM>"
 KEY_TOKEN_BREAK = "[^a-z0-9]+"
 KEY_TOKEN_MIN = 3
+PARSED_COLUMNS = [
+    "timestamp", "host_or_serial", "process", "level", "thread", "component", "message",
+    "key_exact", "key_normalized", "tokens", "search_message",
+]
 
 
 def relevant_line(block: Column) -> Column:
@@ -43,54 +47,58 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def parse_columns(line: Column) -> dict[str, Column]:
-    """The seven fields of a log line, as independent column expressions."""
-    tok = words(line)
-    has_ts = F.coalesce(F.get(tok, 0).rlike(TIMESTAMP_WORD), F.lit(False))
-    second, third = F.get(tok, 1), F.get(tok, 2)
+def _without_first(c: Column, split: str) -> Column:
+    """One space instead of the first marker; unchanged where there is none."""
+    return F.trim(F.regexp_replace(c, split, "$1 $2"))
+
+
+def parsed_fields(df: DataFrame, line: str) -> DataFrame:
+    """Add the seven fields of a log line.
+
+    Built in steps, each on the columns of the one before, so that no expression is
+    repeated in the plan; all of it is one generated stage.
+    """
+    tok, c = F.col("_tok"), F.col
     colon = F.lit(":")
-    proc_after_host = has_ts & F.coalesce(F.endswith(third, colon), F.lit(False))
-    bare_proc = ~has_ts & F.coalesce(F.endswith(second, colon), F.lit(False))
-    used = (
-        F.when(proc_after_host, 3)
-        .when(has_ts & second.isNotNull(), 2)
-        .when(has_ts, 1)
-        .when(bare_proc, 2)
-        .otherwise(0)
+    out = df.withColumn("_tok", words(c(line)))
+    out = out.withColumns(
+        {
+            "_dated": F.coalesce(F.get(tok, 0).rlike(TIMESTAMP_WORD), F.lit(False)),
+            "_second_ends": F.coalesce(F.endswith(F.get(tok, 1), colon), F.lit(False)),
+            "_third_ends": F.coalesce(F.endswith(F.get(tok, 2), colon), F.lit(False)),
+        }
     )
-    rest = F.array_join(F.slice(tok, used + 1, F.greatest(F.size(tok) - used, F.lit(0))), " ")
-
-    def cut(c: Column, pattern: str) -> Column:
-        return F.when(
-            c.rlike(pattern),
-            F.trim(F.concat_ws(" ", F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2))),
-        ).otherwise(c)
-
-    level = F.regexp_extract(rest, LEVEL, 1)
-    no_level = cut(rest, LEVEL_SPLIT)
-    thread = strip(F.regexp_extract(no_level, THREAD, 1))
-    body = collapse(cut(no_level, THREAD_SPLIT))
-    at = F.instr(body, ":")
-    right = F.trim(F.substring(body, at + 1, F.length(body)))
-    message = (
-        F.when(at > 0, F.when(right != "", right).otherwise(body))
-        .when(body != "", body)
-        .otherwise(strip(line))
+    dated, bare = c("_dated"), ~c("_dated") & c("_second_ends")
+    used = F.when(dated & c("_third_ends"), 3).when(dated | bare, 2).otherwise(0)
+    drop_colon = lambda x: F.substring(x, F.lit(1), F.length(x) - 1)
+    out = out.withColumns(
+        {
+            "timestamp": F.when(dated, F.get(tok, 0)),
+            "host_or_serial": F.when(dated, F.get(tok, 1)).when(bare, F.get(tok, 0)),
+            "process": F.when(dated & c("_third_ends"), drop_colon(F.get(tok, 2))).when(bare, drop_colon(F.get(tok, 1))),
+            "_rest": F.array_join(F.slice(tok, used + 1, F.size(tok)), " "),
+        }
+    )
+    out = out.withColumns(
+        {"level": _blank_to_null(F.regexp_extract("_rest", LEVEL, 1)), "_rest": _without_first(c("_rest"), LEVEL_SPLIT)}
+    )
+    out = out.withColumns(
+        {
+            "thread": _blank_to_null(strip(F.regexp_extract("_rest", THREAD, 1))),
+            "_rest": collapse(_without_first(c("_rest"), THREAD_SPLIT)),
+        }
+    )
+    out = out.withColumn("_at", F.instr("_rest", ":"))
+    out = out.withColumns(
+        {
+            "component": F.when(c("_at") > 0, _blank_to_null(F.trim(F.substring(c("_rest"), F.lit(1), c("_at") - 1)))),
+            "_right": F.when(c("_at") > 0, _blank_to_null(F.trim(F.substring(c("_rest"), c("_at") + 1, F.length("_rest"))))),
+        }
+    )
+    message = F.coalesce("_right", _blank_to_null(c("_rest")), strip(c(line)), F.lit(""))
+    return out.withColumn("message", message).drop(
+        "_tok", "_dated", "_second_ends", "_third_ends", "_rest", "_at", "_right"
     )
-    cut_colon = lambda c: F.substring(c, F.lit(1), F.length(c) - 1)
-    return {
-        "timestamp": F.when(has_ts, F.get(tok, 0)),
-        "host_or_serial": F.when(has_ts, second).when(bare_proc, F.get(tok, 0)),
-        "process": F.when(proc_after_host, cut_colon(third)).when(bare_proc, cut_colon(second)),
-        "level": _blank_to_null(level),
-        "thread": _blank_to_null(thread),
-        "component": F.when(at > 0, _blank_to_null(F.trim(F.substring(body, F.lit(1), at - 1)))),
-        "message": F.coalesce(message, F.lit("")),
-    }
-
-
-def parse_line(line: Column) -> Column:
-    return F.struct(*[c.alias(name) for name, c in parse_columns(line).items()])
 
 
 def event_time(timestamp: Column) -> Column:
@@ -128,7 +136,11 @@ def normalize_query(message: Column) -> Column:
 
 def with_parsed(df: DataFrame, line: str, normalize_numbers: bool = False) -> DataFrame:
     """Add the parsed fields, the search keys and the search message of a line column."""
-    parsed = df.withColumns(parse_columns(F.col(line)))
+    return settle(build_columns(parsed_fields(df, line), normalize_numbers), *PARSED_COLUMNS)
+
+
+def build_columns(parsed: DataFrame, normalize_numbers: bool = False) -> DataFrame:
+    """Add the keys, tokens and search message of ``component`` and ``message``."""
     keyed = parsed.withColumn("key_exact", key_exact(F.col("component"), F.col("message")))
     keyed = keyed.withColumn("key_normalized", key_normalized(F.col("key_exact"), normalize_numbers))
     return keyed.withColumns(
@@ -141,5 +153,5 @@ def with_parsed(df: DataFrame, line: str, normalize_numbers: bool = False) -> Da
 
 def analyze_blocks(blocks: DataFrame, text: str = "text", normalize_numbers: bool = False) -> DataFrame:
     """End-to-end analysis of pasted blocks: choose the line, parse it, build its keys."""
-    chosen = blocks.withColumn("selected_line", relevant_line(F.col(text)))
+    chosen = settle(blocks.withColumn("selected_line", relevant_line(F.col(text))), "selected_line")
     return with_parsed(chosen, "selected_line", normalize_numbers)

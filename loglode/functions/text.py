@@ -78,3 +78,14 @@ def indent_width(line: Column) -> Column:
     """Leading spaces count one, leading tabs four."""
     lead = F.regexp_extract(line, r"^([ \t]*)", 1)
     return F.length(lead) + 3 * F.length(F.regexp_replace(lead, " ", ""))
+
+
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Let later filters on computed columns stay above their computation.
+
+    The optimizer would move such a filter below every step and copy the whole chain
+    of expressions into it; it does not look through a one-row generator.
+    """
+    rest = [c for c in df.columns if c not in names]
+    one = F.explode(F.array(F.struct(*names))).alias("_settled")
+    return df.select(*rest, one).select(*rest, "_settled.*")

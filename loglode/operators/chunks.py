@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loglode.functions.levels import index_level, looks_like_error
 from loglode.functions.text import collapse, split_lines, strip
-from loglode.operators.enclosure import INDEX_COMMENT_WINDOW, comment_columns
+from loglode.operators.enclosure import INDEX_COMMENT_WINDOW, with_comment
 from loglode.operators.syntax import RAISE, with_facts
 
 # How far a signature may run, and the length of a chunk id.
@@ -91,8 +91,10 @@ def function_chunks(files: DataFrame, key: Sequence[str] = ("path",), deep: bool
         )
 
     rows = src.select(*key, F.explode(F.transform(wanted, chunk)).alias("c")).select(*key, "c.*")
-    comment = comment_columns(F.col("above"), F.col("line_start"), INDEX_COMMENT_WINDOW, skip_decorators=False)
-    rows = rows.withColumn("leading_comment", comment["leading_comment_block"]).drop("above")
+    rows = with_comment(rows, "line_start", INDEX_COMMENT_WINDOW, skip_decorators=False)
+    rows = rows.withColumnRenamed("leading_comment_block", "leading_comment").drop(
+        "above", "leading_comment_start_line", "leading_comment_end_line"
+    )
     rows = rows.withColumn(
         "log_levels", F.array_sort(F.array_distinct(F.transform("error_messages", lambda e: e["log_level"])))
     )

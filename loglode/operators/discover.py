@@ -31,7 +31,9 @@ def code_roots(
     rel, name = F.col("path"), P.basename(F.col("path"))
     in_git = F.regexp_extract(rel, r"^(?:(.*?)/)?\.git/", 1)
     has_git_part = rel.rlike(r"(^|/)\.git/")
-    is_file = (F.col("type") == "file") & ~has_git_part
+    # A link to a file counts as one; the listing gives it the length of its target.
+    linked = (F.col("type") == "symlink") & F.col("length").isNotNull() if "length" in listing.columns else F.lit(False)
+    is_file = ((F.col("type") == "file") | linked) & ~has_git_part
     git = has_git_part | ((F.col("type") == "dir") & (name == P.GIT_DIR))
     marker = F.when(is_file & name.isin(P.MARKER_FILES), name).when(git, F.lit(P.GIT_DIR))
     rows = listing.select(

@@ -211,36 +211,44 @@ def _first(items: Column, test) -> Column:
     return F.coalesce(F.array_position(F.transform(items, test), F.lit(True)), F.lit(0)).cast("int")
 
 
-def docstring_columns(below: Column, def_line: Column, header_indent: Column) -> dict[str, Column]:
-    """Docstring of a block from the lines under its header (at most 16 KiB)."""
-    at = _first(below, lambda x: ~lstrip(x).rlike(r"^(#|\z)"))
-    line = F.get(below, at - 1)
-    bare = lstrip(line)
-    mark = F.substring(bare, 1, 3)
-    opens = (at > 0) & (indent_width(line) > header_indent) & mark.isin('"""', "'''")
-    single = F.substring(bare, F.lit(4), F.length(bare) - 6)
-    one_line = F.endswith(bare, mark) & (F.length(bare) > 6) & (F.length(single) <= DOCSTRING_CAP)
-    rest = F.slice(below, at + 1, F.size(below))
-    close = _first(rest, lambda x: F.contains(x, mark))
-    closing = F.get(rest, close - 1)
-    head = F.substring(bare, F.lit(4), F.length(bare))
-    body = F.slice(rest, F.lit(1), F.greatest(close - 1, F.lit(0)))
-    size = F.aggregate(body, F.length(head), lambda acc, x: acc + F.length(x))
-    tail = F.substring(closing, F.lit(1), F.instr(closing, mark) - 1)
-    joined = strip(F.concat_ws("\n", F.array(head), body, F.when(tail != "", F.array(tail))))
-    multi = (close > 0) & (size <= DOCSTRING_CAP) & (joined != "")
-    found = opens & (one_line | multi)
-    return {
-        "docstring_text": F.when(opens & one_line, single).when(found, joined),
-        "docstring_start_line": F.when(found, def_line + at),
-        "docstring_end_line": F.when(found, def_line + at + F.when(one_line, 0).otherwise(close)),
-    }
-
-
-def comment_columns(
-    above: Column, def_line: Column, window: int = LIVE_COMMENT_WINDOW, skip_decorators: bool = True
-) -> dict[str, Column]:
-    """Comment block above a header; ``above`` holds the lines upwards from it.
+def with_docstring(blocks: DataFrame) -> DataFrame:
+    """Docstring (at most 16 KiB) of blocks from ``below``, the lines under their header."""
+    c = F.col
+    out = blocks.withColumn("_at", _first(c("below"), lambda x: ~lstrip(x).rlike(r"^(#|\z)")))
+    out = out.withColumn("_line", F.get("below", c("_at") - 1)).withColumn("_bare", lstrip(c("_line")))
+    mark = F.substring("_bare", 1, 3)
+    opens = (c("_at") > 0) & (indent_width(c("_line")) > c("header_indent")) & mark.isin('"""', "'''")
+    out = out.withColumn("_mark", F.when(opens, mark))
+    single = F.substring(c("_bare"), F.lit(4), F.length("_bare") - 6)
+    one_line = F.endswith("_bare", "_mark") & (F.length("_bare") > 6) & (F.length("_bare") <= DOCSTRING_CAP + 6)
+    rest = F.when(c("_mark").isNotNull(), F.slice(c("below"), c("_at") + 1, F.size("below")))
+    out = out.withColumns({"_single": F.when(one_line, single), "_rest": rest})
+    out = out.withColumn("_close", _first(c("_rest"), lambda x: F.contains(x, c("_mark"))))
+    closing = F.get("_rest", c("_close") - 1)
+    head = F.substring(c("_bare"), F.lit(4), F.length("_bare"))
+    out = out.withColumns(
+        {
+            "_head": head,
+            "_body": F.slice(c("_rest"), F.lit(1), F.greatest(c("_close") - 1, F.lit(0))),
+            "_tail": F.substring(closing, F.lit(1), F.instr(closing, c("_mark")) - 1),
+        }
+    )
+    size = F.aggregate("_body", F.length("_head"), lambda acc, x: acc + F.length(x))
+    joined = strip(F.concat_ws("\n", F.array("_head"), "_body", F.when(c("_tail") != "", F.array("_tail"))))
+    out = out.withColumn("_joined", F.when((c("_close") > 0) & (size <= DOCSTRING_CAP), joined))
+    text = F.coalesce("_single", F.when(c("_joined") != "", c("_joined")))
+    out = out.withColumn("docstring_text", text)
+    first = F.when(c("docstring_text").isNotNull(), c("def_line_no") + c("_at"))
+    length = F.when(c("_single").isNotNull(), 0).otherwise(c("_close"))
+    return out.withColumns({"docstring_start_line": first, "docstring_end_line": first + length}).drop(
+        "_at", "_line", "_bare", "_mark", "_single", "_rest", "_close", "_head", "_body", "_tail", "_joined"
+    )
+
+
+def with_comment(
+    blocks: DataFrame, def_line: str, window: int = LIVE_COMMENT_WINDOW, skip_decorators: bool = True
+) -> DataFrame:
+    """Comment block above headers; ``above`` holds the lines upwards from each one.
 
     Each line becomes one letter, and the lines to walk are the longest prefix with
     at most one blank between marked lines. A ``#`` line or one-line quote stands for
@@ -252,38 +260,57 @@ def comment_columns(
         bare = lstrip(x)
         return (
             F.when(bare == "", "B")
-            .when(is_decorator(x), "D")
+            .when(F.startswith(bare, F.lit("@")), "D")
             .when(F.startswith(bare, F.lit("#")), "C")
             .when(F.substring(bare, 1, 3).isin('"""', "'''"), "Q")
             .otherwise("X")
         )
 
-    letters = F.array_join(F.transform(F.slice(above, 1, window), letter), "")
-    walk = F.regexp_extract(letters, "^(?:B?[DCQ])*" if skip_decorators else "^(?:B?[CQ])*", 0)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(walk), F.lit(1))), lambda i: F.substring(walk, i, F.lit(1)).isin("C", "Q"))
-
-    def piece(i: Column) -> Column:
-        line = F.get(above, i - 1)
-        bare = lstrip(line)
-        mark = F.substring(bare, 1, 3)
-        further = F.slice(above, i + 1, window - 1)
-        hit = _first(further, lambda x: F.contains(x, mark) & (~is_decorator(x) if skip_decorators else F.lit(True)))
-        single = F.startswith(bare, F.lit("#")) | (F.endswith(bare, mark) & (F.length(bare) > 6))
-        span = F.when(single, 1).when(hit > 0, hit + 1).otherwise(F.size(further) + 1)
-        taken = F.reverse(F.slice(above, i, span))
-        if skip_decorators:
-            taken = F.filter(taken, lambda x: ~is_decorator(x))
-        reach = F.when(~single & (hit == 0), 1).otherwise(span) if skip_decorators else span
-        return F.struct(taken.alias("lines"), (def_line - i).alias("last"), (def_line - i - reach + 1).alias("first"))
-
-    pieces = F.transform(places, piece)
-    return {
-        "leading_comment_block": F.when(
-            F.size(places) > 0, F.array_join(F.flatten(F.transform(F.reverse(pieces), lambda p: p["lines"])), "\n")
-        ),
-        "leading_comment_start_line": F.get(pieces, F.size(pieces) - 1)["first"],
-        "leading_comment_end_line": F.get(pieces, 0)["last"],
-    }
+    above = F.col("above")
+    out = blocks.withColumn("_letters", F.array_join(F.transform(F.slice(above, 1, window), letter), ""))
+    walk = "^(?:B?[DCQ])*" if skip_decorators else "^(?:B?[CQ])*"
+    out = out.withColumn("_walk", F.split(F.regexp_extract("_letters", walk, 0), ""))
+    marked = F.filter(F.transform("_walk", lambda x, i: F.when(x.isin("C", "Q"), i + 1)), lambda i: i.isNotNull())
+    # The header line counts from the end of the file part above it.
+    ends = F.transform(marked, lambda i: F.struct(i.alias("i"), F.get(above, i - 1).alias("line")))
+    marks = F.transform(
+        ends, lambda p: F.struct(p["i"].alias("i"), p["line"].alias("line"), lstrip(p["line"]).alias("bare"))
+    )
+    out = out.withColumn("_marks", marks)
+
+    def reach(p: Column) -> Column:
+        mark = F.substring(p["bare"], 1, 3)
+        further = F.slice(above, p["i"] + 1, window - 1)
+        closes = lambda x: F.contains(x, mark) & (~is_decorator(x) if skip_decorators else F.lit(True))
+        single = F.startswith(p["bare"], F.lit("#")) | (F.endswith(p["bare"], mark) & (F.length(p["bare"]) > 6))
+        return F.struct(
+            p["i"].alias("i"),
+            single.alias("single"),
+            F.when(single, 0).otherwise(_first(further, closes)).alias("hit"),
+            F.when(single, 0).otherwise(F.size(further)).alias("further"),
+        )
+
+    out = out.withColumn("_reach", F.transform("_marks", reach))
+
+    def piece(p: Column) -> Column:
+        span = F.when(p["hit"] > 0, p["hit"] + 1).otherwise(p["further"] + 1)
+        lines = F.reverse(F.slice(above, p["i"], span))
+        known = F.when(p["hit"] > 0, span).otherwise(1) if skip_decorators else span
+        return F.struct(
+            (F.filter(lines, lambda x: ~is_decorator(x)) if skip_decorators else lines).alias("lines"),
+            (F.col(def_line) - p["i"]).alias("last"),
+            (F.col(def_line) - p["i"] - known + 1).alias("first"),
+        )
+
+    out = out.withColumn("_pieces", F.transform("_reach", piece))
+    text = F.array_join(F.flatten(F.transform(F.reverse("_pieces"), lambda p: p["lines"])), "\n")
+    return out.withColumns(
+        {
+            "leading_comment_block": F.when(F.size("_pieces") > 0, text),
+            "leading_comment_start_line": F.get("_pieces", F.size("_pieces") - 1)["first"],
+            "leading_comment_end_line": F.get("_pieces", 0)["last"],
+        }
+    ).drop("_letters", "_walk", "_marks", "_reach", "_pieces")
 
 
 def doc_and_comments(files: DataFrame, blocks: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
@@ -305,13 +332,7 @@ def doc_and_comments(files: DataFrame, blocks: DataFrame, key: Sequence[str] = (
         )
 
     rows = src.select(*key, F.explode(F.transform("heads", surround)).alias("s")).select(*key, "s.*")
-    d = F.col("def_line_no")
-    return rows.select(
-        *key,
-        "def_line_no",
-        *[c.alias(n) for n, c in docstring_columns(F.col("below"), d, F.col("header_indent")).items()],
-        *[c.alias(n) for n, c in comment_columns(F.col("above"), d).items()],
-    )
+    return with_comment(with_docstring(rows), "def_line_no").drop("above", "below", "header_indent")
 
 
 def enrich_matches(files: DataFrame, hits: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
