@@ -75,41 +75,51 @@ def phrase_score(query: Column, tokens: Column, text: Column) -> Column:
     """Phrase hit 1.0; else token share and order of neighbouring tokens.
 
     All three columns are lower case; ``tokens`` are the significant tokens of ``query``.
+    The place of each token is looked up once, then bound as a lambda variable.
     """
-    n = F.size(tokens)
-    ratio = F.size(F.filter(tokens, lambda t: F.contains(text, t))) / n
-
-    def in_order(i: Column) -> Column:
-        first, second = F.get(tokens, i), F.get(tokens, i + 1)
-        at = F.instr(text, first)
-        later = F.call_function("locate", second, text, at)
-        return (at > 0) & (later > at)
-
-    pairs = F.when(
-        n >= 2, F.size(F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), in_order)) / (n - 1)
-    ).otherwise(0.0)
-    return (
-        F.when(text.isNull() | query.isNull(), 0.0)
-        .when(F.contains(text, query), 1.0)
-        .when(n == 0, 0.0)
-        .when(ratio < PHRASE_MIN_RATIO, 0.0)
-        .otherwise(PHRASE_TOKEN_WEIGHT * ratio + PHRASE_ORDER_WEIGHT * pairs)
-    )
+
+    def from_places(places: Column) -> Column:
+        n = F.size(places)
+        ratio = F.size(F.filter(places, lambda p: p > 0)) / n
+
+        def in_order(p: Column, i: Column) -> Column:
+            later = F.call_function("locate", F.get(tokens, i + 1), text, p)
+            return F.when((p > 0) & (i < n - 1), F.when(later > p, 1).otherwise(0)).otherwise(0)
+
+        pairs = F.aggregate(F.transform(places, in_order), F.lit(0), lambda acc, x: acc + x)
+        order = F.when(n >= 2, pairs / (n - 1)).otherwise(0.0)
+        return F.transform(
+            F.array(F.when(n > 0, ratio).otherwise(0.0)),
+            lambda r: F.when(r < PHRASE_MIN_RATIO, 0.0).otherwise(PHRASE_TOKEN_WEIGHT * r + PHRASE_ORDER_WEIGHT * order),
+        )
+
+    places = F.transform(tokens, lambda t: F.instr(text, t))
+    scored = F.get(F.flatten(F.transform(F.array(places), from_places)), 0)
+    return F.when(text.isNull() | query.isNull(), 0.0).when(F.contains(text, query), 1.0).otherwise(scored)
 
 
 def match_excerpt(query: Column, tokens: Column, text: Column, context: int = EXCERPT_CONTEXT) -> Column:
-    """Text around the phrase, else around the first significant token, else empty."""
+    """Text around the phrase, else around the first significant token, else empty.
+
+    Tries both in turn and takes the first that occurs; each try is bound once as a
+    lambda variable (place, length), as its parts are used several times.
+    """
     low = F.lower(text)
-    phrase_at = F.instr(low, F.lower(query))
-    token = F.get(tokens, 0)
-    token_at = F.coalesce(F.instr(low, token), F.lit(0))
-    at = F.when(phrase_at > 0, phrase_at).otherwise(token_at)
-    width = F.when(phrase_at > 0, F.length(query)).otherwise(F.length(token))
-    start = F.greatest(at - context, F.lit(1))
-    end = F.least(at - 1 + width + context, F.length(text))
-    cut = F.concat(
-        F.when(start > 1, "...").otherwise(""),
-        F.substring(text, start, end - start + 1),
-        F.when(end < F.length(text), "...").otherwise(""),
-    )
-    return F.when(at > 0, strip(cut)).otherwise("")
+
+    def spot(wanted: Column) -> Column:
+        return F.struct(F.coalesce(F.instr(low, wanted), F.lit(0)).alias("at"), F.length(wanted).alias("width"))
+
+    def cut(p: Column) -> Column:
+        start = F.greatest(p["at"] - context, F.lit(1))
+        end = F.least(p["at"] - 1 + p["width"] + context, F.length(text))
+        return strip(
+            F.concat(
+                F.when(start > 1, "...").otherwise(""),
+                F.substring(text, start, end - start + 1),
+                F.when(end < F.length(text), "...").otherwise(""),
+            )
+        )
+
+    tries = F.array(spot(F.lower(query)), spot(F.get(tokens, 0)))
+    found = F.slice(F.filter(tries, lambda p: p["at"] > 0), 1, 1)
+    return F.coalesce(F.get(F.transform(found, cut), 0), F.lit(""))

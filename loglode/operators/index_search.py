@@ -15,9 +15,10 @@ from loglode.functions.scoring import (
     phrase_score,
     significant_tokens,
 )
-from loglode.functions.text import shorten
+from loglode.functions.text import settle, shorten
 from loglode.operators.substring_join import substring_join
 from loglode.plans.bounds import broadcast_if_small, measure
+from loglode.session import cut_lineage
 
 # Result limits, weights, thresholds, names.
 TOP_KEYS = 25
@@ -37,8 +38,8 @@ GROUP_COLUMNS = ["query_id", "match_type", "error_key", "score", "matched_text",
 
 def prepare_queries(queries: DataFrame, message: str = "message") -> DataFrame:
     """Queries with their normalised form and significant tokens; empty ones find nothing."""
-    norm = queries.withColumn("norm", normalize_query(F.col(message)))
-    return norm.withColumn("sig", significant_tokens(F.col("norm"))).filter(F.length(message) > 0)
+    norm = queries.filter(F.length(message) > 0).withColumn("norm", normalize_query(F.col(message)))
+    return settle(norm.withColumn("sig", significant_tokens(F.col("norm"))), "norm", "sig")
 
 
 def _order() -> Column:
@@ -117,7 +118,8 @@ def partial_groups(
     shown = groups.join(broadcast_if_small(queries.select("query_id", "message", "sig")), "query_id").join(
         code, [*index, "first_chunk_id"]
     )
-    excerpt = match_excerpt(F.col("message"), F.col("sig"), F.col("code"))
+    shown = shown.withColumn("excerpt", match_excerpt(F.col("message"), F.col("sig"), F.col("code")))
+    excerpt = F.col("excerpt")
     longer = F.length(excerpt) > F.length("error_key")
     return shown.select(
         "query_id",
@@ -144,18 +146,18 @@ def code_candidates(queries: DataFrame, chunks: DataFrame, index: Sequence[str]
     A score needs at least half of the n significant tokens, so at least one of the
     n - ceil(n/2) + 1 rarest must occur; only those are searched, common words never.
     """
-    tokens = queries.select("query_id", F.posexplode("sig").alias("token_pos", "token"))
+    tokens = queries.select("query_id", *index, F.posexplode(F.array_distinct("sig")).alias("token_pos", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_queries"))
-    rarity = Window.partitionBy("query_id").orderBy("n_queries", F.desc(F.length("token")), "token_pos")
-    n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    needed = n - F.ceil(n * PHRASE_MIN_RATIO) + 1
+    rank = F.struct("n_queries", (-F.length("token")).alias("length"), "token_pos", "token")
+    per_query = tokens.join(shared, "token").groupBy("query_id", *index).agg(F.array_sort(F.collect_list(rank)).alias("ts"))
+    sizes = queries.select("query_id", F.size("sig").alias("n"))
+    # A token said twice counts twice for the share, so the plain rule is on all n of them.
+    needed = F.col("n") - F.ceil(F.col("n") * PHRASE_MIN_RATIO) + 1
     probe = (
-        tokens.join(shared, "token")
-        .withColumns({"r": F.row_number().over(rarity), "needed": needed})
-        .filter("r <= needed")
-        .select("query_id", "token")
-        .distinct()
-        .join(queries.select("query_id", *index), "query_id")
+        per_query.join(sizes, "query_id")
+        .select("query_id", *index, F.explode(F.slice("ts", F.lit(1), needed.cast("int"))).alias("t"))
+        .select("query_id", *index, F.col("t.token").alias("token"))
+        .persist()
     )
     texts = chunks.select(*index, "chunk_id", F.lower(searchable_text()).alias("searchable"))
     hits = substring_join(texts, probe.select(F.col("token").alias("needle")), "searchable").drop("searchable")
@@ -169,22 +171,32 @@ def searchable_text() -> Column:
     return F.concat_ws("\n", messages, "code", "docstring", "leading_comment")
 
 
-def chunk_score(norm: Column, sig: Column) -> Column:
+def with_chunk_score(rows: DataFrame) -> DataFrame:
     """Best message score, else weighted code score, else weighted comment score."""
+    norm, sig, c = F.col("norm"), F.col("sig"), F.col
     messages = F.filter(F.transform("error_messages", lambda e: F.lower(e["message"])), lambda m: m != "")
-    scores = F.transform(messages, lambda m: phrase_score(norm, sig, m))
-    of_messages = F.coalesce(F.array_max(scores), F.lit(0.0))
-    of_code = phrase_score(norm, sig, F.lower(F.coalesce("code", F.lit(""))))
-    notes = F.concat(
-        F.lower(F.coalesce("docstring", F.lit(""))), F.lit(" "), F.lower(F.coalesce("leading_comment", F.lit("")))
+    texts = rows.withColumns(
+        {
+            "_messages": messages,
+            "_code": F.lower(F.coalesce("code", F.lit(""))),
+            "_notes": F.lower(F.concat(F.coalesce("docstring", F.lit("")), F.lit(" "), F.coalesce("leading_comment", F.lit("")))),
+        }
     )
-    of_notes = phrase_score(norm, sig, notes)
-    return (
-        F.when(of_messages > 0, of_messages)
-        .when(of_code > 0, of_code * CODE_WEIGHT)
-        .when(of_notes > 0, of_notes * DOC_WEIGHT)
+    scores = texts.withColumns(
+        {
+            "_of_messages": F.coalesce(F.array_max(F.transform("_messages", lambda m: phrase_score(norm, sig, m))), F.lit(0.0)),
+            "_of_code": phrase_score(norm, sig, c("_code")),
+            "_of_notes": phrase_score(norm, sig, c("_notes")),
+        }
+    )
+    score = (
+        F.when(c("_of_messages") > 0, c("_of_messages"))
+        .when(c("_of_code") > 0, c("_of_code") * CODE_WEIGHT)
+        .when(c("_of_notes") > 0, c("_of_notes") * DOC_WEIGHT)
         .otherwise(0.0)
     )
+    scored = scores.withColumn("score", score)
+    return settle(scored.drop("_messages", "_code", "_notes", "_of_messages", "_of_code", "_of_notes"), "score")
 
 
 def code_chunks(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX) -> DataFrame:
@@ -194,7 +206,7 @@ def code_chunks(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = IN
     rows = chunks.join(pairs, [*index, "chunk_id"]).join(
         broadcast_if_small(asked.select("query_id", "norm", "sig", "message")), "query_id"
     )
-    scored = rows.withColumn("score", chunk_score(F.col("norm"), F.col("sig"))).filter(F.col("score") >= MIN_CODE_SCORE)
+    scored = with_chunk_score(rows).filter(F.col("score") >= MIN_CODE_SCORE)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     top = scored.withColumn("chunk_rank", F.row_number().over(best)).filter(F.col("chunk_rank") <= TOP_CHUNKS)
     in_file = Window.partitionBy("query_id", "path")
@@ -209,7 +221,8 @@ def code_groups(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = IN
     norm = F.col("norm")
     hit = F.filter("error_messages", lambda e: F.contains(F.lower(e["message"]), norm))
     said = F.get(hit, 0)["message"]
-    excerpt = match_excerpt(F.col("message"), F.col("sig"), F.col("code"))
+    top = top.withColumn("excerpt", match_excerpt(F.col("message"), F.col("sig"), F.col("code")))
+    excerpt = F.col("excerpt")
     text = F.coalesce(
         F.when(said != "", said), F.when(excerpt != "", excerpt), shorten(F.col("code"), SNIPPET), F.lit("")
     )
@@ -240,13 +253,15 @@ def search_index(
 ) -> DataFrame:
     """All three tiers for every query; content search only for queries without a hit.
 
-    ``queries`` has ``query_id``, the index columns and ``message``.
+    ``queries`` has ``query_id``, the index columns and ``message``. Queries and the
+    groups of the first tiers (at most 25 partial ones each) are kept, since the later
+    tiers ask for them again.
     """
-    asked = prepare_queries(queries)
-    exact = exact_groups(asked, postings, chunks, index)
+    asked = prepare_queries(queries).persist()
+    exact = exact_groups(asked, postings, chunks, index).persist()
     partial = partial_groups(asked, postings, chunks, exact, index, repeat_mixed_case)
-    keyed = exact.unionByName(partial)
-    unanswered = asked.join(keyed.select("query_id").distinct(), "query_id", "left_anti")
+    keyed = cut_lineage(exact.unionByName(partial))
+    unanswered = asked.join(keyed.select("query_id").distinct(), "query_id", "left_anti").persist()
     return keyed.unionByName(code_groups(unanswered, chunks, index))
 
 

@@ -9,12 +9,13 @@ from loglode.operators import index_search as S
 from loglode.operators.registry import active_versions
 from loglode.queries.base import query
 from loglode.queries.inputs import CODE_SQL, FILE_KEY, INDEX_KEY, code_files, table
+from loglode.session import cut_lineage
 from loglode.sources import documents as D
 
 
 def chunk_index(spark, sf_dir):
-    """Chunks and postings of the derived files; persisted, as each search reads them several times."""
-    chunks = C.function_chunks(code_files(spark, sf_dir), FILE_KEY).persist()
+    """Chunks and postings of the derived files; written once, as an index is, since searches read it several times."""
+    chunks = cut_lineage(C.function_chunks(code_files(spark, sf_dir), FILE_KEY))
     return chunks, C.error_postings(chunks, FILE_KEY)
 
 

@@ -25,6 +25,7 @@ from loglode.queries.inputs import (
     messages,
     table,
 )
+from loglode.session import cut_lineage
 
 TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -275,7 +276,8 @@ GROUP BY ALL""",
 )
 def context_previews(spark, sf_dir):
     files = doc_files(spark, sf_dir)
-    hits = search_messages(explode_lines(files), messages(spark, sf_dir)).select("path", "line_no").distinct().persist()
+    hits = search_messages(explode_lines(files), messages(spark, sf_dir)).select("path", "line_no").distinct()
+    hits = cut_lineage(hits)
     return context_preview(files_with_hits(files, hits), hits).select("path", "line_no", "context_preview")
 
 
@@ -322,7 +324,7 @@ FROM fns""",
 )
 def doc_and_comments(spark, sf_dir):
     files, hits = _code_hits(spark, sf_dir)
-    rich = enrich_matches(files, hits.persist(), FILE_KEY).filter("enclosure_type <> 'module'")
+    rich = enrich_matches(files, cut_lineage(hits), FILE_KEY).filter("enclosure_type <> 'module'")
     return rich.select(
         "machine_id", "version_id", "path", "def_line_no", "docstring_text", "docstring_start_line", "docstring_end_line",
         "leading_comment_block", "leading_comment_start_line", "leading_comment_end_line",

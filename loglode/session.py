@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Set on any session handed in: AQE splits skewed join partitions even where
 # that costs one more exchange, and Arrow batches stay small because one row
@@ -34,10 +36,19 @@ def build_session(app: str = "loglode", master: str | None = None, **conf: str)
     return tune(builder.getOrCreate())
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The shared folder of the cluster; ``fallback`` only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    target = named or fallback
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(target)
-    return target
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a reused result to the shared checkpoint folder and go on from there.
+
+    The folder is the one the session names; on a local master, where none may be
+    named, a new scratch folder serves. Without either the result is persisted.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named:
+            context.setCheckpointDir(named)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        else:
+            return df.persist()
+    return df.checkpoint()
