@@ -101,7 +101,8 @@ def calls_by_kind_level(spark, sf_dir):
 
 @query(
     """
-SELECT literal, count(*) AS count, min(machine_id || '|' || version_id || '|' || path || '|' || printf('%06d', line_no)) AS first_site
+SELECT literal, count(*) AS count, first(machine_id || '|' || version_id || '|' || path || '|' || printf('%06d', line_no)
+  ORDER BY machine_id, version_id, path, line_no) AS first_site
 FROM calls GROUP BY literal""",
     CALL_SQL,
 )
@@ -422,12 +423,10 @@ def manifest_lines(spark, sf_dir):
     fields = ["error", "link_target", "path", "sha256", "size", "type"]
     entries = M.manifest_entries(listing, ("machine", "page_id"))
     good = entries.select(F.col("machine").alias("source"), (F.col("page_id") * 10).alias("n"), F.to_json(F.struct(*fields)).alias("value"), "page_id")
+    line = lambda plus, value: F.struct((F.col("n") + plus).alias("n"), value.cast("string").alias("value"))
+    moved = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("value", '"type":"[a-z]+"', '"type":"moved"'))
     noise = F.array(
-        F.struct(F.col("n"), F.col("value")),
-        F.struct(F.col("n") + 1, F.lit("# a comment").alias("value")),
-        F.struct(F.col("n") + 2, F.lit("{broken").alias("value")),
-        F.struct(F.col("n") + 3, F.lit("").alias("value")),
-        F.struct(F.col("n") + 4, F.when(F.col("page_id") % 3 == 0, F.regexp_replace("value", '"type":"[a-z]+"', '"type":"moved"')).alias("value")),
+        line(0, F.col("value")), line(1, F.lit("# a comment")), line(2, F.lit("{broken")), line(3, F.lit("")), line(4, moved)
     )
     lines = good.select("source", F.explode(noise).alias("x")).select("source", "x.n", "x.value").filter("value is not null")
     return D.parse_manifest(lines)
@@ -549,8 +548,8 @@ def machines_with_version(spark, sf_dir):
 
 @query(
     """
-SELECT o_custkey AS id, first(o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS printer_model,
-  first(o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) FILTER (o_orderstatus <> 'F') AS printing_type,
+SELECT o_custkey AS id, first(o_orderpriority ORDER BY o_orderdate + to_seconds(o_orderkey % 86400) DESC) AS printer_model,
+  first(o_orderstatus ORDER BY o_orderdate + to_seconds(o_orderkey % 86400) DESC) FILTER (o_orderstatus <> 'F') AS printing_type,
   strftime(max(o_orderdate + to_seconds(o_orderkey % 86400)), '%Y-%m-%d %H:%M:%S') AS updated_at
 FROM orders GROUP BY o_custkey HAVING o_custkey % 9 <> 4""",
 )
