@@ -92,7 +92,7 @@ def rich(spark, *lines):
 
 
 def test_enriched_fields(spark):
-    src, got = rich(spark, 10, 15, 20, 25, 26)
+    src, got = rich(spark, 10, 15, 20, 25, 27)
     a = got[10]
     assert (a["enclosure_type"], a["name"], a["start_line"], a["def_line_no"], a["signature"]) == (
         "async_def", "handler", 6, 8, "async def handler(event):",
@@ -109,7 +109,7 @@ def test_enriched_fields(spark):
     whole = '    """\n    Doc of box.\n\n    More.\n    """'
     assert (got[20]["name"], got[20]["docstring_text"], got[20]["leading_comment_block"]) == ("get", None, whole)
     assert (got[25]["name"], got[25]["leading_comment_block"]) == ("bare", '"""Header block"""')
-    assert (got[26]["enclosure_type"], got[26]["start_line"], got[26]["enclosure_contains_match"]) == ("module", None, False)
+    assert (got[27]["enclosure_type"], got[27]["start_line"], got[27]["enclosure_contains_match"]) == ("module", None, False)
 
 
 def test_block_text_and_context(spark):
