@@ -46,7 +46,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" of "),
         (F.col("event_id") % 50 + 990).cast("string"),
     )
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", line.alias("line"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return spread(events, "event_id").withColumn("line", line)
 
 
 LOG_SQL = """
