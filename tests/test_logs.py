@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from loglode.functions.logparse import analyze_blocks, normalize_query, relevant_line, with_parsed
 
-INFO = "2025-12-19T05:22:06.751222+11:00 RS20300529 Kareela0: <I> [#4] EngineConductor: Changing state from a to maint"
-ERROR = "2025-12-19T05:22:07.1+11:00 RS20300529 Kareela0: <E> [#4] PeriodicIdle: waitComplete for localhost:9210:Dyn-ultron:VALVE"
+INFO = "2025-12-19T05:22:06.751222+11:00 RS100 Unit0: <I> [#4] EngineHub: Changing state from a to maint"
+ERROR = "2025-12-19T05:22:07.1+11:00 RS100 Unit0: <E> [#4] IdleLoop: waitComplete for localhost:9210:Dyn-main:VALVE"
 
 
 def parse(spark, lines, **options):
@@ -19,19 +19,19 @@ def parse(spark, lines, **options):
 
 def test_info_line(spark):
     row = parse(spark, [INFO])[0]
-    assert (row["level"], row["component"], row["thread"]) == ("I", "EngineConductor", "#4")
+    assert (row["level"], row["component"], row["thread"]) == ("I", "EngineHub", "#4")
     assert row["timestamp"] == "2025-12-19T05:22:06.751222+11:00"
-    assert (row["host_or_serial"], row["process"]) == ("RS20300529", "Kareela0")
+    assert (row["host_or_serial"], row["process"]) == ("RS100", "Unit0")
     assert row["message"] == "Changing state from a to maint"
-    assert row["key_exact"] == "EngineConductor: Changing state from a to maint"
+    assert row["key_exact"] == "EngineHub: Changing state from a to maint"
 
 
 def test_error_block_chooses_first_error_line(spark):
     df = spark.createDataFrame([("b", f"\n\t{INFO}\n  {ERROR}\n<E> later: x\n"), ("e", " \n\t\n")], "block_id string, text string")
     got = {r["block_id"]: r for r in analyze_blocks(df).collect()}
     assert got["b"]["selected_line"] == ERROR
-    assert got["b"]["component"] == "PeriodicIdle"
-    assert got["b"]["search_message"] == "waitComplete for localhost:9210:Dyn-ultron:VALVE"
+    assert got["b"]["component"] == "IdleLoop"
+    assert got["b"]["search_message"] == "waitComplete for localhost:9210:Dyn-main:VALVE"
     assert got["e"]["selected_line"] == "" and got["e"]["search_message"] == ""
 
 
@@ -51,9 +51,9 @@ def test_edge_lines(spark):
 
 
 def test_numbers_and_tokens(spark):
-    row = parse(spark, ["PeriodicIdle: valve failed on localhost:9210 code 12345 at 1.5 in 12"], normalize_numbers=True)[0]
-    assert row["key_normalized"] == "periodicidle: valve failed on localhost:<num> code <num> at <num> in 12"
-    assert row["tokens"] == ["periodicidle", "valve", "failed", "localhost", "num", "code", "num", "num"]
+    row = parse(spark, ["IdleLoop: valve failed on localhost:9210 code 12345 at 1.5 in 12"], normalize_numbers=True)[0]
+    assert row["key_normalized"] == "idleloop: valve failed on localhost:<num> code <num> at <num> in 12"
+    assert row["tokens"] == ["idleloop", "valve", "failed", "localhost", "num", "code", "num", "num"]
 
 
 def row_twin(line):
