@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglode.llm.near_dedup import near_duplicates
+from loglode.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +29,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)
+), g AS (
+  SELECT doc_id, p, string_agg(w, ' ') OVER win AS g, count(*) OVER win AS k FROM w
+  WINDOW win AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS first FROM g WHERE k = 13),
+c AS (
+  SELECT w.doc_id, w.p, w.w, coalesce(max(f.p) OVER (PARTITION BY w.doc_id ORDER BY w.p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
+  FROM w LEFT JOIN f ON f.doc_id = w.doc_id AND f.p = w.p AND f.first < w.doc_id
+), s AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+    sha256(coalesce(string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+
+@query(OP1_SQL)
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 13 words and more that repeat from earlier documents, removed from all documents."""
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query()
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SuperMinHash near-duplicate groups over all documents."""
