@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loglode.llm.near_dedup import near_duplicates
+from loglode.llm.quality import quality_verdicts
 from loglode.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,68 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d)
+), g AS (
+  SELECT doc_id, p, string_agg(w, ' ') OVER win AS g, count(*) OVER win AS k FROM w
+  WINDOW win AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), r AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) > 1 AS twice FROM g WHERE k = 5),
+c AS (
+  SELECT w.doc_id, w.w, coalesce(bool_or(r.twice) OVER (PARTITION BY w.doc_id ORDER BY w.p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), false) AS rep
+  FROM w LEFT JOIN r USING (doc_id, p)
+), n AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE rep) AS n_repeat_words FROM c GROUP BY doc_id),
+l AS (
+  SELECT doc_id, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM (
+    SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
+), m AS (
+  SELECT d.doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, n_lines::BIGINT AS n_lines
+  FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000 * n_symbols // n_words AS symbols,
+    1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 100 * word_chars // n_words AS word_length FROM m
+), v AS (
+  SELECT lang, source, metric, v - v % (1::BIGINT << greatest(length(bin(v)) - 7, 0)::INT) AS bucket FROM (
+    SELECT lang, source, unnest(['symbols', 'dup_lines', 'word_length']) AS metric, unnest([symbols, dup_lines, word_length]) AS v
+    FROM b WHERE NOT base_failed)
+), s AS (
+  SELECT 'own' AS lvl, lang, source, metric, bucket, count(*) AS n FROM v GROUP BY ALL
+  UNION ALL SELECT 'lang', lang, '', metric, bucket, count(*) FROM v GROUP BY ALL
+  UNION ALL SELECT 'all', '', '', metric, bucket, count(*) FROM v GROUP BY ALL
+), u AS (
+  SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lvl, lang, source, metric) AS total FROM s
+), q AS (
+  SELECT lvl, lang, source, metric, max(total) AS total, min(bucket) FILTER (WHERE 4 * upto >= total) AS q1,
+    min(bucket) FILTER (WHERE 4 * upto >= 2 * total) AS q2, min(bucket) FILTER (WHERE 4 * upto >= 3 * total) AS q3
+  FROM u GROUP BY ALL
+), t AS (
+  SELECT lvl, lang, source, max(total) AS total,
+    max(q2 + greatest(3 * (q3 - q1), 100)) FILTER (WHERE metric = 'symbols') AS symbols_most,
+    max(q2 + greatest(3 * (q3 - q1), 400)) FILTER (WHERE metric = 'dup_lines') AS dup_most,
+    max(q2 + greatest(3 * (q3 - q1), 250)) FILTER (WHERE metric = 'word_length') AS len_most,
+    max(q2 - greatest(3 * (q3 - q1), 250)) FILTER (WHERE metric = 'word_length') AS len_least
+  FROM q GROUP BY ALL
+), f AS (
+  SELECT b.*, CASE WHEN o.total >= 100 THEN 'own' WHEN g.total >= 100 THEN 'lang' ELSE 'all' END AS pick
+  FROM b LEFT JOIN t o ON o.lvl = 'own' AND o.lang = b.lang AND o.source = b.source LEFT JOIN t g ON g.lvl = 'lang' AND g.lang = b.lang
+)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND symbols <= symbols_most AND dup_lines <= dup_most AND word_length BETWEEN len_least AND len_most AS kept
+FROM f LEFT JOIN t ON t.lvl = pick AND t.lang = CASE WHEN pick = 'all' THEN '' ELSE f.lang END
+  AND t.source = CASE WHEN pick = 'own' THEN f.source ELSE '' END
+"""
+
+
+@query(OP8_SQL)
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict of every document."""
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SuperMinHash near-duplicate groups over all documents."""
