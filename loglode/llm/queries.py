@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loglode.llm.byte_bpe import decode, encode, read_ranks
+from loglode.llm.decontaminate import leaks
 from loglode.llm.near_dedup import near_duplicates
 from loglode.llm.quality import quality_verdicts
 from loglode.llm.substring_dedup import substring_dedup
@@ -112,12 +116,26 @@ FROM f LEFT JOIN t ON t.lvl = pick AND t.lang = CASE WHEN pick = 'all' THEN '' E
 """
 
 
+@query()
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    both = decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query(OP8_SQL)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the number of edits."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SuperMinHash near-duplicate groups over all documents."""
