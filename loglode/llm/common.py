@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,6 +30,15 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet to the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    cut_lineage(spark.range(1))  # sets the folder where none is set
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, however many others (of whatever name) the table has."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

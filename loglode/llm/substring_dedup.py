@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglode.llm.common import LAST_ID, chunks, gram_hashes, mix, powers, raw_bytes, signed, stored, words
+from loglode.llm.common import LAST_ID, Words, chunks, gram_hashes, mix, powers, raw_bytes, signed, stored, words
 
 MIN_WORDS = 13
 ANCHOR = 5
@@ -158,7 +158,7 @@ def _cut_rows(size: int, text_out: bool):
                 removed.append(int(gone.sum()))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 factors.append([{"first_word": a, "n_words": b - a + size - 1} for a, b in joined])
-                texts.append(kept.decode() if text_out else None)
+                texts.append(_without(data, found, lo, hi, gone) if text_out else None)
             spans_type = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32())]))
             arrays = [part.column("doc_id"), pa.array(np.diff(found.first)), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(factors, spans_type)]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "factors"]
@@ -170,6 +170,15 @@ def _cut_rows(size: int, text_out: bool):
     return run
 
 
+def _without(data: np.ndarray, found: Words, lo: int, hi: int, gone: np.ndarray) -> str:
+    """The text of words lo to hi without the words that are gone; the blanks after those go with them, all others stay."""
+    pieces, edges = [], np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        end = found.starts[lo + b] if lo + b < hi else found.ends[hi - 1]
+        pieces.append(data[found.starts[lo + a] : end].tobytes())
+    return b"".join(pieces).decode()
+
+
 def _join(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Greedy factors: window runs that touch or overlap become one, as long as it gets."""
     out: list[tuple[int, int]] = []
@@ -186,7 +195,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
 
     Words are what stands between ASCII white space. A word is removed if it lies in a window of min_words words that
     also starts in a document with a smaller doc_id, all judged on the input. factors are the duplicate spans
-    (first_word, n_words). With text_out the kept words come as kept_text, with the columns named in carry as own_<name>.
+    (first_word, n_words). With text_out the text without them comes as kept_text (the blanks between kept words stay),
+    with the columns named in carry as own_<name>.
 
     Reference blocks are cut where the words themselves say so (`cut_blocks`) and indexed by anchor. Each document is
     factored greedily against every block of every earlier document: a block found whole extends the factor. Where a
