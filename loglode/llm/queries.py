@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loglode.llm.byte_bpe import decode, encode, read_ranks
 from loglode.llm.decontaminate import leaks
+from loglode.llm.html_text import main_text
 from loglode.llm.near_dedup import near_duplicates
 from loglode.llm.quality import quality_verdicts
 from loglode.llm.sharding import shard_by_bytes
@@ -157,6 +158,12 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query(OP8_SQL)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
