@@ -6,11 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglode.llm.common import chunks, gram_hashes, mix, offsets, plain, raw_bytes, signed, stored, words
+from loglode.llm.common import chunks, gram_hashes, mix, plain, signed, stored, words
 from loglode.llm.components import components
 from loglode.llm.superminhash import signatures
 
@@ -18,6 +19,7 @@ SHINGLE = 5
 BANDS = 32
 ROWS = 4
 MIN_PERCENT = 75
+BLOCK = 1000
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +76,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     doc_id = component_id.
 
     Equal sets count once: one row stands for all copies from the start. Each set then meets, in every band of its
-    signature, only the smallest id there (two exchanges of band keys, sums first); what that leaves apart although it
-    shares a band is compared pair by pair across the groups found so far, so no candidate pair is lost and a group of
-    any size stays linear. All candidates are confirmed on the full sets. With 32 bands of 4 ranks a pair at the very
+    signature, only one centre, the set that shares most bands with others; the pairs are confirmed on the full sets and
+    joined to groups. Sets that share a band but are in another group than its centre are compared with all the sets of
+    that centre, in blocks (`_across`), so no candidate pair is lost and no pairs within a group are emitted. With 32 bands of 4 ranks a pair at the very
     threshold is missed with probability (1 - 0.75 ** 4) ** 32, about 5e-6; more similar pairs far less often.
 
     Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer
@@ -89,8 +91,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     sets = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s"))
     sets = stored(sets.select("s1", "s2", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), F.col("s.bands").alias("bands")))
     keys = sets.select(F.explode("bands").alias("band"), "id", "n").distinct()
-    centres = keys.groupBy("band").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("band", "c")
-    shared = stored(keys.join(centres, "band").select("band", "id", "n", "c"))
+    crowds = keys.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    shared = stored(keys.join(crowds, "band").select("band", "id", "n", "k"))
+    scores = shared.groupBy("id").agg(F.sum("k").alias("score"))
+    met = shared.join(scores, "id")
+    centres = met.groupBy("band").agg(F.max_by(F.struct("id", "n"), F.struct("score", -F.col("id"))).alias("c"))
+    shared = stored(met.join(centres, "band").select("band", "id", "n", "c"))
     fits = "100 * least(n, m) >= {0} * greatest(n, m)".format(min_percent)
     star = shared.select(F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("id").alias("b"), "n")
     star = stored(star.where("a <> b").where(fits).select("a", "b").distinct())
@@ -99,8 +105,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     members = stored(kept.mapInArrow(_set_rows(shingle), "id long, members array<long>").join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"]))
     links = confirmed(star, members, min_percent)
     groups = components(links)
-    rest = _across(shared, groups, star, fits)
-    more = stored(confirmed(rest, members, min_percent))
+    more = stored(_across(shared, groups, members, min_percent))
     if not more.isEmpty():
         groups = components(links.union(more))
     roots = sets.join(groups, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("root"))
@@ -119,13 +124,70 @@ def confirmed(pairs: DataFrame, members: DataFrame, min_percent: int) -> DataFra
     return met.where(F.col("both") * 100 >= union * min_percent).select("a", "b")
 
 
-def _across(shared: DataFrame, groups: DataFrame, tried: DataFrame, fits: str) -> DataFrame:
-    """Pairs in one band that are in different groups so far and not tried: members outside the centre's group against all others."""
-    named = shared.join(groups, "id", "left").select("band", "id", "n", F.col("c.id").alias("centre"), F.coalesce("component", "id").alias("g"))
+def _across(shared: DataFrame, groups: DataFrame, members: DataFrame, min_percent: int) -> DataFrame:
+    """Links that join groups further: members outside their centre's group against all that share the centre.
+
+    They are compared in blocks of about BLOCK rows on either side, every block pair in one bounded task, and a block
+    pair gives the links that join groups, not all pairs.
+    """
+    met = shared.select(F.col("c.id").alias("centre"), "id").distinct()
+    met = met.join(groups, "id", "left").select("centre", "id", F.coalesce("component", "id").alias("g"))
     roots = groups.select(F.col("id").alias("centre"), F.col("component").alias("cg"))
-    named = named.join(roots, "centre", "left").withColumn("cg", F.coalesce("cg", "centre"))
-    outside = named.where("g <> cg")
-    split = stored(outside.select("band", F.col("id").alias("x"), F.col("n").alias("m"), F.col("g").alias("xg")))
-    met = named.join(split, "band").where("g <> xg AND id <> x").where(fits)
-    pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    return stored(pairs.join(tried, ["a", "b"], "left_anti"))
+    met = stored(met.join(roots, "centre", "left").withColumn("apart", F.col("g") != F.coalesce("cg", "centre")).drop("cg"))
+    sizes = met.groupBy("centre").agg(F.count_if("apart").alias("n_apart"), F.count("*").alias("n_all")).where("n_apart > 0")
+    blocks = [F.ceil(F.col(n) / BLOCK).cast("int").alias(k) for n, k in (("n_apart", "left_blocks"), ("n_all", "right_blocks"))]
+    met = met.join(sizes.select("centre", *blocks), "centre")
+    part = "cast(pmod(xxhash64(id), {0}) as int)"
+    left = met.where("apart").selectExpr("centre", "id", "g", "true AS asks", f"{part.format('left_blocks')} AS i", "explode(sequence(0, right_blocks - 1)) AS j")
+    right = met.selectExpr("centre", "id", "g", "false AS asks", "explode(sequence(0, left_blocks - 1)) AS i", f"{part.format('right_blocks')} AS j")
+    both = left.unionByName(right).join(members, "id")
+    return both.groupBy("centre", "i", "j").applyInPandas(_compare(min_percent), "a long, b long").distinct()
+
+
+def _compare(min_percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        asks = rows["asks"].to_numpy(bool)
+        sets = rows["members"].tolist()
+        size = np.array([len(s) for s in sets])
+        values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        # Overlaps by way of what each set lacks of, or has beyond, the elements most sets share: such differences are few.
+        common = counts * 2 > len(sets)
+        have = np.zeros((len(sets), int(common.sum())), bool)
+        place = np.cumsum(common) - 1
+        inside = common[codes]
+        have[owner[inside], place[codes[inside]]] = True
+        lack_owner, lack = np.nonzero(~have)
+        element = np.concatenate([codes[~inside], len(values) + lack])
+        holder = np.concatenate([owner[~inside], lack_owner])
+        lacks = (~have).sum(axis=1)
+        right = np.flatnonzero(~asks)
+        seat = np.full(len(sets), -1)
+        seat[right] = np.arange(len(right))
+        answer = seat[holder] >= 0
+        by = np.argsort(element[answer], kind="stable")
+        posted, seats = element[answer][by], seat[holder][answer][by]
+        mine = np.argsort(holder, kind="stable")
+        start = np.searchsorted(holder[mine], np.arange(len(sets) + 1))
+        groups: dict[int, int] = {}
+        ids, g = rows["id"].to_numpy(), rows["g"].to_numpy()
+        out = []
+        for x in np.flatnonzero(asks):
+            wanted = element[mine[start[x] : start[x + 1]]]
+            lo, hi = np.searchsorted(posted, wanted, "left"), np.searchsorted(posted, wanted, "right")
+            hits = np.concatenate([seats[l:h] for l, h in zip(lo, hi, strict=True) if h > l] or [seats[:0]])
+            both = have.shape[1] - lacks[x] - lacks[right] + np.bincount(hits, minlength=len(right))
+            for y in right[both * 100 >= (size[x] + size[right] - both) * min_percent]:
+                p, q = _top(groups, g[x]), _top(groups, g[y])
+                if p != q:
+                    groups[max(p, q)] = min(p, q)
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _top(groups: dict[int, int], x: int) -> int:
+    while x in groups:
+        x = groups[x]
+    return x
