@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from loglode.llm.byte_bpe import decode, encode, read_ranks
 from loglode.llm.decontaminate import leaks
 from loglode.llm.html_text import main_text
+from loglode.llm.licenses import licence_paragraphs
 from loglode.llm.near_dedup import near_duplicates
 from loglode.llm.quality import quality_verdicts
 from loglode.llm.sharding import shard_by_bytes
 from loglode.llm.substring_dedup import substring_dedup
+from loglode.llm.token_counts import token_counts, zipf_scores
 from loglode.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +130,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query()
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence paragraph of the documents and its family."""
+    return licence_paragraphs(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
@@ -158,6 +166,13 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    scores = zipf_scores(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return token_counts(table(spark, sf_dir, "documents"), scores, public_tokenizers.PATTERN)
+
+
 @query()
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
