@@ -66,7 +66,8 @@ def function_chunks(files: DataFrame, key: Sequence[str] = ("path",), deep: bool
     slices of both (its calls are neighbours in visit order). ``deep`` also takes
     functions defined under else, except, finally and match arms.
     """
-    src = with_facts(files.select(*key, "text")).filter("facts.parsed").withColumn("_lines", split_lines(F.col("text")))
+    # A file that does not parse has no functions; a filter on that would parse every file once more.
+    src = with_facts(files.select(*key, "text")).withColumn("_lines", split_lines(F.col("text")))
     wanted = F.filter(F.transform("facts.functions", lambda f, i: F.struct(i.alias("fn_seq"), f.alias("f"))),
                       lambda x: x["f"]["via_body"] | F.lit(deep))
 
@@ -140,6 +141,7 @@ def index_totals(files: DataFrame, chunks: DataFrame, group: Sequence[str] = ())
     if not group:
         per_file, sizes = per_file.withColumn("_all", F.lit(1)), sizes.withColumn("_all", F.lit(1))
     out = per_file.join(sizes, list(group) or ["_all"], "left").drop("_all")
+    out = out.fillna(0, ["functions_found", "errors_found", "chunks_with_errors"])
     return out.withColumns({"total_chunks": F.col("functions_found"), "total_errors": F.col("errors_found")})
 
 

@@ -14,17 +14,21 @@ UUID_PATTERN = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-
 
 
 def version_lifetimes(events: DataFrame) -> DataFrame:
-    """Per version: upload, last activation and deletion; one partial aggregate.
+    """Per version: upload, deletion and last choice (upload or activation) while it lived.
 
     ``events``: machine_id, version_id, op, ts. A version counts from its upload on.
     """
     at = lambda op: F.when(F.col("op") == op, F.col("ts"))
     lives = events.groupBy("machine_id", "version_id").agg(
         F.min(at(UPLOAD)).alias("created_at"),
-        F.max(at(DELETE)).alias("deleted_at"),
-        F.max(F.when(F.col("op") != DELETE, F.col("ts"))).alias("chosen_at"),
+        F.min(at(DELETE)).alias("deleted_at"),
     )
-    return lives.filter("created_at is not null")
+    lives = lives.filter("created_at is not null")
+    # A version that is gone cannot be activated: only what came before its deletion counts.
+    picks = events.filter(F.col("op") != DELETE).join(lives.select("machine_id", "version_id", "deleted_at"), ["machine_id", "version_id"])
+    picks = picks.filter("deleted_at is null or ts < deleted_at")
+    chosen = picks.groupBy("machine_id", "version_id").agg(F.max("ts").alias("chosen_at"))
+    return lives.join(chosen, ["machine_id", "version_id"], "left")
 
 
 def active_versions(events: DataFrame) -> DataFrame:

@@ -137,34 +137,38 @@ def _dotted(node: ast.AST) -> str | None:
 
 
 def _fragments(node: ast.AST) -> Iterator[tuple[str, str]]:
-    """String literals below an argument and the reasons why it is built at run time."""
-    text = _text(node)
-    if text is not None:
-        yield "literal", text
-        return
-    inner = ast.iter_child_nodes(node)
-    match node:
-        case ast.JoinedStr():
-            yield "reason", "python_fstring"
-        case ast.BinOp(op=ast.Mod()):
-            yield "reason", "python_percent_formatting"
-            inner = (node.left, node.right)
-        case ast.BinOp(op=ast.Add()):
-            yield "reason", "python_concat"
-            inner = (node.left, node.right)
-        case ast.Call(func=ast.Attribute(attr="format")):
-            yield "reason", "python_dot_format"
-            inner = (node.func.value, *node.args)
-    for child in inner:
-        yield from _fragments(child)
+    """String literals below an argument and the reasons why it is built at run time, outermost and leftmost first."""
+    waiting = [node]
+    while waiting:
+        node = waiting.pop()
+        text = _text(node)
+        if text is not None:
+            yield "literal", text
+            continue
+        inner = list(ast.iter_child_nodes(node))
+        match node:
+            case ast.JoinedStr():
+                yield "reason", "python_fstring"
+            case ast.BinOp(op=ast.Mod()):
+                yield "reason", "python_percent_formatting"
+                inner = [node.left, node.right]
+            case ast.BinOp(op=ast.Add()):
+                yield "reason", "python_concat"
+                inner = [node.left, node.right]
+            case ast.Call(func=ast.Attribute(attr="format")):
+                yield "reason", "python_dot_format"
+                inner = [node.func.value, *node.args]
+        waiting.extend(reversed(inner))
 
 
 def _addends(node: ast.AST) -> Iterator[str | None]:
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
-        yield from _addends(node.left)
-        yield from _addends(node.right)
-    else:
-        yield _text(node)
+    waiting = [node]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+            waiting += [node.right, node.left]
+        else:
+            yield _text(node)
 
 
 def _argument(node: ast.AST, deep: bool = True) -> dict:

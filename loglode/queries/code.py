@@ -87,7 +87,7 @@ def _documents(spark, sf_dir):
     """Index documents as JSON text, one per (machine, version); every second version is damaged in some way."""
     files = code_files(spark, sf_dir)
     chunks, postings = chunk_index(spark, sf_dir)
-    docs = D.index_document(chunks, postings, C.index_totals(files, chunks, INDEX_KEY).filter("total_chunks > 0"), "2024-01-01T00:00:00Z")
+    docs = D.index_document(chunks, postings, C.index_totals(files, chunks, INDEX_KEY), "2024-01-01T00:00:00Z")
     n = F.regexp_replace("version_id", "v", "").cast("int") % 8
     value = (
         F.when(n == 1, F.regexp_replace("value", '"schema_version" : "1.0"', '"schema_version" : ""'))
@@ -101,10 +101,11 @@ def _documents(spark, sf_dir):
 
 @query(
     """
-SELECT machine_id, version_id, count(*) AS n_chunks, sum(CASE WHEN note_level IS NULL THEN 3 ELSE 4 END)::BIGINT AS n_postings,
+SELECT machine_id, version_id, count(*) FILTER (NOT legacy) AS n_chunks,
+  coalesce(sum(CASE WHEN note_level IS NULL THEN 3 ELSE 4 END) FILTER (NOT legacy), 0)::BIGINT AS n_postings,
   CASE (file_no % 8) WHEN 1 THEN 'Missing ''schema_version'' field in index' WHEN 3 THEN 'Invalid ''created_at'' format'
     WHEN 5 THEN 'total_errors does not match error_index' WHEN 7 THEN 'Missing required field: stats' ELSE '' END AS violations
-FROM errs WHERE NOT legacy GROUP BY ALL""",
+FROM errs GROUP BY ALL""",
     CODE_SQL,
 )
 def index_validate(spark, sf_dir):

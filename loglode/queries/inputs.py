@@ -73,7 +73,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("m"))
     trimmed = lines.select("item_id", strip(F.col("m")).alias("message"))
-    return trimmed.filter(F.length("message") >= 30).distinct()
+    return trimmed.filter(F.length("message") > 0).distinct()
 
 
 DOC_SQL = """
@@ -85,7 +85,7 @@ doc_lines AS (
 msgs AS (
   SELECT DISTINCT item_id, trim(m, chr(9) || chr(10) || chr(13) || ' ') AS message
   FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS m FROM benchmark)
-  WHERE length(trim(m, chr(9) || chr(10) || chr(13) || ' ')) >= 30)
+  WHERE length(trim(m, chr(9) || chr(10) || chr(13) || ' ')) > 0)
 """
 
 
@@ -325,7 +325,7 @@ tree AS (
 
 
 def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order uploads a version of its customer's machine; some are activated again, some deleted."""
+    """Every order uploads a version of its customer's machine; some are activated again, some deleted, some activated after they are gone."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     # Seconds from the order number keep the events of a machine apart in time.
     at = lambda days: F.col("o_orderdate") + F.make_dt_interval(F.lit(days), F.lit(0), F.lit(0), F.col("o_orderkey") % 86400)
@@ -335,6 +335,7 @@ def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         event("upload", 0),
         F.when(F.col("o_orderstatus") == "P", event("activate", 200)),
         F.when(urgent, event("delete", 400)),
+        F.when(F.col("o_orderkey") % 3 == 0, event("activate", 450)),
     )
     return orders.select(
         F.col("o_custkey").alias("machine_id"), F.col("o_orderkey").alias("version_id"), F.explode(steps).alias("e")
@@ -347,12 +348,13 @@ ev AS (
     SELECT o_custkey AS machine_id, o_orderkey AS version_id, unnest([
       {'op': 'upload', 'ts': o_orderdate + to_seconds(o_orderkey % 86400)},
       {'op': CASE WHEN o_orderstatus = 'P' THEN 'activate' END, 'ts': o_orderdate + to_seconds(o_orderkey % 86400) + INTERVAL 200 DAY},
-      {'op': CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'delete' END, 'ts': o_orderdate + to_seconds(o_orderkey % 86400) + INTERVAL 400 DAY}]) AS e
+      {'op': CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'delete' END, 'ts': o_orderdate + to_seconds(o_orderkey % 86400) + INTERVAL 400 DAY},
+      {'op': CASE WHEN o_orderkey % 3 = 0 THEN 'activate' END, 'ts': o_orderdate + to_seconds(o_orderkey % 86400) + INTERVAL 450 DAY}]) AS e
     FROM orders) WHERE e.op IS NOT NULL),
 lives AS (
   SELECT machine_id, version_id, min(ts) FILTER (op = 'upload') AS created_at, max(ts) FILTER (op = 'delete') AS deleted_at,
-    max(ts) FILTER (op <> 'delete') AS chosen_at
-  FROM ev GROUP BY ALL),
+    max(ts) FILTER (op <> 'delete' AND ts < coalesce(gone, ts + INTERVAL 1 DAY)) AS chosen_at
+  FROM (SELECT *, min(ts) FILTER (op = 'delete') OVER (PARTITION BY machine_id, version_id) AS gone FROM ev) GROUP BY ALL),
 picked AS (
   SELECT machine_id, version_id, deleted_at,
     row_number() OVER (PARTITION BY machine_id ORDER BY chosen_at DESC, version_id DESC) AS by_choice,

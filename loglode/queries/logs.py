@@ -385,9 +385,9 @@ placed AS (
   SELECT *, CASE WHEN strpos(low, q) > 0 THEN strpos(low, q) ELSE coalesce(strpos(low, toks[1]), 0) END AS p,
     CASE WHEN strpos(low, q) > 0 THEN length(q) ELSE length(toks[1]) END AS w FROM sig),
 cut AS (SELECT *, greatest(p - 100, 1) AS s, least(p - 1 + w + 100, length(text)) AS e FROM placed)
-SELECT doc_id, CASE WHEN coalesce(p, 0) = 0 THEN '' ELSE trim(CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, e - s + 1)
+SELECT doc_id, CASE WHEN q IS NULL OR coalesce(p, 0) = 0 THEN '' ELSE trim(CASE WHEN s > 1 THEN '...' ELSE '' END || substr(text, s, e - s + 1)
   || CASE WHEN e < length(text) THEN '...' ELSE '' END, chr(9) || chr(10) || ' ') END AS excerpt
-FROM cut WHERE q IS NOT NULL""",
+FROM cut""",
     """
 stops AS (SELECT string_split('a an and are as at be by for from has he in is it its of on that the to was will with get got go goes went this these they them their there then than have had having do does did doing can could should would may might must', ' ') AS stop)""",
 )
@@ -395,6 +395,7 @@ def match_excerpts(spark, sf_dir):
     """Excerpt of each document around its third and fourth word."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", normalize_query(F.col("text")).alias("norm"))
     parts = docs.withColumn("w", F.filter(F.split("norm", " "), lambda w: w != ""))
-    asked = parts.filter(F.size("w") >= 4).select("doc_id", "text", F.concat_ws(" ", F.get("w", 2), F.get("w", 3)).alias("q"))
+    pair = F.when(F.size("w") >= 4, F.concat_ws(" ", F.get("w", 2), F.get("w", 3))).otherwise("")
+    asked = parts.select("doc_id", "text", pair.alias("q"))
     asked = settle(asked.withColumn("toks", significant_tokens(F.col("q"))), "q", "toks")
-    return asked.select("doc_id", match_excerpt(F.col("q"), F.col("toks"), F.col("text")).alias("excerpt"))
+    return asked.select("doc_id", F.when(F.col("q") == "", "").otherwise(match_excerpt(F.col("q"), F.col("toks"), F.col("text"))).alias("excerpt"))

@@ -113,13 +113,13 @@ def index_document(
     body = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.lit(created_at).alias("created_at"),
-        "chunks",
+        F.coalesce("chunks", F.array().cast(dict(chunk_list.dtypes)["chunks"])).alias("chunks"),
         F.coalesce("error_index", F.create_map().cast(f"map<string,array<{schemas.POSTING}>>")).alias("error_index"),
         stats.alias("stats"),
         "total_chunks",
         "total_errors",
     )
-    joined = totals.join(chunk_list, keys).join(index, keys, "left")
+    joined = totals.join(chunk_list, keys, "left").join(index, keys, "left")
     return joined.select(*keys, F.to_json(body, {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
 
 

@@ -13,7 +13,9 @@ from loglode.operators import inventory as I
 from loglode.operators import manifest as M
 from loglode.operators import registry as R
 from loglode.operators import rollups
+from loglode.operators.syntax import source_facts
 from loglode.plans.analyze import analyze, unsearchable
+from loglode.session import tune
 from loglode.sources import documents as D
 from loglode.sources import tree as T
 from loglode.streaming import logs as S
@@ -148,6 +150,25 @@ def walk(events):
     return active
 
 
+def test_dead_version_cannot_be_activated(spark):
+    events = [("upload", "A"), ("upload", "C"), ("upload", "B"), ("activate", "A"), ("delete", "B"), ("activate", "B")]
+    rows = [("m", v, op, i) for i, (op, v) in enumerate(events)]
+    df = spark.createDataFrame(rows, "machine_id string, version_id string, op string, ts int")
+    assert R.active_versions(df).first()["version_id"] == walk(events) == "A"
+
+
+def test_long_joins_of_literals_parse():
+    for n in (1200, 5000):
+        facts = source_facts("import logging\nlogging.error(" + " + ".join(["'a'"] * n) + ")\n")
+        assert not facts["parsed"] or len(facts["calls"][0]["args"][0]["parts"]) == n
+
+
+def test_tune_keeps_what_is_set(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    assert tune(spark).conf.get("spark.sql.session.timeZone") == "Europe/Berlin"
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_active_version_matches_walk(spark):
     import random
 
@@ -161,7 +182,7 @@ def test_active_version_matches_walk(spark):
                 alive.append(f"v{n}")
                 events.append((op, f"v{n}"))
             elif alive:
-                v = rng.choice(alive)
+                v = rng.choice(alive) if op == "delete" else f"v{rng.randint(1, n)}"
                 events.append((op, v))
                 if op == "delete":
                     alive.remove(v)
