@@ -43,37 +43,43 @@ VARIABLE_FILES, TEMPLATE_FILES, SAMPLES = 5, 3, 20
 
 def coverage(files: DataFrame, self_files: list[str] | None = None) -> DataFrame:
     """Python files with the reason they are left out, null for those to scan."""
-    python = files.filter(F.endswith(F.lower("path"), F.lit(".py")))
+    python = files.filter(F.endswith("path", F.lit(".py")))
     return python.withColumn("skip_reason", P.production_skip_reason(F.col("path"), self_files))
 
 
-def coverage_counts(covered: DataFrame, parsed: Column | None = None) -> DataFrame:
-    """Files discovered, scanned (by parse or by patterns) and skipped per reason."""
+def coverage_counts(covered: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Files scanned (by parse or by patterns) and skipped per reason, for each group."""
     src = with_facts(covered.filter("skip_reason is null")).select(
-        F.when(F.col("facts.parsed"), "scanned_ast").otherwise("scanned_regex").alias("outcome")
+        *group, F.when(F.col("facts.parsed"), "scanned_ast").otherwise("scanned_regex").alias("outcome")
     )
-    skipped = covered.filter("skip_reason is not null").select(F.col("skip_reason").alias("outcome"))
-    return src.unionByName(skipped).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_files"))
+    skipped = covered.filter("skip_reason is not null").select(*group, F.col("skip_reason").alias("outcome"))
+    return src.unionByName(skipped).groupBy(*group, "outcome").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def skipped_samples(covered: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    order = Window.partitionBy("skip_reason").orderBy("path")
-    ranked = covered.filter("skip_reason is not null").select("skip_reason", "path")
-    return ranked.withColumn("sample_no", F.row_number().over(order)).filter(F.col("sample_no") <= samples)
+def skipped_samples(covered: DataFrame, samples: int | None = SAMPLES, group: Sequence[str] = ()) -> DataFrame:
+    """The first files left out per group and reason."""
+    ranked = covered.filter("skip_reason is not null").select(*group, "skip_reason", "path")
+    return _first(ranked, [*group, "skip_reason"], ["path"], samples, "sample_no")
 
 
-def line_counts(files: DataFrame) -> DataFrame:
-    """Total and non-blank lines, summed from per-file counts."""
+def _first(rows: DataFrame, group: Sequence[str], order: Sequence, limit: int | None, name: str) -> DataFrame:
+    """Rows numbered per group; a limit is cut before the shuffle, None keeps all."""
+    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return numbered if limit is None else numbered.filter(F.col(name) <= limit)
+
+
+def line_counts(files: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Total and non-blank lines per group, summed from per-file counts."""
     lines = split_lines(F.col("text"))
     filled = F.size(F.filter(lines, lambda x: strip(x) != ""))
-    return files.select(F.size(lines).alias("n"), filled.alias("f")).agg(
+    return files.select(*group, F.size(lines).alias("n"), filled.alias("f")).groupBy(*group).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_lines"), F.coalesce(F.sum("f"), F.lit(0)).alias("non_empty_lines")
     )
 
 
 def production_facts(files: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
-    """Files to audit with their facts; store it when several reports follow."""
-    return with_facts(files.select(*key, "text"))
+    """Files to audit (`coverage` leaves out the rest) with their facts; store it when several reports follow."""
+    return with_facts(coverage(files.select(*key, "text")).filter("skip_reason is null").drop("skip_reason"))
 
 
 def logger_bindings(facts: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
@@ -301,14 +307,16 @@ def counted_calls(calls: DataFrame, fallback: DataFrame | None = None, key: Sequ
     return rows if fallback is None else rows.unionByName(fallback.select(*columns))
 
 
-def system_levels(rows: DataFrame) -> DataFrame:
-    """Calls by logging system and level, with totals."""
+def system_levels(rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Calls by logging system and level, with totals, per group."""
     logs = rows.filter("what = 'log'")
-    return logs.rollup("system", "level").agg(F.count(F.lit(1)).alias("n_calls"))
+    own = [F.col(c) for c in group]
+    sets = [own, [*own, F.col("system")], [*own, F.col("system"), F.col("level")]]
+    return logs.groupingSets(sets, *own, "system", "level").agg(F.count(F.lit(1)).alias("n_calls"))
 
 
-def level_distribution(rows: DataFrame) -> DataFrame:
-    return rows.filter("what = 'log'").groupBy("level").agg(F.count(F.lit(1)).alias("n_calls"))
+def level_distribution(rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    return rows.filter("what = 'log'").groupBy(*group, "level").agg(F.count(F.lit(1)).alias("n_calls"))
 
 
 def file_counts(rows: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
@@ -320,8 +328,9 @@ def file_counts(rows: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
     )
 
 
-def top_files(per_file: DataFrame, by: str, limit: int = TOP_FILES) -> DataFrame:
-    return per_file.filter(F.col(by) > 0).orderBy(F.desc(by), "path").limit(limit)
+def top_files(per_file: DataFrame, by: str, limit: int | None = TOP_FILES, group: Sequence[str] = ()) -> DataFrame:
+    """Files with most calls of a kind, per group."""
+    return _first(per_file.filter(F.col(by) > 0), group, [F.desc(by), "path"], limit, "file_no")
 
 
 def files_with_both(per_file: DataFrame) -> DataFrame:
@@ -330,46 +339,46 @@ def files_with_both(per_file: DataFrame) -> DataFrame:
     return both.withColumn("both_calls", F.col("print_calls") + F.col("logging_calls"))
 
 
-def static_templates(templates: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
-    """Static templates with their number of calls and of files."""
+def static_templates(templates: DataFrame, key: Sequence[str] = ("path",), group: Sequence[str] = ()) -> DataFrame:
+    """Static templates with their number of calls and of files, per group."""
     per_file = templates.filter("kind = 'static'").groupBy("template", *key).agg(F.count(F.lit(1)).alias("n"))
-    return per_file.groupBy("template").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("n_files"))
+    return per_file.groupBy(*group, "template").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("n_files"))
 
 
-def example_files(rows: DataFrame, group: str, key: Sequence[str] = ("path",), limit: int = TEMPLATE_FILES) -> DataFrame:
-    """First files per group, cut before the shuffle."""
-    order = Window.partitionBy(group).orderBy(*key)
-    distinct = rows.select(group, *key).distinct()
-    return distinct.withColumn("example_no", F.row_number().over(order)).filter(F.col("example_no") <= limit)
+def example_files(
+    rows: DataFrame, of: str, key: Sequence[str] = ("path",), limit: int | None = TEMPLATE_FILES, group: Sequence[str] = ()
+) -> DataFrame:
+    """First files per group and value of a column."""
+    return _first(rows.select(of, *key).distinct(), [*group, of], key, limit, "example_no")
 
 
-def template_kinds(templates: DataFrame) -> DataFrame:
+def template_kinds(templates: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     kinds = ("static", "dynamic", "unknown")
-    return templates.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_templates") for k in kinds])
+    return templates.groupBy(*group).agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_templates") for k in kinds])
 
 
-def unknown_variables(calls: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
-    """Calls and files per logger variable of unknown origin."""
+def unknown_variables(calls: DataFrame, key: Sequence[str] = ("path",), group: Sequence[str] = ()) -> DataFrame:
+    """Calls and files per logger variable of unknown origin, for each group."""
     per_file = calls.filter("variable is not null").groupBy("variable", *key).agg(F.count(F.lit(1)).alias("n"))
-    return per_file.groupBy("variable").agg(F.sum("n").alias("n_calls"), F.count(F.lit(1)).alias("n_files"))
+    return per_file.groupBy(*group, "variable").agg(F.sum("n").alias("n_calls"), F.count(F.lit(1)).alias("n_files"))
 
 
-def usage_totals(facts: DataFrame, bindings: DataFrame, calls: DataFrame, rows: DataFrame) -> DataFrame:
-    """Imports, logger lookups, prints, tracebacks, exc_info and bare excepts as (metric, value) rows."""
-    counted = facts.select(F.explode("facts.imports").alias("i")).filter("i.counted").groupBy(
-        F.concat(F.col("i.module"), F.lit("_imports")).alias("metric")
+def usage_totals(facts: DataFrame, bindings: DataFrame, calls: DataFrame, rows: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Imports, logger lookups, prints, tracebacks, exc_info and bare excepts as (metric, value) rows per group."""
+    counted = facts.select(*group, F.explode("facts.imports").alias("i")).filter("i.counted").groupBy(
+        *group, F.concat(F.col("i.module"), F.lit("_imports")).alias("metric")
     ).agg(F.count(F.lit(1)).alias("value"))
     imports = counted.filter(F.col("metric").isin("logging_imports", "structlog_imports", "loguru_imports"))
     lookups = bindings.filter("source <> 'helper'").groupBy(
-        F.when(F.col("source") == "structlog", "structlog_get_logger").otherwise("stdlib_get_logger").alias("metric")
+        *group, F.when(F.col("source") == "structlog", "structlog_get_logger").otherwise("stdlib_get_logger").alias("metric")
     ).agg(F.count(F.lit(1)).alias("value"))
     script = P.is_script(F.col("path"))
     what = F.col("what")
     printed = rows.filter(what == "print").select(
-        F.explode(F.array(F.lit("print_calls"), F.when(script, "print_calls_in_scripts").otherwise("print_calls_outside_scripts"))).alias("metric")
+        *group, F.explode(F.array(F.lit("print_calls"), F.when(script, "print_calls_in_scripts").otherwise("print_calls_outside_scripts"))).alias("metric")
     )
     other = calls.select(
-        F.explode(
+        *group, F.explode(
             F.array(
                 F.when(what == "traceback", "traceback_calls"),
                 F.when((what == "log") & (F.col("level") == "exception"), "exception_calls"),
@@ -377,21 +386,23 @@ def usage_totals(facts: DataFrame, bindings: DataFrame, calls: DataFrame, rows:
             )
         ).alias("metric")
     )
-    excepts = facts.select(F.explode("facts.bare_excepts").alias("line_no")).select(F.lit("bare_except_blocks").alias("metric"))
+    excepts = facts.select(*group, F.explode("facts.bare_excepts").alias("line_no")).select(*group, F.lit("bare_except_blocks").alias("metric"))
     events = printed.unionByName(other).unionByName(excepts).filter("metric is not null")
-    return imports.unionByName(lookups).unionByName(events.groupBy("metric").agg(F.count(F.lit(1)).alias("value")))
+    return imports.unionByName(lookups).unionByName(events.groupBy(*group, "metric").agg(F.count(F.lit(1)).alias("value")))
 
 
-def bare_excepts(facts: DataFrame, key: Sequence[str] = ("path",), limit: int = TOP_FINDINGS) -> DataFrame:
+def bare_excepts(facts: DataFrame, key: Sequence[str] = ("path",), limit: int | None = TOP_FINDINGS, group: Sequence[str] = ()) -> DataFrame:
+    """The first bare excepts per group."""
     rows = facts.select(*key, F.explode("facts.bare_excepts").alias("line_no"))
-    return rows.orderBy(*key, "line_no").limit(limit)
+    return _first(rows, group, [*key, "line_no"], limit, "except_no")
 
 
-def many_print_files(per_file: DataFrame, limit: int = TOP_FINDINGS) -> DataFrame:
+def many_print_files(per_file: DataFrame, limit: int | None = TOP_FINDINGS, group: Sequence[str] = ()) -> DataFrame:
+    """Files with very many prints outside scripts and tests, most first, per group."""
     low = F.lower("path")
     outside = ~F.contains(low, F.lit("scripts")) & ~F.contains(low, F.lit("tests"))
     found = per_file.filter((F.col("print_calls") >= MANY_PRINTS) & outside)
-    return found.orderBy(F.desc("print_calls"), "path").limit(limit)
+    return _first(found, group, [F.desc("print_calls"), "path"], limit, "file_no")
 
 
 def findings(
@@ -400,37 +411,43 @@ def findings(
     templates: DataFrame,
     configs: DataFrame,
     bindings: DataFrame,
+    group: Sequence[str] = (),
 ) -> DataFrame:
-    """All findings in one row; each input is reduced to one row by partial aggregates first."""
-    one = F.lit(1).alias("_one")
+    """All findings of a group in one row; each input is reduced to a row per group by partial aggregates first."""
+    keys = list(group) or ["_one"]
+    rows, per_file, templates, configs, bindings = (
+        d if group else d.withColumn("_one", F.lit(1)) for d in (rows, per_file, templates, configs, bindings)
+    )
     is_log, system = F.col("what") == "log", F.col("system")
     error_like = is_log & F.col("level").isin(ERROR_LEVELS)
-    totals = rows.agg(
+    totals = rows.groupBy(*keys).agg(
         F.count_if(is_log).alias("level_sum"),
         F.count_if(is_log & (system != "framework")).alias("total_calls"),
         F.count_if(is_log & (system == "generic")).alias("generic_calls"),
         F.count_if(is_log & (system == "structlog")).alias("structlog_calls"),
         F.count_if(error_like).alias("error_calls"),
-    ).select("*", one)
+    )
     low = F.lower("path")
     printing = (F.col("print_calls") >= MANY_PRINTS) & ~F.contains(low, F.lit("scripts")) & ~F.contains(low, F.lit("tests"))
-    files = per_file.agg(
+    files = per_file.groupBy(*keys).agg(
         F.count_if(printing).alias("high_print_files"),
         F.count_if((F.col("print_calls") > 0) & (F.col("logging_calls") > 0)).alias("files_with_both"),
-    ).select("*", one)
-    kinds = template_kinds(templates).select("*", one)
-    config = configs.agg(
+    )
+    kinds = template_kinds(templates, keys)
+    config = configs.groupBy(*keys).agg(
         F.count_if(F.col("config_type") == "basicConfig").alias("basic_config_count"),
         F.count_if(F.col("config_type") == "structlog.configure").alias("structlog_configs"),
         F.count_if("has_json_formatting").alias("json_configs"),
-    ).select("*", one)
-    lookups = bindings.agg(F.count_if(F.col("source") == "structlog").alias("structlog_lookups")).select("*", one)
-    row = totals
-    for part in (files, kinds, config, lookups):
-        row = row.join(F.broadcast(part), "_one")
+    )
+    lookups = bindings.groupBy(*keys).agg(F.count_if(F.col("source") == "structlog").alias("structlog_lookups"))
+    row = configs.select(*keys).union(bindings.select(*keys)).union(rows.select(*keys)).distinct()
+    for part in (totals, files, kinds, config, lookups):
+        row = row.join(part, keys, "left")
+    row = row.fillna(0)
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     generic, dynamic = share("generic_calls", "total_calls"), share("dynamic_templates", "error_calls")
     return row.select(
+        *group,
         "level_sum",
         "total_calls",
         (F.col("level_sum") == F.col("total_calls")).alias("levels_match"),

@@ -14,6 +14,7 @@ from loglode.queries.base import query
 from loglode.queries.inputs import (
     CODE_SQL,
     FILE_KEY,
+    INDEX_KEY,
     MANIFEST_SQL,
     REGISTRY_SQL,
     TREE_SQL,
@@ -171,21 +172,22 @@ def call_records(spark, sf_dir):
 AUDIT_SQL = (
     CODE_SQL
     + """
-, events_ AS (
+, prod AS (SELECT * FROM fns WHERE path NOT LIKE 'tests/%' AND path NOT LIKE 'build/%'),
+events_ AS (
   SELECT machine_id, version_id, path, legacy, base + e.d AS line_no, e.what AS what,
     CASE WHEN e.what = 'log' THEN CASE WHEN legacy THEN 'generic' ELSE e.sys END END AS system, e.lv AS level, p_name, note_var
   FROM (SELECT *, unnest([
     {'d': 5, 'what': 'log', 'sys': 'stdlib', 'lv': 'error'},
     {'d': 8, 'what': 'print', 'sys': NULL, 'lv': NULL},
     {'d': 9, 'what': 'log', 'sys': CASE note_var WHEN 'logger' THEN 'stdlib' WHEN 'log' THEN 'generic' ELSE 'framework' END,
-     'lv': CASE note_name WHEN 'warn' THEN 'warning' WHEN 'fatal' THEN 'critical' ELSE note_name END}]) AS e FROM fns)
+     'lv': CASE note_name WHEN 'warn' THEN 'warning' WHEN 'fatal' THEN 'critical' ELSE note_name END}]) AS e FROM prod)
   UNION ALL
-  SELECT DISTINCT machine_id, version_id, path, legacy, 999999, 'print', NULL, NULL, NULL, NULL FROM fns WHERE legacy),
+  SELECT DISTINCT machine_id, version_id, path, legacy, 999999, 'print', NULL, NULL, NULL, NULL FROM prod WHERE legacy),
 templates AS (
   SELECT machine_id, version_id, path, legacy, base + 5 AS line_no, 'error' AS level, p_name || ' failed for %s' AS template, 'static' AS kind
-  FROM fns WHERE NOT legacy
+  FROM prod WHERE NOT legacy
   UNION ALL
-  SELECT machine_id, version_id, path, legacy, base + 9, 'critical', p_type || ' note', 'static' FROM fns WHERE NOT legacy AND note_name = 'fatal')
+  SELECT machine_id, version_id, path, legacy, base + 9, 'critical', p_type || ' note', 'static' FROM prod WHERE NOT legacy AND note_name = 'fatal')
 """
 )
 
@@ -202,14 +204,19 @@ def _audit(spark, sf_dir):
     return facts, bindings, calls, rows
 
 
-@query("SELECT system, level, count(*) AS n_calls FROM events_ WHERE what = 'log' GROUP BY ROLLUP (system, level)", AUDIT_SQL)
+@query(
+    """
+SELECT machine_id, version_id, system, level, count(*) AS n_calls FROM events_ WHERE what = 'log'
+GROUP BY GROUPING SETS ((machine_id, version_id), (machine_id, version_id, system), (machine_id, version_id, system, level))""",
+    AUDIT_SQL,
+)
 def audit_levels(spark, sf_dir):
-    return A.system_levels(_audit(spark, sf_dir)[3])
+    return A.system_levels(_audit(spark, sf_dir)[3], INDEX_KEY)
 
 
-@query("SELECT level, count(*) AS n_calls FROM events_ WHERE what = 'log' GROUP BY level", AUDIT_SQL)
+@query("SELECT machine_id, version_id, level, count(*) AS n_calls FROM events_ WHERE what = 'log' GROUP BY ALL", AUDIT_SQL)
 def audit_level_distribution(spark, sf_dir):
-    return A.level_distribution(_audit(spark, sf_dir)[3])
+    return A.level_distribution(_audit(spark, sf_dir)[3], INDEX_KEY)
 
 
 @query("SELECT machine_id, version_id, path, line_no, level, template, kind FROM templates", AUDIT_SQL)
@@ -219,21 +226,21 @@ def audit_templates(spark, sf_dir):
 
 
 @query(
-    "SELECT template, count(*) AS count, count(DISTINCT (machine_id, version_id, path)) AS n_files FROM templates GROUP BY template",
+    "SELECT machine_id, version_id, template, count(*) AS count, count(DISTINCT path) AS n_files FROM templates GROUP BY ALL",
     AUDIT_SQL,
 )
 def audit_static_templates(spark, sf_dir):
-    return A.static_templates(A.error_templates(_audit(spark, sf_dir)[2], FILE_KEY), FILE_KEY)
+    return A.static_templates(A.error_templates(_audit(spark, sf_dir)[2], FILE_KEY), FILE_KEY, INDEX_KEY)
 
 
 @query(
     """
-SELECT template, machine_id, version_id, path, row_number() OVER (PARTITION BY template ORDER BY machine_id, version_id, path) AS example_no
+SELECT template, machine_id, version_id, path, row_number() OVER (PARTITION BY machine_id, version_id, template ORDER BY path) AS example_no
 FROM (SELECT DISTINCT template, machine_id, version_id, path FROM templates) QUALIFY example_no <= 3""",
     AUDIT_SQL,
 )
 def audit_template_files(spark, sf_dir):
-    return A.example_files(A.error_templates(_audit(spark, sf_dir)[2], FILE_KEY), "template", FILE_KEY)
+    return A.example_files(A.error_templates(_audit(spark, sf_dir)[2], FILE_KEY), "template", FILE_KEY, group=INDEX_KEY)
 
 
 @query(
@@ -249,54 +256,55 @@ def audit_file_counts(spark, sf_dir):
 
 @query(
     """
-SELECT note_var AS variable, count(*) AS n_calls, count(DISTINCT (machine_id, version_id, path)) AS n_files
-FROM fns WHERE note_var = 'log' AND NOT legacy GROUP BY note_var""",
+SELECT machine_id, version_id, note_var AS variable, count(*) AS n_calls, count(DISTINCT path) AS n_files
+FROM prod WHERE note_var = 'log' AND NOT legacy GROUP BY ALL""",
     AUDIT_SQL,
 )
 def audit_unknown_variables(spark, sf_dir):
-    return A.unknown_variables(_audit(spark, sf_dir)[2], FILE_KEY)
+    return A.unknown_variables(_audit(spark, sf_dir)[2], FILE_KEY, INDEX_KEY)
 
 
 @query(
     """
-SELECT 'logging_imports' AS metric, count(DISTINCT (machine_id, version_id)) AS value FROM fns WHERE NOT legacy
-UNION ALL SELECT 'stdlib_get_logger', count(DISTINCT (machine_id, version_id)) FROM fns WHERE NOT legacy
-UNION ALL SELECT 'print_calls', count(*) FROM events_ WHERE what = 'print'
-UNION ALL SELECT CASE WHEN path LIKE '%/scripts/%' THEN 'print_calls_in_scripts' ELSE 'print_calls_outside_scripts' END, count(*)
-  FROM events_ WHERE what = 'print' GROUP BY 1""",
+SELECT machine_id, version_id, 'logging_imports' AS metric, count(DISTINCT path) AS value FROM prod WHERE NOT legacy GROUP BY ALL
+UNION ALL SELECT machine_id, version_id, 'stdlib_get_logger', count(DISTINCT path) FROM prod WHERE NOT legacy GROUP BY ALL
+UNION ALL SELECT machine_id, version_id, 'print_calls', count(*) FROM events_ WHERE what = 'print' GROUP BY ALL
+UNION ALL SELECT machine_id, version_id, CASE WHEN path LIKE '%/scripts/%' THEN 'print_calls_in_scripts' ELSE 'print_calls_outside_scripts' END, count(*)
+  FROM events_ WHERE what = 'print' GROUP BY ALL""",
     AUDIT_SQL,
 )
 def audit_usage(spark, sf_dir):
-    return A.usage_totals(*_audit(spark, sf_dir))
+    return A.usage_totals(*_audit(spark, sf_dir), INDEX_KEY)
 
 
 @query(
     """
 , per AS (SELECT machine_id, version_id, path, count(*) FILTER (what = 'log') AS l, count(*) FILTER (what = 'print') AS p FROM events_ GROUP BY ALL),
-t AS (SELECT count(*) FILTER (what = 'log') AS level_sum, count(*) FILTER (what = 'log' AND system <> 'framework') AS total_calls,
+t AS (SELECT machine_id, version_id, count(*) FILTER (what = 'log') AS level_sum, count(*) FILTER (what = 'log' AND system <> 'framework') AS total_calls,
   count(*) FILTER (what = 'log' AND system = 'generic') AS g, count(*) FILTER (what = 'log' AND level IN ('error', 'exception', 'critical')) AS error_calls
-  FROM events_),
-b AS (SELECT count(DISTINCT (machine_id, version_id)) AS n FROM fns WHERE NOT legacy AND file_no % 2 = 0)
-SELECT level_sum, total_calls, level_sum = total_calls AS levels_match, error_calls, n AS basic_config_count, n > 1 AS multiple_basic_config,
-  (SELECT count(*) FROM per WHERE p >= 10 AND path NOT LIKE '%scripts%' AND path NOT LIKE '%tests%') AS high_print_files,
-  (SELECT count(*) FROM per WHERE p > 0 AND l > 0) AS files_with_both,
+  FROM events_ GROUP BY ALL),
+pf AS (SELECT machine_id, version_id, count(*) FILTER (p >= 10 AND path NOT LIKE '%scripts%' AND path NOT LIKE '%tests%') AS high_print_files,
+  count(*) FILTER (p > 0 AND l > 0) AS files_with_both FROM per GROUP BY ALL),
+b AS (SELECT machine_id, version_id, count(DISTINCT path) FILTER (NOT legacy AND file_no % 2 = 0) AS n FROM prod GROUP BY ALL)
+SELECT machine_id, version_id, level_sum, total_calls, level_sum = total_calls AS levels_match, error_calls, n AS basic_config_count, n > 1 AS multiple_basic_config,
+  high_print_files, files_with_both,
   false AS json_logging_enabled, false AS structlog_configured_but_unused, g / total_calls > 0.1 AS high_unknown_logger_usage,
   round(g / total_calls * 100, 4) AS unknown_logger_percentage, false AS high_dynamic_error_templates,
   0.0::DOUBLE AS dynamic_error_percentage, 0.0::DOUBLE AS unknown_error_percentage
-FROM t, b""",
+FROM t JOIN pf USING (machine_id, version_id) JOIN b USING (machine_id, version_id)""",
     AUDIT_SQL,
 )
 def audit_findings(spark, sf_dir):
     facts, bindings, calls, rows = _audit(spark, sf_dir)
     per_file = A.file_counts(rows, FILE_KEY)
-    return A.findings(rows, per_file, A.error_templates(calls, FILE_KEY), A.log_configs(facts, FILE_KEY), bindings)
+    return A.findings(rows, per_file, A.error_templates(calls, FILE_KEY), A.log_configs(facts, FILE_KEY), bindings, INDEX_KEY)
 
 
 @query(
     """
 SELECT DISTINCT machine_id, version_id, path, 3 AS line_no, 'basicConfig' AS config_type, false AS is_guarded,
-  'import-time' AS entry_point_likelihood, false AS has_json_formatting FROM fns WHERE NOT legacy AND file_no % 2 = 0""",
-    CODE_SQL,
+  'import-time' AS entry_point_likelihood, false AS has_json_formatting FROM prod WHERE NOT legacy AND file_no % 2 = 0""",
+    AUDIT_SQL,
 )
 def audit_config_sites(spark, sf_dir):
     return A.log_configs(_facts(spark, sf_dir), FILE_KEY)
@@ -304,23 +312,46 @@ def audit_config_sites(spark, sf_dir):
 
 @query(
     """
-SELECT CASE WHEN path LIKE 'tests/%' THEN 'test_file' WHEN path LIKE 'build/%' THEN 'ignored_path' WHEN legacy THEN 'scanned_regex' ELSE 'scanned_ast' END AS outcome,
-  count(DISTINCT (machine_id, version_id)) AS n_files FROM fns GROUP BY 1""",
+SELECT machine_id, version_id, CASE WHEN path LIKE 'tests/%' THEN 'test_file' WHEN path LIKE 'build/%' THEN 'ignored_path' WHEN legacy THEN 'scanned_regex' ELSE 'scanned_ast' END AS outcome,
+  count(DISTINCT path) AS n_files FROM fns GROUP BY ALL""",
     CODE_SQL,
 )
 def scan_coverage(spark, sf_dir):
-    return A.coverage_counts(A.coverage(code_files(spark, sf_dir)))
+    return A.coverage_counts(A.coverage(code_files(spark, sf_dir)), INDEX_KEY)
 
 
 @query(
     """
-SELECT sum(n)::BIGINT AS total_lines, sum(f)::BIGINT AS non_empty_lines FROM (
-  SELECT 3 + 11 * count(*) + max(legacy::INT) AS n, 2 + max((file_no % 2 = 0)::INT) + 10 * count(*) + max(legacy::INT) AS f
-  FROM fns GROUP BY machine_id, version_id)""",
+SELECT machine_id, version_id, CASE WHEN path LIKE 'tests/%' THEN 'test_file' ELSE 'ignored_path' END AS skip_reason, path,
+  row_number() OVER (PARTITION BY machine_id, version_id, skip_reason ORDER BY path) AS sample_no
+FROM (SELECT DISTINCT machine_id, version_id, path FROM fns WHERE path LIKE 'tests/%' OR path LIKE 'build/%')""",
     CODE_SQL,
 )
+def coverage_samples(spark, sf_dir):
+    return A.skipped_samples(A.coverage(code_files(spark, sf_dir)), group=INDEX_KEY)
+
+
+@query(
+    """
+SELECT machine_id, version_id, path, count(*) FILTER (what = 'print') AS print_calls,
+  row_number() OVER (PARTITION BY machine_id, version_id ORDER BY count(*) FILTER (what = 'print') DESC, path) AS file_no
+FROM events_ GROUP BY machine_id, version_id, path HAVING count(*) FILTER (what = 'print') > 0 QUALIFY file_no <= 10""",
+    AUDIT_SQL,
+)
+def audit_top_files(spark, sf_dir):
+    per_file = A.file_counts(_audit(spark, sf_dir)[3], FILE_KEY)
+    return A.top_files(per_file, "print_calls", group=INDEX_KEY).select(*FILE_KEY, "print_calls", "file_no")
+
+
+@query(
+    """
+SELECT machine_id, version_id, sum(n)::BIGINT AS total_lines, sum(f)::BIGINT AS non_empty_lines FROM (
+  SELECT machine_id, version_id, 3 + 11 * count(*) + max(legacy::INT) AS n, 2 + max((file_no % 2 = 0)::INT) + 10 * count(*) + max(legacy::INT) AS f
+  FROM prod GROUP BY machine_id, version_id) GROUP BY ALL""",
+    AUDIT_SQL,
+)
 def lines_of_code(spark, sf_dir):
-    return A.line_counts(code_files(spark, sf_dir))
+    return A.line_counts(A.coverage(code_files(spark, sf_dir)).filter("skip_reason is null"), INDEX_KEY)
 
 
 # --- manifests -------------------------------------------------------------------------------
