@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglode.functions import paths as P
@@ -61,8 +61,11 @@ def code_roots(
     return per_dir.withColumn("score", score).filter("score > 0")
 
 
-def top_code_roots(listing: DataFrame, limit: int = MAX_CANDIDATES, **options) -> DataFrame:
-    return code_roots(listing, **options).orderBy(F.desc("score"), "path").limit(limit)
+def top_code_roots(listing: DataFrame, limit: int | None = MAX_CANDIDATES, key: Sequence[str] = (), **options) -> DataFrame:
+    """The best directories of each key by score; None keeps all."""
+    roots = code_roots(listing, key, **options)
+    ranked = roots.withColumn("root_no", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "path")))
+    return ranked if limit is None else ranked.filter(F.col("root_no") <= limit)
 
 
 def scan_stats(listing: DataFrame, reason: str = "skip_reason", key: Sequence[str] = ()) -> DataFrame:

@@ -48,7 +48,7 @@ def _order() -> Column:
 
 def _known(postings: DataFrame, chunks: DataFrame, index: Sequence[str]) -> DataFrame:
     """Postings whose chunk exists."""
-    return postings.join(chunks.select(*index, "chunk_id").distinct(), [*index, "chunk_id"], "left_semi")
+    return postings.join(chunks.select(*index, "chunk_id"), [*index, "chunk_id"], "left_semi")
 
 
 def exact_groups(queries: DataFrame, postings: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Entry fields in canonical order, and how many mismatches a report shows.
@@ -193,10 +193,12 @@ def compare_summary(compared: DataFrame) -> DataFrame:
     return counts.withColumn("is_identical", F.col("identical") == F.col("total_paths"))
 
 
-def top_mismatches(compared: DataFrame, limit: int = SHOWN_MISMATCHES) -> DataFrame:
-    """First mismatches: missing in B, missing in A, different; by path."""
+def top_mismatches(compared: DataFrame, limit: int | None = SHOWN_MISMATCHES, group: Sequence[str] = ()) -> DataFrame:
+    """First mismatches of each group: missing in B, missing in A, different; by path."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.col("status"))
-    return compared.filter("status <> 'identical'").orderBy(rank, "path").limit(limit)
+    found = compared.filter("status <> 'identical'")
+    ranked = found.withColumn("mismatch_no", F.row_number().over(Window.partitionBy(*group).orderBy(rank, "path")))
+    return ranked if limit is None else ranked.filter(F.col("mismatch_no") <= limit)
 
 
 def path_difference(a: DataFrame, b: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:

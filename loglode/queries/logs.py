@@ -297,7 +297,8 @@ def _code_hits(spark, sf_dir):
     files = code_files(spark, sf_dir)
     names = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" failed for")).alias("message")).distinct()
     wanted = names.union(spark.range(1).select(F.lit("getLogger(__name__)")))
-    return files, search_messages(explode_lines(files), wanted)
+    hits = cut_lineage(search_messages(explode_lines(files), wanted))
+    return files_with_hits(files, hits, FILE_KEY), hits
 
 
 @query(
@@ -324,7 +325,7 @@ FROM fns""",
 )
 def doc_and_comments(spark, sf_dir):
     files, hits = _code_hits(spark, sf_dir)
-    rich = enrich_matches(files, cut_lineage(hits), FILE_KEY).filter("enclosure_type <> 'module'")
+    rich = enrich_matches(files, hits, FILE_KEY).filter("enclosure_type <> 'module'")
     return rich.select(
         "machine_id", "version_id", "path", "def_line_no", "docstring_text", "docstring_start_line", "docstring_end_line",
         "leading_comment_block", "leading_comment_start_line", "leading_comment_end_line",
