@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +21,16 @@ from loglode.operators.substring_join import substring_join
 from loglode.plans.bounds import broadcast_if_small, measure
 from loglode.session import cut_lineage
 
-# Result limits, weights, thresholds, names.
-TOP_KEYS = 25
-TOP_CHUNKS = 25
-TOP_FILES = 10
+
+class Limits(NamedTuple):
+    """Results kept per query; None keeps all. keys is also the number of exact groups from which no partial ones are asked for."""
+
+    keys: int | None = 25
+    chunks: int | None = 25
+    files: int | None = 10
+
+
+# Weights, thresholds, names.
 CODE_WEIGHT = 0.8
 DOC_WEIGHT = 0.5
 MIN_CODE_SCORE = 0.3
@@ -74,17 +81,20 @@ def partial_keys(
     exact: DataFrame,
     index: Sequence[str] = INDEX,
     repeat_mixed_case: bool = True,
+    limits: Limits = Limits(),
 ) -> DataFrame:
-    """Up to 25 keys per query that contain it, closest first.
+    """Keys per query that contain it, closest first.
 
-    Only asked while fewer than 25 exact groups exist. A key is left out when an exact
+    Only asked while fewer exact groups exist than the limit of keys. A key is left out when an exact
     group already shows it letter for letter; with ``repeat_mixed_case`` off, also when
     they differ in case.
     """
     keys = postings.select(*index, "error_key").distinct()
-    by_query = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    full = by_query.filter(F.col("n") >= TOP_KEYS).select("query_id")
-    open_queries = queries.select("query_id", *index, "norm").join(full, "query_id", "left_anti")
+    open_queries = queries.select("query_id", *index, "norm")
+    if limits.keys is not None:
+        by_query = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        full = by_query.filter(F.col("n") >= limits.keys).select("query_id")
+        open_queries = open_queries.join(full, "query_id", "left_anti")
     pairs = substring_join(keys, open_queries.select(F.col("norm").alias("needle")), "error_key")
     pairs = pairs.join(
         broadcast_if_small(open_queries.withColumn("needle", F.col("norm"))), ["needle", *index]
@@ -94,7 +104,8 @@ def partial_keys(
     pairs = pairs.join(seen, ["query_id", "error_key"], "left_anti")
     scored = pairs.withColumn("score", key_similarity(F.col("norm"), F.col("error_key")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "error_key")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP_KEYS)
+    ranked_keys = scored.withColumn("rank", F.row_number().over(best))
+    return ranked_keys if limits.keys is None else ranked_keys.filter(F.col("rank") <= limits.keys)
 
 
 def partial_groups(
@@ -104,16 +115,17 @@ def partial_groups(
     exact: DataFrame,
     index: Sequence[str] = INDEX,
     repeat_mixed_case: bool = True,
+    limits: Limits = Limits(),
 ) -> DataFrame:
-    top = partial_keys(queries, postings, exact, index, repeat_mixed_case)
-    # At most 25 keys per query: the number of queries bounds the broadcast.
-    small = TOP_KEYS * measure(queries).rows <= TOP_BROADCAST_ROWS
+    top = partial_keys(queries, postings, exact, index, repeat_mixed_case, limits)
+    # With a limit of keys per query, the number of queries bounds the broadcast.
+    small = limits.keys is not None and limits.keys * measure(queries).rows <= TOP_BROADCAST_ROWS
     members = _known(postings.join(F.broadcast(top) if small else top, [*index, "error_key"]), chunks, index)
     first = F.min(F.struct(_order().alias("o"), F.col("chunk_id"))).getField("chunk_id")
     groups = members.groupBy("query_id", *index, "error_key", "score").agg(
         F.count(F.lit(1)).alias("n_chunks"), first.alias("first_chunk_id")
     )
-    # At most 25 groups per query are left; only their first chunks are fetched.
+    # Only the first chunks of the groups that are left are fetched.
     code = chunks.select(*index, F.col("chunk_id").alias("first_chunk_id"), "code")
     shown = groups.join(broadcast_if_small(queries.select("query_id", "message", "sig")), "query_id").join(
         code, [*index, "first_chunk_id"]
@@ -199,8 +211,8 @@ def with_chunk_score(rows: DataFrame) -> DataFrame:
     return settle(scored.drop("_messages", "_code", "_notes", "_of_messages", "_of_code", "_of_notes"), "score")
 
 
-def code_chunks(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX) -> DataFrame:
-    """Top 25 chunks per query by content, of the top 10 files by their best chunk."""
+def code_chunks(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX, limits: Limits = Limits()) -> DataFrame:
+    """Top chunks per query by content, of the top files by their best chunk."""
     asked = queries.filter(F.size("sig") >= 2)
     pairs = code_candidates(asked, chunks, index)
     rows = chunks.join(pairs, [*index, "chunk_id"]).join(
@@ -208,16 +220,19 @@ def code_chunks(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = IN
     )
     scored = with_chunk_score(rows).filter(F.col("score") >= MIN_CODE_SCORE)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = scored.withColumn("chunk_rank", F.row_number().over(best)).filter(F.col("chunk_rank") <= TOP_CHUNKS)
+    top = scored.withColumn("chunk_rank", F.row_number().over(best))
+    if limits.chunks is not None:
+        top = top.filter(F.col("chunk_rank") <= limits.chunks)
     in_file = Window.partitionBy("query_id", "path")
     top = top.withColumn("file_score", F.max("score").over(in_file))
     file_order = Window.partitionBy("query_id").orderBy(F.desc("file_score"), "path")
-    return top.withColumn("file_rank", F.dense_rank().over(file_order)).filter(F.col("file_rank") <= TOP_FILES)
+    top = top.withColumn("file_rank", F.dense_rank().over(file_order))
+    return top if limits.files is None else top.filter(F.col("file_rank") <= limits.files)
 
 
-def code_groups(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX) -> DataFrame:
+def code_groups(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX, limits: Limits = Limits()) -> DataFrame:
     """Content matches grouped by file."""
-    top = code_chunks(queries, chunks, index)
+    top = code_chunks(queries, chunks, index, limits)
     norm = F.col("norm")
     hit = F.filter("error_messages", lambda e: F.contains(F.lower(e["message"]), norm))
     said = F.get(hit, 0)["message"]
@@ -250,19 +265,19 @@ def search_index(
     chunks: DataFrame,
     index: Sequence[str] = INDEX,
     repeat_mixed_case: bool = True,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """All three tiers for every query; content search only for queries without a hit.
 
     ``queries`` has ``query_id``, the index columns and ``message``. Queries and the
-    groups of the first tiers (at most 25 partial ones each) are kept, since the later
-    tiers ask for them again.
+    groups of the first tiers are stored, since the later tiers ask for them again.
     """
-    asked = prepare_queries(queries).persist()
-    exact = exact_groups(asked, postings, chunks, index).persist()
-    partial = partial_groups(asked, postings, chunks, exact, index, repeat_mixed_case)
+    asked = cut_lineage(prepare_queries(queries))
+    exact = cut_lineage(exact_groups(asked, postings, chunks, index))
+    partial = partial_groups(asked, postings, chunks, exact, index, repeat_mixed_case, limits)
     keyed = cut_lineage(exact.unionByName(partial))
-    unanswered = asked.join(keyed.select("query_id").distinct(), "query_id", "left_anti").persist()
-    return keyed.unionByName(code_groups(unanswered, chunks, index))
+    unanswered = cut_lineage(asked.join(keyed.select("query_id").distinct(), "query_id", "left_anti"))
+    return keyed.unionByName(code_groups(unanswered, chunks, index, limits))
 
 
 def ranked(results: DataFrame) -> DataFrame:
