@@ -42,8 +42,8 @@ def build_session(app: str = "loglode", master: str | None = None, **conf: str)
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a reused result to the shared checkpoint folder and go on from there.
 
-    The folder is the one the session names; on a local master, where none may be
-    named, a new scratch folder serves. Without either the result is persisted.
+    The folder is the one the session names. On a local master, as in tests, a new
+    scratch folder serves where none is named; a cluster has to name one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -53,5 +53,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         elif context.master.startswith("local"):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         else:
-            return df.persist()
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return df.checkpoint()
