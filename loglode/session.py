@@ -50,7 +50,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named:
             context.setCheckpointDir(named)
-        elif context.master.startswith("local"):
+        elif context.master == "local" or context.master.startswith("local["):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         else:
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
