@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loglode.llm.common import CHUNK_BYTES, chunks, offsets, raw_bytes
 
 #: Text of one batch: its words are looked up together and its documents reassembled together.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 12 << 20
 _ROW = "key long, batch long, words binary, sizes binary, places binary, doc_id long, sequence binary"
 _IDS_ROW = "key long, places binary, sizes binary, ids binary"
 
@@ -115,7 +115,7 @@ def _encode_words(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict[bytes, int] = shared.value
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}
         for part in batches:
             rows = []
             for row in part.select(["batch", "words", "sizes", "places"]).to_pylist():
@@ -126,10 +126,10 @@ def _encode_words(shared):
                     word = row["words"][at : at + size]
                     at += size
                     if (own := known.get(word)) is None:
-                        own = known[word] = merge(word, ranks)
-                    ids += own
-                    counts.append(len(own))
-                rows.append((-1 - row["batch"], row["places"], _pack(np.array(counts)), _pack(np.array(ids))))
+                        own = known[word] = np.array(merge(word, ranks), "<u4").tobytes()
+                    ids.append(own)
+                    counts.append(len(own) // 4)
+                rows.append((-1 - row["batch"], row["places"], _pack(np.array(counts)), _pack(np.frombuffer(b"".join(ids), "<u4"))))
             columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
             arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "places", "sizes", "ids"])
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     Every match of the pattern is encoded by itself, as byte-pair merges by rank, without special tokens.
 
-    A batch of some 32 MB of text turns into its distinct words and its documents as sequences of word numbers. Words
+    A batch of some 12 MB of text turns into its distinct words and its documents as sequences of word numbers. Words
     are shuffled by hash, so each distinct word of the table is encoded once; their ids go back to the batches, where
     they replace the numbers at every position. The one exchange carries both kinds of rows and is read twice. A very
     common word costs one entry per batch. The vocabulary (some 50,000 tokens, whatever the input) is broadcast.
