@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglode.llm.common import CHUNK_BYTES, chunks, offsets, raw_bytes
+from loglode.llm.common import CHUNK_BYTES, chunks, map_arrow, offsets, raw_bytes
 
 #: Text of one batch: its words are looked up together and its documents reassembled together.
 BATCH_BYTES = 12 << 20
@@ -181,8 +181,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(ranks)
     fan = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("`doc_id`"), F.col("`text`"))
-    rows = slim.mapInArrow(_split(pattern, fan), _ROW).repartition("key")
-    found = rows.mapInArrow(_encode_words(shared), _IDS_ROW)
+    rows = map_arrow(slim, _split(pattern, fan), _ROW).repartition("key")
+    found = map_arrow(rows, _encode_words(shared), _IDS_ROW)
     both = rows.groupBy("key").cogroup(found.groupBy("key"))
     return both.applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
 
@@ -219,4 +219,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     spark: SparkSession = encoded.sparkSession
     shared = spark.sparkContext.broadcast(token_bytes(ranks))
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded binary"
-    return encoded.mapInArrow(_decode(shared, encoded.columns), schema)
+    return map_arrow(encoded, _decode(shared, encoded.columns), schema)

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loglode.session import cut_lineage
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+ARROW_BATCH = "8m"
 LAST_ID = (1 << 63) - 1
 
 _SEPARATOR = np.zeros(256, bool)
@@ -30,6 +32,14 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches small enough for texts of any length, unless the session sets their size."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared checkpoint folder and read again."""
     spark = df.sparkSession
@@ -135,7 +145,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     kept = np.flatnonzero(~gap)
     sizes = ends - starts
     head = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
-    within = np.arange(len(kept)) - np.repeat(head, sizes)
+    within = np.arange(len(kept), dtype=np.int32) - np.repeat(head.astype(np.int32), sizes)
     symbols = data[kept]
     values = _BYTE_VALUES[_LOWER[symbols] if lower else symbols]
     values *= powers(int(sizes.max()) if len(sizes) else 1)[within]

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglode.llm.common import chunks
+from loglode.llm.common import chunks, map_arrow
 
 ERROR_PERCENT = 8
 MIN_CHARS = 20
@@ -155,7 +155,7 @@ def leaks(docs: DataFrame, items: DataFrame, error_percent: int = ERROR_PERCENT,
     """
     slim = docs.select(F.col("`doc_id`"), F.col("`text`"))
     schema = "doc_id long, item_id long, errors long"
-    found = [slim.mapInArrow(_hits(s, error_percent), schema) for s in _slices(docs, items, min_chars)]
+    found = [map_arrow(slim, _hits(s, error_percent), schema) for s in _slices(docs, items, min_chars)]
     return reduce(DataFrame.union, found) if found else slim.where(F.lit(False)).select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("item_id", "errors")])
 
 
@@ -163,5 +163,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, *columns: str, error_percen
     """The named columns (text among them) of the documents that hold no item, as `leaks` finds them, in the same passes."""
     rest = docs.select(*[F.col(f"`{c}`") for c in columns])
     for shared in _slices(docs, items, min_chars):
-        rest = rest.mapInArrow(_clean(shared, error_percent), rest.schema)
+        rest = map_arrow(rest, _clean(shared, error_percent), rest.schema)
     return rest

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglode.llm.block_lstm import scores, train
-from loglode.llm.common import chunks
+from loglode.llm.common import chunks, map_arrow
 from loglode.llm.html_blocks import Block, blocks
 
 #: Pages the labeller is fitted on, drawn by a hash of their text; only pages of up to TRAIN_BYTES are drawn.
@@ -93,4 +93,4 @@ def main_text(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) ->
     """
     shared = pages.sparkSession.sparkContext.broadcast(fit(pages) if weights is None else weights)
     slim = pages.select(*[F.col(f"`{c}`") for c in ("page_id", "url", "html")])
-    return slim.mapInArrow(_extract(shared), "page_id long, url string, text string, n_chars long, n_blocks long")
+    return map_arrow(slim, _extract(shared), "page_id long, url string, text string, n_chars long, n_blocks long")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglode.llm.common import chunks, gram_hashes, mix, plain, signed, stored, words
+from loglode.llm.common import chunks, gram_hashes, map_arrow, mix, plain, signed, stored, words
 from loglode.llm.components import components
 from loglode.llm.superminhash import signatures
 
@@ -19,7 +19,7 @@ SHINGLE = 5
 BANDS = 32
 ROWS = 4
 MIN_PERCENT = 75
-BLOCK = 1000
+BLOCK = 500
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     repeated rows get equal results; other columns are ignored.
     """
     slim = plain(docs, "doc_id", "text")
-    sketch = stored(slim.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
+    sketch = stored(map_arrow(slim, _sketches(shingle, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s"))
     sets = stored(sets.select("s1", "s2", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), F.col("s.bands").alias("bands")))
@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     star = stored(star.where("a <> b").where(fits).select("a", "b").distinct())
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
     kept = slim.join(wanted, "doc_id", "left_semi")
-    members = stored(kept.mapInArrow(_set_rows(shingle), "id long, members array<long>").join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    members = stored(map_arrow(kept, _set_rows(shingle), "id long, members array<long>").join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"]))
     links = confirmed(star, members, min_percent)
     groups = components(links)
     more = stored(_across(shared, groups, members, min_percent))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglode.llm.common import chunks, gram_hashes, offsets, raw_bytes, stored, words
+from loglode.llm.common import chunks, gram_hashes, map_arrow, offsets, raw_bytes, stored, words
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -17,6 +17,8 @@ REPEAT_WINDOW = 5
 #: A fence lies this many quartile distances beyond the median, and never nearer than the least distance given.
 FENCE = 3
 MIN_GROUP = 100
+#: So many rows of fences (some 100 bytes each) are sent to every task; more of them meet the documents in a shuffle.
+FENCES_TO_ALL = 100_000
 SKETCH_BITS = 7
 SYMBOLS_LEAST, DUP_LINES_LEAST, WORD_LENGTH_LEAST = 100, 400, 250
 
@@ -72,7 +74,7 @@ def measured(docs: DataFrame, *carry: str) -> DataFrame:
     kinds = dict(docs.select(*[F.col(f"`{c}`") for c in carry]).dtypes)
     taken = docs.select(F.col("`text`"), *[F.col(f"`{c}`").alias(f"own_{c}") for c in carry])
     schema = "".join(f"own_{c} {kinds[c]}, " for c in carry) + ", ".join(f"{c} long" for c in _COUNTS)
-    out = taken.mapInArrow(_measure, schema)
+    out = map_arrow(taken, _measure, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -128,6 +130,9 @@ def judged(counts: DataFrame, quarters: DataFrame) -> DataFrame:
         around("symbols", SYMBOLS_LEAST, 1).alias("symbols_most"), around("dup_lines", DUP_LINES_LEAST, 1).alias("dup_lines_most"),
         around("word_length", WORD_LENGTH_LEAST, 1).alias("word_length_most"), around("word_length", WORD_LENGTH_LEAST, -1).alias("word_length_least"),
     )
+    fences = stored(fences)
+    if fences.count() <= FENCES_TO_ALL:
+        fences = F.broadcast(fences)
     same = (F.coalesce("own_lang", F.lit("")) == F.col("fence_lang")) & (F.coalesce("own_source", F.lit("")) == F.col("fence_source"))
     metric = {k: F.expr(v) for k, v in _METRICS.items()}
     within = (metric["symbols"] <= F.col("symbols_most")) & (metric["dup_lines"] <= F.col("dup_lines_most"))

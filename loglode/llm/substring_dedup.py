@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglode.llm.common import LAST_ID, Words, chunks, gram_hashes, mix, powers, raw_bytes, signed, stored, words
+from loglode.llm.common import LAST_ID, Words, chunks, gram_hashes, map_arrow, mix, powers, raw_bytes, signed, stored, words
 
 MIN_WORDS = 13
 ANCHOR = 5
+INDEX_CHUNK = 2 << 20
 _BLOCK_ROW = "key int, content long, doc long, tag int, at int, n int, kind int"
 BLOCK, FACTOR, MIXED, MARK = 0, 1, 2, 3
 _SPAN_ROW = "window long, doc long, tag int, at int"
@@ -75,7 +76,7 @@ def _index_rows(size: int, anchor: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, limit=INDEX_CHUNK):
             b = cut_blocks(part.column("text"), size, anchor)
             if not len(b.text):
                 continue
@@ -215,7 +216,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
         F.col("`doc_id`"), F.col("`text`"), F.coalesce("`doc_id`", F.lit(LAST_ID)).alias("doc"),
         F.hash("`text`").alias("tag"), *[F.col(f"`{c}`").alias(f"own_{c}") for c in carry],
     )
-    index = keyed.select("text", "doc", "tag").mapInArrow(_index_rows(min_words, anchor), _BLOCK_ROW).repartition("key")
+    index = map_arrow(keyed.select("text", "doc", "tag"), _index_rows(min_words, anchor), _BLOCK_ROW).repartition("key")
     same, near = Window.partitionBy("key", "content"), Window.partitionBy("key")
     content = F.when(F.col("kind") == BLOCK, F.col("content"))
     marked = F.coalesce(F.max((F.col("kind") == MARK)).over(near), F.lit(False))
@@ -229,7 +230,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
     )
     spans = stored(spans)
     edge = keyed.join(spans.where(F.size("open") > 0).select("doc", "tag", "open").hint("shuffle_hash"), ["doc", "tag"])
-    edge = edge.mapInArrow(_boundary_rows(min_words), _SPAN_ROW)
+    edge = map_arrow(edge, _boundary_rows(min_words), _SPAN_ROW)
     first = edge.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     edge = edge.join(first.select("window", "first"), "window").where(F.col("doc") > F.col("first"))
     edge = edge.groupBy("doc", "tag").agg(F.collect_set("at").alias("edges"))
@@ -240,4 +241,4 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
         types = dict(docs.select(*[F.col(f"`{c}`") for c in carry]).dtypes)
         schema += ", kept_text string" + "".join(f", own_{c} {types[c]}" for c in carry)
     columns = ["doc_id", "text", "factors", "edges", *[f"own_{c}" for c in carry]]
-    return cut.select(*columns).mapInArrow(_cut_rows(min_words, text_out), schema)
+    return map_arrow(cut.select(*columns), _cut_rows(min_words, text_out), schema)

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglode.llm.common import CHUNK_BYTES, chunks
+from loglode.llm.common import CHUNK_BYTES, chunks, map_arrow
 
 BATCH_BYTES = 16 << 20
 #: Distinct words a worker remembers between batches; beyond that it starts over (results do not change).
@@ -93,4 +93,4 @@ def token_counts(docs: DataFrame, scores: dict[bytes, float], pattern: str) -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast(scores)
     slim = docs.select(F.col("`doc_id`"), F.col("`text`"))
-    return slim.mapInArrow(_count(shared, pattern), "doc_id long, n_pretokens long, n_tokens long")
+    return map_arrow(slim, _count(shared, pattern), "doc_id long, n_pretokens long, n_tokens long")
