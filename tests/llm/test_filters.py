@@ -130,3 +130,26 @@ def test_licences(spark):
     assert got == Counter([(6000, 2, "mit"), (6001, 1, "apache"), (6002, 1, "gpl"), (6003, 1, "cc-by-nc"), (None, 1, "reserved")])
     plan = licence_paragraphs(frame(spark, rows))._jdf.queryExecution().toString()
     assert not any(k in plan for k in ("Python", "Arrow", "Pandas"))
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_wrapped_licences(spark):
+    rows, want = documents(), []
+    for k, (family, text) in enumerate(WRAPPED.items()):
+        lines = text.split("\n")
+        for j, mark in enumerate(("", "# ", " * ", "// ", "REM ", "-- ")):
+            rows.append((7000 + 10 * k + j, "\n".join(["/*", f"{mark}Copyright 2020 Ann Lee", mark.rstrip(), *[mark + x for x in lines], "*/", "", "int main();"])))
+            want.append((7000 + 10 * k + j, 4, family))
+    prose = " ".join(f"word{i} then" for i in range(150))
+    rows.append((7100, f"{prose} This work is licensed under the GNU General Public License, version 3. {prose}"))  # one long line
+    rows.append((7101, f"{prose}\nand so on. The program was released\nunder the MIT License.\n{prose}"))  # wrapped, in no block of its own
+    rows.append((7102, "Released under the MIT License.\nReleased under the MIT License.\nReleased under the GNU General Public License."))
+    want += [(7100, 1, "gpl"), (7101, 2, "mit"), (7102, 1, "mit"), (7102, 2, "mit"), (7102, 3, "gpl")]
+    got = Counter((r.doc_id, r.line_no, r.family) for r in licence_paragraphs(frame(spark, rows)).collect())
+    assert got == Counter(want)
