@@ -6,7 +6,7 @@ from collections import Counter
 
 from brute import WORD, documents, frame, least_errors
 from loglode.llm.decontaminate import Matcher, errors_within, leaks, normal, without_leaks
-from loglode.llm.licenses import licence_paragraphs
+from loglode.llm.licenses import LEAST_PROBABILITY, licence_paragraphs, sample_lines, thresholds
 from loglode.llm.quality import keep_good, quality_verdicts
 from loglode.llm.sharding import shard_by_bytes
 from loglode.llm.url_filter import filter_urls
@@ -153,3 +153,14 @@ def test_wrapped_licences(spark):
     want += [(7100, 1, "gpl"), (7101, 2, "mit"), (7102, 1, "mit"), (7102, 2, "mit"), (7102, 3, "gpl")]
     got = Counter((r.doc_id, r.line_no, r.family) for r in licence_paragraphs(frame(spark, rows)).collect())
     assert got == Counter(want)
+
+
+def test_licence_calibration(spark):
+    # One held line that looks like a licence moves neither its own family's threshold nor another's.
+    assert thresholds([(1, 0.99), (2, 0.3)], 300, 3) == [LEAST_PROBABILITY] * 3
+    assert thresholds([(1, 0.99), (1, 0.8), (2, 0.99)], 300, 2) == [0.8 + 1e-6, LEAST_PROBABILITY]
+    # Copies do not crowd out other texts, and what may be a licence is not taught as unknown.
+    rows = [(k, f"copy number {k % 30}") for k in range(3000)] + [(4000 + k, f"text alone {k}") for k in range(30)]
+    rows += [(5000, "GNU GPL v3\nMIT\n(c) 2019\nTous droits réservés\nrights all")]
+    got = {" ".join(r.words) for r in sample_lines(frame(spark, rows)).collect()}
+    assert got == {t for _, t in rows[:30]} | {t for i, t in rows if 4000 <= i < 5000}
