@@ -23,6 +23,7 @@ STEPS = (8, 8, 16, 32)
 SAMPLE = 16
 #: Components beyond count as this.
 LARGEST = float(1 << 62)
+LONG = (1 << 63) - 1
 
 
 class Anchors(NamedTuple):
@@ -39,21 +40,19 @@ class Best:
     """The k best (score, id) of one window; equal scores by smaller id, equal pairs once."""
 
     def __init__(self, k: int):
-        self.k, self.scores, self.ids = k, [], np.zeros(0, np.int64)
+        self.k, self.pairs = k, []
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        pool = np.concatenate([np.asarray(self.scores, scores.dtype), scores])
-        ids = np.concatenate([self.ids, ids])
-        if len(pool) > 4 * self.k and pool.dtype != object:
-            top = pool >= np.partition(pool, len(pool) - self.k)[len(pool) - self.k]
-            if top.sum() >= 4 * self.k or len(set(zip(pool[top].tolist(), ids[top].tolist(), strict=True))) >= self.k:
-                pool, ids = pool[top], ids[top]
-        best = sorted({(-s, i) for s, i in zip(pool.tolist(), ids.tolist(), strict=True)})[: self.k]
-        self.scores, self.ids = [-s for s, _ in best], np.array([i for _, i in best], np.int64)
+        if len(scores) > 4 * self.k and scores.dtype != object:
+            top = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            if len(set(zip(scores[top].tolist(), ids[top].tolist(), strict=True))) >= self.k:
+                scores, ids = scores[top], ids[top]
+        new = {(-int(s), i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)}
+        self.pairs = sorted(new.union(self.pairs))[: self.k]
 
     @property
     def least(self) -> float:
-        return self.scores[-1] if len(self.scores) == self.k else -np.inf
+        return -self.pairs[-1][0] if len(self.pairs) == self.k else -np.inf
 
 
 def whole_numbers(column: pa.ListArray, scale: float, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +133,7 @@ def _scan(sent: Broadcast, scale: float, k: int, same: bool):
                 edges = columns.min(1), columns.max(1)
                 for a in np.flatnonzero(anchors.labels == label).tolist():
                     _one(a, as_type(vectors[a : a + 1], kind)[0], columns, edges, ids[fits], anchors, best, k)
-        out = [(a, w, max(min(int(s), (1 << 63) - 1), -(1 << 63)), i) for (a, w), b in best.items() for s, i in zip(b.scores, b.ids.tolist(), strict=True)]
+        out = [(a, w, -s, i) for (a, w), b in best.items() for s, i in b.pairs]
         for at in range(0, len(out), 100_000):
             part = list(zip(*out[at : at + 100_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.int64())], names=["anchor", "nth", "score", "id"])
@@ -151,6 +150,8 @@ def _one(a: int, vector: np.ndarray, columns: np.ndarray, edges: tuple, ids: np.
     rows, scores = bond(vector, columns, *edges, min(low.values()), max(anchors.high[a, w] for w in windows))
     if not len(rows):
         return
+    if scores.dtype == object:
+        scores = np.array([max(min(s, LONG), -LONG - 1) for s in scores], object)
     own = ids[rows]
     other = own != anchors.ids[a]
     for w in windows:
@@ -194,7 +195,7 @@ def hard_negatives(
     Rows with a null vec_id, label or vector, or a component that is null or not finite, take no part. Vectors of
     different lengths meet with zeros behind the shorter one. A row with the anchor's own vec_id is no other row; rows
     equal in vec_id and score count once for an anchor; one vec_id with two vectors is two anchors. Components beyond
-    2^62 count as that, scores beyond 64 bits as the nearest long. No anchors, or an empty table: no rows. Columns beyond
+    2^62 count as that, scores beyond 64 bits as the nearest long, before anything is compared. No anchors, or an empty table: no rows. Columns beyond
     these three are not looked at.
 
     Anchors are sent to the tasks in slices of SLICE_BYTES at most, one after the other; every slice meets all rows. Each
@@ -229,11 +230,11 @@ def _slice(rows: DataFrame, chosen: DataFrame, scale: float, positives: int, neg
         first.setdefault((vec_id, label, vector.tobytes()), i)
     at = np.array(sorted(first.values()), np.int64)
     n = len(at)
-    endless = np.full((n, 1), np.inf)
+    endless = np.full((n, 1), np.inf, object)
     anchors = Anchors(ids[at], labels[at], found[fine][at], -endless, endless)
     best = _search(rows, _raised(rows, anchors, scale, positives, True), scale, positives, True)
     best = stored(best.select("anchor", F.col("place").alias("nth"), F.col("score").alias("positive_score"), F.col("id").alias("positive_id")))
-    low, high = np.full((n, positives), 1.0), np.zeros((n, positives))
+    low, high = np.full((n, positives), 1, object), np.full((n, positives), 0, object)
     for r in best.select("anchor", "nth", "positive_score").collect():
         if low_percent * r.positive_score <= high_percent * r.positive_score:
             low[r.anchor, r.nth - 1] = -(-low_percent * r.positive_score // 100)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglode.llm.byte_bpe import decode, encode, read_ranks
+from loglode.llm.conversation_repair import repair_conversations
 from loglode.llm.decontaminate import leaks
 from loglode.llm.hard_negatives import hard_negatives
 from loglode.llm.html_text import main_text
@@ -199,6 +200,83 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _edit(p: str, cost: int | str, letter: str, line: str = "''") -> str:
+    """SQL: a state `cost, audit, chr(1), lines` with one more edit in front, and the line that edit leaves."""
+    return f"(lpad((left({p}, 10)::INT + {cost})::VARCHAR, 10, '0') || '{letter}' || substr({p}, 11, instr({p}, chr(1)) - 10) || {line} || substr({p}, instr({p}, chr(1)) + 1))"
+
+
+#: Grammar states: 0 nothing yet, 1 behind s, 2 behind u, 3 behind a; the state behind the next user or assistant.
+_ON = {0: 2, 1: 2, 2: 3, 3: 2}
+_ROLE = {2: "user", 3: "assistant"}
+
+
+def _own_edits(state: int) -> str:
+    on = _ON[state]
+    keeps = [("u" if on == 2 else "a", on)] + [("s", 1)] * (state == 0)
+    ways = [_edit(f"p{state}", 2, "D")]
+    ways += [f"CASE WHEN fault < 2 THEN {_edit(f'p{on}', '(1 + 5 * fault)', 'R', f"'{_ROLE[on]}:' || text || chr(10)")} END"]
+    ways += [f"CASE WHEN fault < 2 AND left(role, 1) = '{c}' THEN {_edit(f'p{to}', '5 * fault', 'K', "role || ':' || text || chr(10)")} END" for c, to in keeps]
+    return f"least({', '.join(ways)})"
+
+
+def _inserted(state: int) -> str:
+    on = _ON[state]
+    return _edit(f"b{on}", 5, "I", f"'{_ROLE[on]}:' || chr(10)")
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda x: ascii(x)::BIGINT)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 20 AS h
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM c WHERE h > 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ends FROM d
+), r AS (
+  SELECT *, CASE WHEN ends = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 3
+    WHEN right(ends, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault,
+    coalesce(left(lag(role) OVER (PARTITION BY conv_id ORDER BY k), 1) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM o
+), s AS (
+  SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 2) AS blank,
+    count(*) FILTER (WHERE fault = 3) AS duplicate, count(*) FILTER (WHERE fault = 1) AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM r GROUP BY conv_id
+), dp(conv_id, k, p0, p1, p2, p3) AS (
+  SELECT conv_id, n, '0000000000' || chr(1), '0000000010II' || chr(1) || 'user:' || chr(10) || 'assistant:' || chr(10),
+    '0000000005I' || chr(1) || 'assistant:' || chr(10), '0000000000' || chr(1) FROM s
+  UNION ALL
+  SELECT conv_id, k, least(b0, {_inserted(0)}), least(b1, {_inserted(1)}), b2, b3 FROM (
+    SELECT conv_id, k, b0, b1, least(b2, {_inserted(2)}) AS b2, least(b3, {_inserted(3)}) AS b3 FROM (
+      SELECT conv_id, k - 1 AS k, {_own_edits(0)} AS b0, {_own_edits(1)} AS b1, {_own_edits(2)} AS b2, {_own_edits(3)} AS b3
+      FROM (SELECT dp.*, r.role, r.text, r.fault FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.k = dp.k)))
+), e AS (SELECT conv_id, left(p0, 10)::BIGINT AS cost, substr(p0, 11, instr(p0, chr(1)) - 11) AS audit, substr(p0, instr(p0, chr(1)) + 1) AS lines FROM dp WHERE k = 0)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(lines, length(lines) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with known faults: `copies` says how often a row is left in its place."""
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(own("conv_id"), F.lit(":"), own("turn")).cast("binary")) % 20
+    text = F.when(h == 1, "").when(h == 2, F.translate(own("text"), ".!?", "")).otherwise(own("text"))
+    role = F.when(h == 4, "user").otherwise(own("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(h == 0, 0).when(h == 3, 2).otherwise(1).alias("copies"))
+
+
+@query(OP11_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after known damage."""
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), F.col("copies"))
+
+
 OP12_SQL = """
 WITH r AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
