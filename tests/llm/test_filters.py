@@ -67,6 +67,14 @@ def test_leaks(spark):
     assert leaks(df, table.where("false")).count() == 0 and leaks(df.where("false"), table).count() == 0
 
 
+def test_short_items_stand_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "What is 7 x 6?"), (2, "cat"), (3, "?!"), (4, "a b")], "item_id long, text string")
+    texts = ["So: what is 7 X 6? 42", "concatenate", "The CAT.", "cat", "what is 7 x 61", "c a b", "a ba b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, leaks(docs, items).collect())) == [(0, 1, 0), (2, 2, 0), (3, 2, 0), (5, 4, 0)]
+    assert sorted(r.doc_id for r in without_leaks(docs, items, "doc_id", "text").collect()) == [1, 4, 6, 7]
+
+
 def test_edit_distance():
     rng = random.Random(3)
     for _ in range(200):
