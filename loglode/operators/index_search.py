@@ -17,8 +17,8 @@ from loglode.functions.scoring import (
     significant_tokens,
 )
 from loglode.functions.text import settle, shorten
-from loglode.operators.substring_join import substring_join
-from loglode.plans.bounds import broadcast_if_small, measure
+from loglode.functions.text import words as words_of
+from loglode.operators.word_index import CHUNK, KEY, WordIndex, build_words, places_of, rarest_tokens
 from loglode.session import cut_lineage
 
 
@@ -35,7 +35,6 @@ CODE_WEIGHT = 0.8
 DOC_WEIGHT = 0.5
 MIN_CODE_SCORE = 0.3
 SNIPPET = 150
-TOP_BROADCAST_ROWS = 250_000
 FILE_LABEL = "Code match in "
 
 INDEX = ("machine_id", "version_id")
@@ -60,7 +59,7 @@ def _known(postings: DataFrame, chunks: DataFrame, index: Sequence[str]) -> Data
 
 def exact_groups(queries: DataFrame, postings: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX) -> DataFrame:
     """One group per distinct original message under the query's key, with its first chunk."""
-    wanted = broadcast_if_small(queries.select("query_id", *index, F.col("norm").alias("error_key")))
+    wanted = queries.select("query_id", *index, F.col("norm").alias("error_key"))
     hits = _known(postings.join(wanted, [*index, "error_key"]), chunks, index)
     first = F.min(F.struct(_order().alias("o"), F.col("chunk_id"))).getField("chunk_id")
     return hits.groupBy("query_id", *index, "original_message").agg(first.alias("chunk_id")).select(
@@ -77,7 +76,7 @@ def exact_groups(queries: DataFrame, postings: DataFrame, chunks: DataFrame, ind
 
 def partial_keys(
     queries: DataFrame,
-    postings: DataFrame,
+    found: WordIndex,
     exact: DataFrame,
     index: Sequence[str] = INDEX,
     repeat_mixed_case: bool = True,
@@ -85,20 +84,21 @@ def partial_keys(
 ) -> DataFrame:
     """Keys per query that contain it, closest first.
 
-    Only asked while fewer exact groups exist than the limit of keys. A key is left out when an exact
-    group already shows it letter for letter; with ``repeat_mixed_case`` off, also when
-    they differ in case.
+    A key that contains the query holds each of the query's words within one of its own;
+    the query's rarest word, by the frequencies of the word index, names the keys to
+    look at. Only asked while fewer exact groups exist than the limit of keys. A key is
+    left out when an exact group already shows it letter for letter; with
+    ``repeat_mixed_case`` off, also when they differ in case.
     """
-    keys = postings.select(*index, "error_key").distinct()
     open_queries = queries.select("query_id", *index, "norm")
     if limits.keys is not None:
         by_query = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         full = by_query.filter(F.col("n") >= limits.keys).select("query_id")
         open_queries = open_queries.join(full, "query_id", "left_anti")
-    pairs = substring_join(keys, open_queries.select(F.col("norm").alias("needle")), "error_key")
-    pairs = pairs.join(
-        broadcast_if_small(open_queries.withColumn("needle", F.col("norm"))), ["needle", *index]
-    ).drop("needle")
+    tokens = open_queries.select("query_id", *index, F.posexplode(F.array_distinct(words_of(F.col("norm")))).alias("token_pos", "token"))
+    picked = rarest_tokens(tokens, found, KEY, F.lit(1), index).filter("absent = 0")
+    keys = places_of(picked, found, KEY, index).withColumnRenamed("id", "error_key")
+    pairs = keys.join(open_queries, ["query_id", *index]).filter(F.contains("error_key", F.col("norm")))
     shown = F.col("error_key") if repeat_mixed_case else F.lower("error_key")
     seen = exact.select("query_id", shown.alias("error_key")).distinct()
     pairs = pairs.join(seen, ["query_id", "error_key"], "left_anti")
@@ -112,22 +112,21 @@ def partial_groups(
     queries: DataFrame,
     postings: DataFrame,
     chunks: DataFrame,
+    found: WordIndex,
     exact: DataFrame,
     index: Sequence[str] = INDEX,
     repeat_mixed_case: bool = True,
     limits: Limits = Limits(),
 ) -> DataFrame:
-    top = partial_keys(queries, postings, exact, index, repeat_mixed_case, limits)
-    # With a limit of keys per query, the number of queries bounds the broadcast.
-    small = limits.keys is not None and limits.keys * measure(queries).rows <= TOP_BROADCAST_ROWS
-    members = _known(postings.join(F.broadcast(top) if small else top, [*index, "error_key"]), chunks, index)
+    top = partial_keys(queries, found, exact, index, repeat_mixed_case, limits)
+    members = _known(postings.join(top, [*index, "error_key"]), chunks, index)
     first = F.min(F.struct(_order().alias("o"), F.col("chunk_id"))).getField("chunk_id")
     groups = members.groupBy("query_id", *index, "error_key", "score").agg(
         F.count(F.lit(1)).alias("n_chunks"), first.alias("first_chunk_id")
     )
     # Only the first chunks of the groups that are left are fetched.
     code = chunks.select(*index, F.col("chunk_id").alias("first_chunk_id"), "code")
-    shown = groups.join(broadcast_if_small(queries.select("query_id", "message", "sig")), "query_id").join(
+    shown = groups.join(queries.select("query_id", "message", "sig"), "query_id").join(
         code, [*index, "first_chunk_id"]
     )
     shown = shown.withColumn("excerpt", match_excerpt(F.col("message"), F.col("sig"), F.col("code")))
@@ -145,42 +144,19 @@ def partial_groups(
     )
 
 
-def group_members(groups: DataFrame, postings: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX) -> DataFrame:
-    """Chunks of partial groups in row form: posting order, repeats kept."""
-    wanted = groups.filter("match_type = 'partial'").select("query_id", *index, "error_key", "score")
-    hits = _known(postings.join(wanted, [*index, "error_key"]), chunks, index)
-    return hits.select("query_id", *index, "error_key", "score", *POSTING_ORDER, "chunk_id")
-
-
-def code_candidates(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX) -> DataFrame:
+def code_candidates(queries: DataFrame, found: WordIndex, index: Sequence[str] = INDEX) -> DataFrame:
     """(query, chunk) pairs that can reach a score.
 
-    A score needs at least half of the n significant tokens, so at least one of the
-    n - ceil(n/2) + 1 rarest must occur; only those are searched, common words never.
+    A score needs at least half of the n significant tokens, so at least one of any
+    n - ceil(n/2) + 1 of them must occur. The ones with the fewest chunks, by the
+    frequencies of the word index, are looked up; common words never are.
     """
-    tokens = queries.select("query_id", *index, F.posexplode(F.array_distinct("sig")).alias("token_pos", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_queries"))
-    rank = F.struct("n_queries", (-F.length("token")).alias("length"), "token_pos", "token")
-    per_query = tokens.join(shared, "token").groupBy("query_id", *index).agg(F.array_sort(F.collect_list(rank)).alias("ts"))
-    sizes = queries.select("query_id", F.size("sig").alias("n"))
+    size = F.size("sig")
     # A token said twice counts twice for the share, so the plain rule is on all n of them.
-    needed = F.col("n") - F.ceil(F.col("n") * PHRASE_MIN_RATIO) + 1
-    probe = (
-        per_query.join(sizes, "query_id")
-        .select("query_id", *index, F.explode(F.slice("ts", F.lit(1), needed.cast("int"))).alias("t"))
-        .select("query_id", *index, F.col("t.token").alias("token"))
-        .persist()
-    )
-    texts = chunks.select(*index, "chunk_id", F.lower(searchable_text()).alias("searchable"))
-    hits = substring_join(texts, probe.select(F.col("token").alias("needle")), "searchable").drop("searchable")
-    pairs = hits.join(broadcast_if_small(probe.withColumnRenamed("token", "needle")), ["needle", *index])
-    return pairs.select("query_id", *index, "chunk_id").distinct()
-
-
-def searchable_text() -> Column:
-    """Messages, code, docstring and comment of a chunk in one text."""
-    messages = F.array_join(F.transform("error_messages", lambda e: e["message"]), "\n")
-    return F.concat_ws("\n", messages, "code", "docstring", "leading_comment")
+    needed = size - F.ceil(size * PHRASE_MIN_RATIO) + 1
+    tokens = queries.select("query_id", *index, needed.alias("needed"), F.posexplode(F.array_distinct("sig")).alias("token_pos", "token"))
+    picked = rarest_tokens(tokens, found, CHUNK, F.col("needed"), index)
+    return places_of(picked, found, CHUNK, index).withColumnRenamed("id", "chunk_id")
 
 
 def with_chunk_score(rows: DataFrame) -> DataFrame:
@@ -211,13 +187,13 @@ def with_chunk_score(rows: DataFrame) -> DataFrame:
     return settle(scored.drop("_messages", "_code", "_notes", "_of_messages", "_of_code", "_of_notes"), "score")
 
 
-def code_chunks(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX, limits: Limits = Limits()) -> DataFrame:
+def code_chunks(
+    queries: DataFrame, chunks: DataFrame, found: WordIndex, index: Sequence[str] = INDEX, limits: Limits = Limits()
+) -> DataFrame:
     """Top chunks per query by content, of the top files by their best chunk."""
     asked = queries.filter(F.size("sig") >= 2)
-    pairs = code_candidates(asked, chunks, index)
-    rows = chunks.join(pairs, [*index, "chunk_id"]).join(
-        broadcast_if_small(asked.select("query_id", "norm", "sig", "message")), "query_id"
-    )
+    pairs = code_candidates(asked, found, index)
+    rows = chunks.join(pairs, [*index, "chunk_id"]).join(asked.select("query_id", "norm", "sig", "message"), "query_id")
     scored = with_chunk_score(rows).filter(F.col("score") >= MIN_CODE_SCORE)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     top = scored.withColumn("chunk_rank", F.row_number().over(best))
@@ -230,9 +206,11 @@ def code_chunks(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = IN
     return top if limits.files is None else top.filter(F.col("file_rank") <= limits.files)
 
 
-def code_groups(queries: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX, limits: Limits = Limits()) -> DataFrame:
+def code_groups(
+    queries: DataFrame, chunks: DataFrame, found: WordIndex, index: Sequence[str] = INDEX, limits: Limits = Limits()
+) -> DataFrame:
     """Content matches grouped by file."""
-    top = code_chunks(queries, chunks, index, limits)
+    top = code_chunks(queries, chunks, found, index, limits)
     norm = F.col("norm")
     hit = F.filter("error_messages", lambda e: F.contains(F.lower(e["message"]), norm))
     said = F.get(hit, 0)["message"]
@@ -263,21 +241,56 @@ def search_index(
     queries: DataFrame,
     postings: DataFrame,
     chunks: DataFrame,
+    found: WordIndex | None = None,
     index: Sequence[str] = INDEX,
     repeat_mixed_case: bool = True,
     limits: Limits = Limits(),
 ) -> DataFrame:
     """All three tiers for every query; content search only for queries without a hit.
 
-    ``queries`` has ``query_id``, the index columns and ``message``. Queries and the
-    groups of the first tiers are stored, since the later tiers ask for them again.
+    ``queries`` has ``query_id``, the index columns and ``message``. ``found`` is the
+    stored word index of the chunks (built here where none is given). The groups of the
+    first tiers are stored, since the later tiers ask for them again.
     """
-    asked = cut_lineage(prepare_queries(queries))
+    asked = prepare_queries(queries)
+    words = build_words(postings, chunks, index) if found is None else found
     exact = cut_lineage(exact_groups(asked, postings, chunks, index))
-    partial = partial_groups(asked, postings, chunks, exact, index, repeat_mixed_case, limits)
+    partial = partial_groups(asked, postings, chunks, words, exact, index, repeat_mixed_case, limits)
     keyed = cut_lineage(exact.unionByName(partial))
-    unanswered = cut_lineage(asked.join(keyed.select("query_id").distinct(), "query_id", "left_anti"))
-    return keyed.unionByName(code_groups(unanswered, chunks, index, limits))
+    unanswered = asked.join(keyed.select("query_id").distinct(), "query_id", "left_anti")
+    return keyed.unionByName(code_groups(unanswered, chunks, words, index, limits))
+
+
+def group_chunks(
+    results: DataFrame,
+    queries: DataFrame,
+    postings: DataFrame,
+    chunks: DataFrame,
+    found: WordIndex | None = None,
+    index: Sequence[str] = INDEX,
+    limits: Limits = Limits(),
+) -> DataFrame:
+    """Every chunk of the groups a search returned: (query_id, *index, match_type, error_key, place, chunk_id).
+
+    An exact group holds its first chunk; a partial one the chunk of every posting, in
+    their order, repeats kept; a content group the chunks found in its file, best first.
+    """
+    columns = ["query_id", *index, "match_type", "error_key"]
+    first = results.filter("match_type = 'exact'").select(*columns, F.lit(1).alias("place"), F.col("first_chunk_id").alias("chunk_id"))
+    partial = results.filter("match_type = 'partial'").select(*columns)
+    posted = _known(postings.join(partial, [*index, "error_key"]), chunks, index)
+    of_key = Window.partitionBy("query_id", *index, "error_key").orderBy(*POSTING_ORDER)
+    posted = posted.select(*columns, F.row_number().over(of_key).alias("place"), "chunk_id")
+    content = results.filter("match_type = 'code_search'").select("query_id").distinct()
+    words = build_words(postings, chunks, index) if found is None else found
+    top = code_chunks(prepare_queries(queries).join(content, "query_id", "left_semi"), chunks, words, index, limits)
+    of_file = Window.partitionBy("query_id", *index, "path").orderBy("chunk_rank")
+    label = F.concat(F.lit(FILE_LABEL), "path")
+    listed = top.select(
+        "query_id", *index, F.lit("code_search").alias("match_type"), label.alias("error_key"),
+        F.row_number().over(of_file).alias("place"), "chunk_id",
+    )
+    return first.unionByName(posted).unionByName(listed)
 
 
 def ranked(results: DataFrame) -> DataFrame:
@@ -286,15 +299,18 @@ def ranked(results: DataFrame) -> DataFrame:
 
 
 def search_active(
-    queries: DataFrame, active: DataFrame, postings: DataFrame, chunks: DataFrame, machine: str = "machine_id"
+    queries: DataFrame,
+    active: DataFrame,
+    postings: DataFrame,
+    chunks: DataFrame,
+    found: WordIndex | None = None,
+    machine: str = "machine_id",
 ) -> DataFrame:
     """The search over each machine's active version; other versions are pruned by partition."""
-    versions = broadcast_if_small(active.select(machine, "version_id"))
-    return search_index(
-        queries.join(versions, machine),
-        postings.join(versions, [machine, "version_id"], "left_semi"),
-        chunks.join(versions, [machine, "version_id"], "left_semi"),
-    )
+    versions = active.select(machine, "version_id")
+    only = lambda df: df.join(versions, [machine, "version_id"], "left_semi")
+    words = None if found is None else WordIndex(*[only(t) for t in found])
+    return search_index(queries.join(versions, machine), only(postings), only(chunks), words)
 
 
 def match_type_counts(results: DataFrame, group: Sequence[str] = ("query_id",)) -> DataFrame:

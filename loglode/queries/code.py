@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loglode.operators import chunks as C
 from loglode.operators import index_search as S
 from loglode.operators.registry import active_versions
+from loglode.operators.word_index import build_words
 from loglode.queries.base import query
 from loglode.queries.inputs import CODE_SQL, FILE_KEY, INDEX_KEY, code_files, table
 from loglode.session import cut_lineage
@@ -231,7 +232,8 @@ def index_exact(spark, sf_dir):
 def index_partial(spark, sf_dir):
     chunks, postings = chunk_index(spark, sf_dir)
     asks = S.prepare_queries(_asks(spark, sf_dir))
-    groups = S.partial_groups(asks, postings, chunks, S.exact_groups(asks, postings, chunks))
+    words = build_words(postings, chunks)
+    groups = S.partial_groups(asks, postings, chunks, words, S.exact_groups(asks, postings, chunks))
     return groups.select(*_result("error_key"), F.round("score", 6).alias("score"), "n_chunks", "matched_text")
 
 
@@ -253,6 +255,26 @@ def index_match_counts(spark, sf_dir):
     return counts.select(*_result(), "exact_matches", "partial_matches", "code_search_matches", "total_matches")
 
 
+@query(
+    """
+SELECT machine_id, version_id, message, 'exact' AS match_type, error_key, 1 AS place, first_fn AS function_name FROM exact
+UNION ALL
+SELECT t.machine_id, t.version_id, message, 'partial', t.error_key, row_number() OVER (PARTITION BY qid, t.error_key ORDER BY fn_seq, error_pos), function_name
+FROM top t JOIN posts p ON p.machine_id = t.machine_id AND p.version_id = t.version_id AND p.error_key = t.error_key
+UNION ALL
+SELECT machine_id, version_id, message, 'code_search', 'Code match in ' || path, NULL, function_name FROM final WHERE score >= 0.3""",
+    CODE_SQL + QUERY_SQL,
+)
+def index_group_chunks(spark, sf_dir):
+    """All chunks of all groups found; places of content matches have ties that names do not tell, so they are left out here."""
+    chunks, postings = chunk_index(spark, sf_dir)
+    words, asks = build_words(postings, chunks), _asks(spark, sf_dir)
+    members = S.group_chunks(S.search_index(asks, postings, chunks, words), asks, postings, chunks, words)
+    names = chunks.select(*INDEX_KEY, "chunk_id", "function_name")
+    place = F.when(F.col("match_type") != "code_search", F.col("place"))
+    return members.join(names, [*INDEX_KEY, "chunk_id"]).select(*_result("match_type", "error_key"), place.alias("place"), "function_name")
+
+
 @query(
     """
 , newest AS (SELECT machine_id, 'v' || max(file_no) AS version_id FROM parts WHERE NOT legacy AND file_no % 7 <> 3 GROUP BY machine_id)

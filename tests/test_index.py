@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from loglode.functions.scoring import phrase_score, significant_tokens
 from loglode.operators.chunks import error_postings, function_chunks, index_totals
-from loglode.operators.index_search import group_members, prepare_queries, ranked, search_index
+from loglode.operators.index_search import Limits, group_chunks, prepare_queries, ranked, search_index
+from loglode.operators.word_index import build_words, read_words, words_with, write_words
 from loglode.sources import documents as D
 
 KEY = ("machine_id", "version_id", "path")
@@ -132,7 +133,56 @@ def test_search_tiers(spark):
     ]
     once = search_index(asked, postings, chunks, repeat_mixed_case=False)
     assert once.filter("query_id = 0").count() == 1
-    assert group_members(once, postings, chunks).count() == 3
+    members = group_chunks(once, asked, postings, chunks).orderBy("query_id", "error_key", "place").collect()
+    assert [(r["query_id"], r["match_type"], r["place"], r["chunk_id"]) for r in members] == [
+        (0, "exact", 1, "chunk_003"),
+        (1, "partial", 1, "chunk_001"),
+        (1, "partial", 1, "chunk_002"),
+        (1, "partial", 1, "chunk_001"),
+        (2, "code_search", 1, "chunk_001"),
+        (2, "code_search", 2, "chunk_002"),
+    ]
+
+
+def test_words_of_short_and_odd_tokens(spark):
+    chunks, postings = small_index(spark)
+    words = build_words(postings, chunks)
+    tokens = spark.createDataFrame([(i, "m", v, t) for i, (v, t) in enumerate([("v", "c"), ("v", "nn"), ("v", "connect"), ("w", "connect"), ("v", ""), ("v", "zzz")])], "query_id int, machine_id string, version_id string, token string")
+    got = sorted((r["query_id"], r["word"], r["n_places"]) for r in words_with(tokens, words, "key").collect())
+    assert got == [
+        (0, "connected", 1), (0, "connection", 2), (0, "reconnection", 1), (1, "connected", 1), (1, "connection", 2),
+        (1, "reconnection", 1), (2, "connected", 1), (2, "connection", 2), (2, "reconnection", 1),
+    ]
+    short = search_index(ask(spark, "n", "ti", "no"), postings, chunks).collect()
+    keys = [r["error_key"] for r in postings.collect()]
+    assert sorted((r["query_id"], r["error_key"]) for r in short) == sorted((i, k) for i, q in enumerate(["n", "ti", "no"]) for k in keys if q in k)
+
+
+def test_partial_search_equals_nested_loop(spark):
+    rng = random.Random(9)
+    say = lambda: " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 4)))
+    rows = [("m", v, f"c{v}{i:03d}", "a.py", i, "f", "pass", None, None, [(say(), "E", "logging") for _ in range(3)]) for v in ("v", "w") for i in range(40)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    postings = error_postings(chunks, KEY)
+    asked = spark.createDataFrame([(i, "m", rng.choice("vw"), say()) for i in range(60)], "query_id int, machine_id string, version_id string, message string")
+    found = search_index(asked, postings, chunks, limits=Limits(None, None, None)).filter("match_type = 'partial'")
+    keys = {(r["version_id"], r["error_key"]) for r in postings.collect()}
+    exact = {(q["query_id"], k) for q in asked.collect() for v, k in keys if v == q["version_id"] and k == q["message"]}
+    want = {(q["query_id"], k) for q in asked.collect() for v, k in keys if v == q["version_id"] and q["message"] in k} - exact
+    assert {(r["query_id"], r["error_key"]) for r in found.collect()} == want and len(want) > 40
+
+
+def test_word_index_is_updated_by_version(spark, tmp_path):
+    chunks, postings = small_index(spark)
+    write_words(build_words(postings, chunks), str(tmp_path / "words"))
+    other = [df.withColumn("version_id", F.lit("w")) for df in (postings, chunks)]
+    write_words(build_words(*other), str(tmp_path / "words"))
+    write_words(build_words(other[0].limit(0), other[1].filter("chunk_id = 'chunk_003'")), str(tmp_path / "words"))
+    stored = read_words(spark, str(tmp_path / "words"))
+    asked = ask(spark, "connection", "socket connect host")
+    got = search_index(asked, postings, chunks, stored).select("query_id", "error_key").collect()
+    assert sorted(got) == sorted(search_index(asked, postings, chunks).select("query_id", "error_key").collect())
+    assert {r[0] for r in read_words(spark, str(tmp_path / "words"), "m", "w").places.filter("kind = 'chunk'").select("id").distinct().collect()} == {"chunk_003"}
 
 
 def phrase_twin(query, text):
