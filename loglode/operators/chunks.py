@@ -59,51 +59,65 @@ def call_errors(call: Column) -> Column:
     )
 
 
-def function_chunks(files: DataFrame, key: Sequence[str] = ("path",), deep: bool = False) -> DataFrame:
-    """One row per function: code, signature, docstring, comment, messages, id.
-
-    Shuffle-free: a file's lines and calls are arrays of its row, a function takes
-    slices of both (its calls are neighbours in visit order). ``deep`` also takes
-    functions defined under else, except, finally and match arms.
+def chunk_bodies(
+    src: DataFrame, key: Sequence[str], deep: bool = False, outer: bool = False, signature_lines: int | None = SIGNATURE_LINES
+) -> DataFrame:
+    """One row per function of parsed files (key, text, facts): code, signature, docstring, comment, messages.
+
+    Shuffle-free: every function leaves its file's row as a row of its own, and takes its
+    slices of the file's lines and calls only there. With ``outer`` a file without
+    functions leaves one empty row, and ``parsed`` tells whether it could be read.
     """
     # A file that does not parse has no functions; a filter on that would parse every file once more.
-    src = with_facts(files.select(*key, "text")).withColumn("_lines", split_lines(F.col("text")))
+    lines = src.withColumn("_lines", split_lines(F.col("text")))
     wanted = F.filter(F.transform("facts.functions", lambda f, i: F.struct(i.alias("fn_seq"), f.alias("f"))),
                       lambda x: x["f"]["via_body"] | F.lit(deep))
-
-    def chunk(x: Column) -> Column:
-        f = x["f"]
-        d, end = f["line_start"], f["line_end"]
-        above_from = F.greatest(d - 2 * INDEX_COMMENT_WINDOW, F.lit(1))
-        calls = F.slice(F.col("facts.calls"), f["first_call"] + 1, f["n_calls"])
-        ordered = F.array_sort(F.transform(calls, lambda c: F.struct(c["depth"], c["seq"], c.alias("c"))),
-                               _by_depth)
-        return F.struct(
-            x["fn_seq"].alias("fn_seq"),
-            f["name"].alias("function_name"),
-            f["class_name"].alias("class_name"),
-            d.alias("line_start"),
-            end.alias("line_end"),
-            _signature(F.slice(F.col("_lines"), d, SIGNATURE_LINES + 1)).alias("signature"),
-            F.array_join(F.slice(F.col("_lines"), d, end - d + 1), "\n").alias("code"),
-            f["docstring"].alias("docstring"),
-            F.reverse(F.slice(F.col("_lines"), above_from, d - above_from)).alias("above"),
-            F.flatten(F.transform(ordered, lambda o: call_errors(o["c"]))).alias("error_messages"),
-        )
-
-    rows = src.select(*key, F.explode(F.transform(wanted, chunk)).alias("c")).select(*key, "c.*")
+    explode = F.explode_outer if outer else F.explode
+    rows = lines.select(*key, "facts", "_lines", explode(wanted).alias("x"))
+    f = F.col("x.f")
+    d, end = f["line_start"], f["line_end"]
+    above_from = F.greatest(d - 2 * INDEX_COMMENT_WINDOW, F.lit(1))
+    calls = F.slice(F.col("facts.calls"), f["first_call"] + 1, f["n_calls"])
+    ordered = F.array_sort(F.transform(calls, lambda c: F.struct(c["depth"], c["seq"], c.alias("c"))), _by_depth)
+    head = F.slice(F.col("_lines"), d, end - d + 1 if signature_lines is None else F.lit(signature_lines + 1))
+    rows = rows.select(
+        *key,
+        *([F.col("facts.parsed").alias("parsed")] if outer else []),
+        F.col("x.fn_seq").alias("fn_seq"),
+        f["name"].alias("function_name"),
+        f["class_name"].alias("class_name"),
+        d.alias("line_start"),
+        end.alias("line_end"),
+        _signature(head).alias("signature"),
+        F.array_join(F.slice(F.col("_lines"), d, end - d + 1), "\n").alias("code"),
+        f["docstring"].alias("docstring"),
+        F.reverse(F.slice(F.col("_lines"), above_from, d - above_from)).alias("above"),
+        F.flatten(F.transform(ordered, lambda o: call_errors(o["c"]))).alias("error_messages"),
+    )
     rows = with_comment(rows, "line_start", INDEX_COMMENT_WINDOW, skip_decorators=False)
     rows = rows.withColumnRenamed("leading_comment_block", "leading_comment").drop(
         "above", "leading_comment_start_line", "leading_comment_end_line"
     )
-    rows = rows.withColumn(
+    return rows.withColumn(
         "log_levels", F.array_sort(F.array_distinct(F.transform("error_messages", lambda e: e["log_level"])))
     )
+
+
+def with_chunk_id(rows: DataFrame) -> DataFrame:
+    """Adds the id of a chunk: a digest of all that is in it and of its path."""
     body = [c for c in rows.columns if c not in ("machine_id", "version_id", "fn_seq")]
     digest = F.sha2(F.to_json(F.struct(*sorted(body))), 256)
     return rows.withColumn("chunk_id", F.substring(digest, 1, CHUNK_ID_LENGTH))
 
 
+def function_chunks(files: DataFrame, key: Sequence[str] = ("path",), deep: bool = False) -> DataFrame:
+    """One row per function: code, signature, docstring, comment, messages, id.
+
+    ``deep`` also takes functions defined under else, except, finally and match arms.
+    """
+    return with_chunk_id(chunk_bodies(with_facts(files.select(*key, "text")), key, deep))
+
+
 def _by_depth(a: Column, b: Column) -> Column:
     return (
         F.when(a["depth"] != b["depth"], a["depth"] - b["depth"]).otherwise(a["seq"] - b["seq"])
@@ -127,10 +141,17 @@ def error_postings(chunks: DataFrame, key: Sequence[str] = ("path",), collapse_k
     )
 
 
-def index_totals(files: DataFrame, chunks: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Files processed and failed, functions, messages and distinct keys of an index."""
-    ok = F.col("facts.parsed")
-    per_file = with_facts(files).groupBy(*group).agg(
+def index_totals(
+    files: DataFrame, chunks: DataFrame, group: Sequence[str] = (), parsed: DataFrame | None = None
+) -> DataFrame:
+    """Files processed and failed, functions, messages and distinct keys of an index.
+
+    ``parsed`` has the group's columns and ``parsed`` for each file, as a store of facts
+    knows it; without it the files are parsed here.
+    """
+    marked = parsed if parsed is not None else with_facts(files).withColumn("parsed", F.col("facts.parsed"))
+    ok = F.col("parsed")
+    per_file = marked.groupBy(*group).agg(
         F.count_if(ok).alias("files_processed"), F.count_if(~ok).alias("files_failed")
     )
     sizes = chunks.groupBy(*group).agg(

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from loglode.operators import chunks as C
 from loglode.operators import index_search as S
+from loglode.operators.facts import file_facts, stored_chunks, update_facts
 from loglode.operators.registry import active_versions
 from loglode.operators.word_index import build_words
 from loglode.queries.base import query
 from loglode.queries.inputs import CODE_SQL, FILE_KEY, INDEX_KEY, code_files, table
-from loglode.session import cut_lineage
+from loglode.session import cut_lineage, scratch_path
 from loglode.sources import documents as D
 
 
@@ -60,8 +61,35 @@ FROM errs GROUP BY machine_id""",
     CODE_SQL,
 )
 def index_totals(spark, sf_dir):
-    files = code_files(spark, sf_dir)
-    return C.index_totals(files, C.function_chunks(files, FILE_KEY), ("machine_id",))
+    """Totals from a store of facts: every file is parsed once, for its chunks and its state."""
+    files, store = code_files(spark, sf_dir), scratch_path(spark, "facts")
+    update_facts(files, store, FILE_KEY)
+    return C.index_totals(files, stored_chunks(files, store, FILE_KEY), ("machine_id",), file_facts(files, store, FILE_KEY))
+
+
+@query(
+    """
+, files AS (SELECT DISTINCT machine_id, version_id, file_no, legacy, n_fns FROM parts),
+moved AS (SELECT *, file_no % 16 = 7 AS changed, file_no % 16 = 9 AS copied FROM files)
+SELECT 1 AS step, count(*) AS n_files, count(*) AS n_parsed, sum(CASE WHEN legacy THEN 0 ELSE n_fns END)::BIGINT AS n_chunks FROM files
+UNION ALL
+SELECT 2, count(*) + count(*) FILTER (copied), count(*) FILTER (changed),
+  sum(CASE WHEN legacy THEN 0 WHEN copied THEN 2 * n_fns WHEN changed THEN n_fns + 1 ELSE n_fns END)::BIGINT FROM moved""",
+    CODE_SQL,
+)
+def facts_reuse(spark, sf_dir):
+    """A second version of all trees, with some files changed and some copied: only the changed ones are parsed."""
+    files, store = code_files(spark, sf_dir), scratch_path(spark, "facts")
+    number = F.regexp_extract("version_id", "[0-9]+", 0).cast("int") % 16
+    later = files.withColumn("text", F.concat("text", F.when(number == 7, F.lit("def added(x):\n    return x\n")).otherwise("")))
+    later = later.unionByName(files.filter(number == 9).withColumn("path", F.concat(F.lit("copy/"), "path")))
+    rows = []
+    for step, tree in enumerate((files, later), 1):
+        n_parsed = update_facts(tree, store, FILE_KEY)
+        chunks = stored_chunks(tree, store, FILE_KEY).agg(F.count(F.lit(1)).alias("n_chunks"))
+        counts = tree.agg(F.count(F.lit(1)).alias("n_files"))
+        rows.append(counts.crossJoin(chunks).select(F.lit(step).alias("step"), "n_files", F.lit(n_parsed).cast("long").alias("n_parsed"), "n_chunks"))
+    return rows[0].unionByName(rows[1])
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,19 +40,36 @@ def build_session(app: str = "loglode", master: str | None = None, **conf: str)
     return tune(builder.getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a reused result to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors and the driver share.
 
-    The folder is the one the session names. On a local master, as in tests, a new
-    scratch folder serves where none is named; a cluster has to name one.
+    It is the one the session names. On a local master, as in tests, a new scratch folder
+    serves where none is named; a cluster has to name one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named:
             context.setCheckpointDir(named)
         elif context.master == "local" or context.master.startswith("local["):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         else:
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path nobody uses yet in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a reused result to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loglode.functions.scoring import phrase_score, significant_tokens
 from loglode.operators.chunks import error_postings, function_chunks, index_totals
+from loglode.operators.facts import file_facts, stored_chunks, update_facts
 from loglode.operators.index_search import Limits, group_chunks, prepare_queries, ranked, search_index
 from loglode.operators.word_index import build_words, read_words, words_with, write_words
 from loglode.sources import documents as D
@@ -208,3 +209,19 @@ def test_phrase_score_matches_twin(spark):
 
 def test_prepare_drops_empty(spark):
     assert prepare_queries(ask(spark, "", "x")).count() == 1
+
+
+def test_facts_are_parsed_once_by_content(spark, tmp_path):
+    store = str(tmp_path / "facts")
+    files = sources(spark).union(spark.createDataFrame([("m", "v", "b.py", SOURCE), ("m", "v", "empty.py", ""), ("m", "v", "null.py", None)], sources(spark).schema))
+    assert update_facts(files, store, KEY) == 3 and update_facts(files, store, KEY) == 0
+    want = function_chunks(files.filter("text IS NOT NULL"), KEY)
+    got = stored_chunks(files, store, KEY)
+    assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, want.select(sorted(want.columns)).collect()))
+    assert {(r["path"], r["parsed"]) for r in file_facts(files, store, KEY).collect()} == {("a.py", True), ("b.py", True), ("bad.py", False), ("empty.py", True)}
+    later = files.withColumn("version_id", F.lit("w")).withColumn("text", F.when(F.col("path") == "b.py", "def g(): pass\n").otherwise(F.col("text")))
+    assert update_facts(later, store, KEY) == 1
+    assert stored_chunks(later, store, KEY).count() == 4
+    # what a run left that ended before its last write is not seen, and is parsed again
+    spark.read.parquet(f"{store}/bodies").drop("batch").write.parquet(f"{store}/bodies/batch=broken")
+    assert stored_chunks(later, store, KEY).count() == 4
