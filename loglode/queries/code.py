@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from loglode.operators import chunks as C
 from loglode.operators import index_search as S
 from loglode.operators.facts import file_facts, stored_chunks, update_facts
+from loglode.operators.load import load_versions, loaded, upload_events
 from loglode.operators.registry import active_versions
 from loglode.operators.word_index import build_words
 from loglode.queries.base import query
 from loglode.queries.inputs import CODE_SQL, FILE_KEY, INDEX_KEY, code_files, table
 from loglode.session import cut_lineage, scratch_path
-from loglode.sources import documents as D
+from loglode.sources.fragments import checked_versions, document_fragments, fragment_postings, read_fragments, write_fragments
 
 
 def chunk_index(spark, sf_dir):
@@ -112,55 +113,105 @@ def index_inspection(spark, sf_dir):
     return C.unique_keys(C.error_postings(chunks, FILE_KEY), INDEX_KEY)
 
 
-def _documents(spark, sf_dir):
-    """Index documents as JSON text, one per (machine, version); every second version is damaged in some way."""
-    files = code_files(spark, sf_dir)
-    chunks, postings = chunk_index(spark, sf_dir)
-    docs = D.index_document(chunks, postings, C.index_totals(files, chunks, INDEX_KEY), "2024-01-01T00:00:00Z")
-    n = F.regexp_replace("version_id", "v", "").cast("int") % 8
-    value = (
-        F.when(n == 1, F.regexp_replace("value", '"schema_version" : "1.0"', '"schema_version" : ""'))
-        .when(n == 3, F.regexp_replace("value", "2024-01-01T00:00:00Z", "first of May"))
-        .when(n == 5, F.regexp_replace("value", '"total_errors" : ', '"total_errors" : 9'))
-        .when(n == 7, F.regexp_replace("value", '"stats"', '"status"'))
-        .otherwise(F.col("value"))
-    )
-    return docs.withColumn("value", value)
+#: Damages to the heads of documents, by case: what is replaced, by what; the others are whole.
+_DAMAGE = {
+    1: ('"schema_version":"1.0",', ""),
+    2: ('"created_at":"[^"]*",', ""),
+    3: (r'"chunks":\[\],', ""),
+    4: (r'"error_index":\{\},', ""),
+    5: (r'"stats":\{[^}]*\},', ""),
+    6: (r'"chunks":\[\]', '"chunks":{}'),
+    7: (r'"error_index":\{\}', '"error_index":[]'),
+    8: (r'"stats":\{[^}]*\}', '"stats":[1]'),
+    9: ('"total_chunks":', '"total_chunks":9'),
+    10: ('"total_errors":', '"total_errors":9'),
+    11: ('"schema_version":"1.0"', '"schema_version":""'),
+    12: ("2024-01-01T00:00:00Z", ""),
+    13: ("2024-01-01T00:00:00Z", "first of May"),
+    14: ("^.", "{{"),
+}
+_CASE = "(CAST(substr(version_id, 2) AS INT) * 5 + CAST(substr(machine_id, 7) AS INT)) % 16"
+VIOLATION_SQL = f"""
+, cases AS (SELECT *, {_CASE} AS c FROM errs),
+judged AS (SELECT *, coalesce(map {{
+  1: 'Missing required field: schema_version', 2: 'Missing required field: created_at', 3: 'Missing required field: chunks',
+  4: 'Missing required field: error_index', 5: 'Missing required field: stats', 6: 'Field ''chunks'' must be an array',
+  7: 'Field ''error_index'' must be an object', 8: 'Field ''stats'' must be an object', 9: 'total_chunks does not match chunks',
+  10: 'total_errors does not match error_index', 11: 'Missing ''schema_version'' field in index', 12: 'Missing ''created_at'' field in index',
+  13: 'Invalid ''created_at'' format', 14: 'Invalid JSON'}}[c], '') AS violations FROM cases)
+"""
+
+
+def _fragments(spark, sf_dir):
+    """Index documents of all versions in fragments; in 14 of 16 cases the head is damaged, each time in another way."""
+    files, store = code_files(spark, sf_dir), scratch_path(spark, "facts")
+    update_facts(files, store, FILE_KEY)
+    chunks = stored_chunks(files, store, FILE_KEY)
+    totals = C.index_totals(files, chunks, INDEX_KEY, file_facts(files, store, FILE_KEY))
+    rows = document_fragments(chunks, C.error_postings(chunks, FILE_KEY), totals, "2024-01-01T00:00:00Z")
+    case = F.expr(_CASE)
+    json = F.col("json")
+    for k, (old, new) in _DAMAGE.items():
+        json = F.when((case == k) & (F.col("part") == "head"), F.regexp_replace("json", old, new)).otherwise(json)
+    return rows.withColumn("json", json)
 
 
 @query(
     """
 SELECT machine_id, version_id, count(*) FILTER (NOT legacy) AS n_chunks,
-  coalesce(sum(CASE WHEN note_level IS NULL THEN 3 ELSE 4 END) FILTER (NOT legacy), 0)::BIGINT AS n_postings,
-  CASE (file_no % 8) WHEN 1 THEN 'Missing ''schema_version'' field in index' WHEN 3 THEN 'Invalid ''created_at'' format'
-    WHEN 5 THEN 'total_errors does not match error_index' WHEN 7 THEN 'Missing required field: stats' ELSE '' END AS violations
-FROM errs GROUP BY ALL""",
-    CODE_SQL,
+  coalesce(sum(CASE WHEN note_level IS NULL THEN 3 ELSE 4 END) FILTER (NOT legacy), 0)::BIGINT AS n_postings, violations
+FROM judged GROUP BY ALL""",
+    CODE_SQL + VIOLATION_SQL,
 )
 def index_validate(spark, sf_dir):
-    """Documents written, damaged, read back with the explicit schema and validated."""
-    checked = D.with_violations(D.parse_documents(_documents(spark, sf_dir)))
-    n_postings = F.aggregate(F.map_values("doc.error_index"), F.lit(0), lambda a, x: a + F.size(x))
-    return checked.select(
-        *INDEX_KEY, F.size("doc.chunks").alias("n_chunks"), n_postings.cast("bigint").alias("n_postings"),
-        F.array_join("violations", "; ").alias("violations"),
-    )
+    """Documents in fragments, damaged in every way there is, validated by sums over their rows."""
+    checked = checked_versions(_fragments(spark, sf_dir))
+    return checked.select(*INDEX_KEY, "n_chunks", "n_postings", F.array_join("violations", "; ").alias("violations"))
 
 
 @query(
     """
 SELECT machine_id, version_id, error_key, original_message, log_level, source_type, count(*) AS n
-FROM posts WHERE version_id NOT IN (SELECT DISTINCT version_id FROM errs WHERE file_no % 8 IN (1, 3, 5, 7)) GROUP BY ALL""",
-    CODE_SQL,
+FROM posts WHERE (machine_id, version_id) IN (SELECT (machine_id, version_id) FROM judged WHERE violations = '') GROUP BY ALL""",
+    CODE_SQL + VIOLATION_SQL,
 )
 def index_roundtrip(spark, sf_dir):
-    """Postings of the documents that pass validation."""
-    checked = D.with_violations(D.parse_documents(_documents(spark, sf_dir)))
-    good = checked.filter(F.size("violations") == 0)
-    back = D.document_postings(good)
+    """Documents written as fragments in JSON lines and read back: the postings of those that pass validation."""
+    path = scratch_path(spark, "fragments")
+    write_fragments(_fragments(spark, sf_dir), path)
+    rows = read_fragments(spark, path)
+    good = checked_versions(rows).filter(F.size("violations") == 0).select(*INDEX_KEY)
+    back = fragment_postings(rows.join(good, list(INDEX_KEY), "left_semi"))
     return back.groupBy(*INDEX_KEY, "error_key", "original_message", "log_level", "source_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """
+, loads AS (
+  SELECT machine_id, version_id, file_no, violations, count(*) FILTER (NOT legacy) AS n_chunks,
+    coalesce(sum(CASE WHEN note_level IS NULL THEN 3 ELSE 4 END) FILTER (NOT legacy), 0)::BIGINT AS n_postings
+  FROM judged GROUP BY ALL)
+SELECT machine_id, version_id, violations, CASE WHEN violations = '' THEN n_chunks ELSE 0 END AS n_chunks,
+  CASE WHEN violations = '' THEN n_postings ELSE 0 END AS n_postings,
+  violations = '' AND file_no = coalesce(max(CASE WHEN violations = '' AND file_no % 2 = 0 THEN file_no END) OVER w,
+    max(CASE WHEN violations = '' THEN file_no END) OVER w) AS is_active
+FROM loads WINDOW w AS (PARTITION BY machine_id)""",
+    CODE_SQL + VIOLATION_SQL,
+)
+def version_loads(spark, sf_dir):
+    """All versions loaded, those with an even number later than the others, each in order; what readers then see of them."""
+    path, rows = scratch_path(spark, "loads"), cut_lineage(_fragments(spark, sf_dir))
+    number = F.regexp_extract("version_id", "[0-9]+", 0).cast("int")
+    verdicts = [load_versions(rows.filter(number % 2 == 1 - step), path, f"2024-01-0{step + 1} 00:00:00") for step in range(2)]
+    every = verdicts[0].unionByName(verdicts[1]).select(*INDEX_KEY, F.array_join("violations", "; ").alias("violations"))
+    counts = [loaded(spark, path, t).groupBy(*INDEX_KEY).agg(F.count(F.lit(1)).alias(n)) for t, n in (("chunks", "n_chunks"), ("postings", "n_postings"))]
+    stamped = upload_events(spark, path).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=number.cast("decimal(18,6)")))
+    active = active_versions(stamped).withColumn("is_active", F.lit(True))
+    for part in (*counts, active):
+        every = every.join(part, list(INDEX_KEY), "left")
+    return every.fillna(0, ["n_chunks", "n_postings"]).fillna(False, ["is_active"])
+
+
 # --- index search: each file version asked for its part types and names -----------------------------
 
 QUERY_SQL = """

@@ -34,14 +34,21 @@ def created_time(created_at: Column) -> Column:
     return F.to_utc_timestamp(F.try_to_timestamp(F.regexp_replace(created_at, "Z$", "+00:00")), "UTC").cast("timestamp_ntz")
 
 
-def with_violations(parsed: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``violations``: everything that would reject an index document."""
+def with_violations(
+    parsed: DataFrame, value: str = "value", n_chunks: Column | None = None, n_postings: Column | None = None
+) -> DataFrame:
+    """Add ``violations``: everything that would reject an index document.
+
+    The counts are those of the document's own lists, or given where the lists are elsewhere.
+    """
     raw = F.try_parse_json(F.col(value))
     doc = F.col("doc")
     kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(raw, f"$.{f}", "variant")), F.lit(""))
     present = lambda f: F.try_variant_get(raw, f"$.{f}", "variant").isNotNull()
-    n_chunks = F.size(doc["chunks"])
-    n_postings = F.aggregate(F.map_values(doc["error_index"]), F.lit(0), lambda a, x: a + F.size(x))
+    if n_chunks is None:
+        n_chunks = F.size(doc["chunks"])
+    if n_postings is None:
+        n_postings = F.aggregate(F.map_values(doc["error_index"]), F.lit(0), lambda a, x: a + F.size(x))
     tests = [F.when(~present(f), F.lit(f"Missing required field: {f}")) for f in REQUIRED_FIELDS]
     tests += [
         F.when(present("chunks") & ~kind("chunks").startswith("ARRAY"), "Field 'chunks' must be an array"),

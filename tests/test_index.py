@@ -9,7 +9,9 @@ from loglode.operators.chunks import error_postings, function_chunks, index_tota
 from loglode.operators.facts import file_facts, stored_chunks, update_facts
 from loglode.operators.index_search import Limits, group_chunks, prepare_queries, ranked, search_index
 from loglode.operators.word_index import build_words, read_words, words_with, write_words
+from loglode.operators import load
 from loglode.sources import documents as D
+from loglode.sources.fragments import checked_versions, document_fragments, fragment_chunks, fragment_postings, read_fragments, write_fragments
 
 KEY = ("machine_id", "version_id", "path")
 SOURCE = '''import logging
@@ -225,3 +227,56 @@ def test_facts_are_parsed_once_by_content(spark, tmp_path):
     # what a run left that ended before its last write is not seen, and is parsed again
     spark.read.parquet(f"{store}/bodies").drop("batch").write.parquet(f"{store}/bodies/batch=broken")
     assert stored_chunks(later, store, KEY).count() == 4
+
+
+def fragments_of(spark, versions):
+    chunks, _ = small_index(spark)
+    chunks = chunks.withColumns({"class_name": F.lit(None).cast("string"), "line_start": F.lit(1), "line_end": F.lit(2), "signature": F.lit("def f():"), "log_levels": F.array(F.lit("E"))})
+    every = [chunks.withColumn("version_id", F.lit(v)) for v in versions]
+    rows = every[0]
+    for df in every[1:]:
+        rows = rows.unionByName(df)
+    totals = rows.groupBy("machine_id", "version_id").agg(
+        F.lit(1).alias("files_processed"), F.lit(0).alias("files_failed"), F.count(F.lit(1)).alias("functions_found"), F.lit(4).alias("errors_found"),
+        F.count(F.lit(1)).alias("total_chunks"), F.lit(4).alias("total_errors"),
+    )
+    return document_fragments(rows, error_postings(rows, KEY), totals, "2024-01-01T00:00:00Z")
+
+
+def test_fragments_come_back_in_order(spark, tmp_path):
+    rows = fragments_of(spark, ["v", "w"])
+    write_fragments(rows, str(tmp_path / "f"))
+    back = read_fragments(spark, str(tmp_path / "f"), "m", "w")
+    assert "PartitionFilters: [isnotnull(machine_id" in back._jdf.queryExecution().toString()
+    parts = [r["part"] for r in back.orderBy("place").collect()]
+    assert parts == ["head"] + ["chunk"] * 3 + ["posting"] * 4
+    assert fragment_chunks(back).count() == 3 and fragment_postings(back).orderBy("error_key").first()["path"] == "src/utils/connection.py"
+    two = checked_versions(rows.union(rows.filter("part = 'head' AND version_id = 'v'"))).collect()
+    assert {r["version_id"]: r["violations"] for r in two} == {"v": ["Invalid JSON"], "w": []}
+    lost = checked_versions(rows.filter("NOT (part = 'chunk' AND json LIKE '%chunk_002%')")).first()
+    assert lost["violations"] == ["total_chunks does not match chunks"]
+
+
+def test_a_load_that_breaks_off_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = fragments_of(spark, ["v", "w"])
+    bad = rows.filter("NOT (version_id = 'w' AND part = 'posting')")
+    verdicts = load.load_versions(bad, path, "2024-01-01 00:00:00").collect()
+    assert {r["version_id"]: len(r["violations"]) for r in verdicts} == {"v": 0, "w": 1}
+    see = lambda: sorted((r["version_id"], r["chunk_id"]) for r in load.loaded(spark, path, "chunks").collect())
+    before = see()
+    assert [v for v, _ in before] == ["v"] * 3
+    # staged and not committed: readers see what was there
+    staged, _ = load.stage_versions(rows, path)
+    assert see() == before and load.loaded(spark, path, "postings").count() == 4
+    # rows of the staged version lost: it is not named, the other is
+    kept = spark.read.parquet(f"{path}/chunks/load={staged}").filter("NOT (version_id = 'w' AND chunk_id = 'chunk_002')").collect()
+    lost = spark.createDataFrame(kept, spark.read.parquet(f"{path}/chunks/load={staged}").schema)
+    lost.write.mode("overwrite").parquet(f"{path}/chunks/load={staged}")
+    assert [r["version_id"] for r in load.commit_load(spark, path, staged, "2024-01-02 00:00:00").collect()] == ["v"]
+    assert see() == before
+    load.load_versions(rows, path, "2024-01-03 00:00:00")
+    assert [v for v, _ in see()] == ["v"] * 3 + ["w"] * 3
+    assert load.upload_events(spark, path).count() == 4
+    assert [r["version_id"] for r in load.delete_versions(spark, path, spark.createDataFrame([("m", "v")], "machine_id string, version_id string")).collect()] == ["w"]
+    assert load.delete_versions(spark, path, spark.createDataFrame([("m",)], "machine_id string")).count() == 0
