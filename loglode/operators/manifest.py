@@ -5,16 +5,19 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Entry fields in canonical order, and how many mismatches a report shows.
 ENTRY_FIELDS = ["error", "link_target", "path", "sha256", "size", "type"]
 SHOWN_MISMATCHES = 50
 STATUS_ORDER = ["only_in_a", "only_in_b", "different", "identical"]
+#: Hex digits of a leaf's bucket in a digest tree, and of each level.
+LEAF, STEP = 4, 2
 
 
 def manifest_entries(listing: DataFrame, key: Sequence[str] = ("machine",)) -> DataFrame:
@@ -134,6 +137,67 @@ def tree_fingerprint(entries: DataFrame, key: str = "machine") -> DataFrame:
     return prints.withColumnRenamed("tree", key)
 
 
+def with_bucket(entries: DataFrame) -> DataFrame:
+    """Adds the bucket of a path, LEAF hex digits of its digest."""
+    return entries.withColumn("bucket", F.substring(F.sha2("path", 256), 1, LEAF))
+
+
+def tree_digests(entries: DataFrame, key: Sequence[str] = ("machine",)) -> DataFrame:
+    """(*key, bucket, n_entries, digest) of every node of each tree's digest tree.
+
+    A path lies in the bucket its own digest begins with. A leaf's digest is that of its
+    canonical lines in order, an inner node's that of its children; the root's bucket is the
+    empty text. Buckets are hashed side by side, so no tree passes through one task, and a
+    leaf holds a 65 536th of a tree.
+    """
+    lines = with_bucket(entries).select(*key, "bucket", canonical_line(entries).alias("line"))
+    nodes = lines.groupBy(*key, "bucket").agg(
+        F.count(F.lit(1)).alias("n_entries"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest")
+    )
+    levels = [nodes]
+    for size in range(LEAF - STEP, -1, -STEP):
+        children = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat(x["bucket"], F.lit(" "), x["digest"]))
+        nodes = nodes.groupBy(*key, F.substring("bucket", 1, size).alias("parent")).agg(
+            F.sum("n_entries").alias("n_entries"), F.sha2(F.array_join(children, "\n"), 256).alias("digest")
+        ).withColumnRenamed("parent", "bucket")
+        levels.append(nodes)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def write_tree(entries: DataFrame, path: str) -> None:
+    """Store one tree: its entries in folders by the first digits of their bucket, and its digests."""
+    own = with_bucket(entries)
+    own.withColumn("folder", F.concat(F.lit("b"), F.substring("bucket", 1, STEP))).repartition("folder").write.partitionBy("folder").parquet(f"{path}/entries")
+    tree_digests(entries, ()).coalesce(1).write.parquet(f"{path}/digests")
+
+
+def differing_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(bucket, in_a, in_b) of the nodes that are not the same in both digest trees."""
+    left, right = (t.select("bucket", F.col("digest").alias(n)) for t, n in ((a, "_a"), (b, "_b")))
+    both = left.join(right, "bucket", "full_outer")
+    return both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("bucket", F.col("_a").isNotNull().alias("in_a"), F.col("_b").isNotNull().alias("in_b"))
+
+
+def compare_trees(spark: SparkSession, a: str, b: str, identical: bool = False) -> DataFrame:
+    """Differences of two stored trees, as `compare_manifests` gives them.
+
+    The digests tell which of the (at most 256) folders differ; only these are read, and of
+    them only buckets that differ are joined. With ``identical`` the paths of all other
+    buckets are listed too, from A alone.
+    """
+    trees = [spark.read.parquet(f"{p}/digests") for p in (a, b)]
+    differ = differing_buckets(*trees)
+    folders = ["b" + r.bucket for r in differ.filter(F.length("bucket") == STEP).select("bucket").collect()]
+    leaves = differ.filter(F.length("bucket") == LEAF).select("bucket")
+    sides = [spark.read.parquet(f"{p}/entries") for p in (a, b)]
+    found = compare_manifests(*[s.filter(F.col("folder").isin(folders)).join(leaves, "bucket", "left_semi") for s in sides])
+    if not identical:
+        return found
+    none = F.array().cast("array<string>").alias("differences")
+    rest = sides[0].join(leaves, "bucket", "left_anti").select("path", F.lit("identical").alias("status"), none)
+    return found.unionByName(rest)
+
+
 def entry_differences(a: str = "a", b: str = "b") -> Column:
     """Text of each difference between two entry structs."""
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglode.plans.numbering import numbered
+
 # Operations of the event table and index states.
 UPLOAD, ACTIVATE, DELETE = "upload", "activate", "delete"
 HEALTHY, BUILDING, ERROR, UNKNOWN = "healthy", "building", "error", "unknown"
@@ -62,15 +64,12 @@ def versions_table(events: DataFrame) -> DataFrame:
 
 
 def version_history(versions: DataFrame) -> DataFrame:
-    """Newest first per machine, with the version each one followed."""
-    by_age = Window.partitionBy("machine_id").orderBy("created_at", "version_id")
-    return versions.withColumns(
-        {
-            "version_no": F.row_number().over(by_age),
-            "previous_version_id": F.lag("version_id").over(by_age),
-            "previous_created_at": F.lag("created_at").over(by_age),
-        }
-    )
+    """Versions numbered by age per machine, with the version each one followed.
+
+    The versions of one machine are numbered over as many tasks as they fill.
+    """
+    carried = {"previous_version_id": F.col("version_id"), "previous_created_at": F.col("created_at")}
+    return numbered(versions, ["machine_id"], ["created_at", "version_id"], "version_no", carried)
 
 
 def machines_with_active(machines: DataFrame, active: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from loglode.queries.inputs import (
     script_files,
     tree_listing,
 )
-from loglode.session import cut_lineage
+from loglode.session import cut_lineage, scratch_path
 from loglode.sources import documents as D
 
 # --- inventory -----------------------------------------------------------------------------
@@ -384,6 +384,25 @@ def fingerprint(spark, sf_dir):
     return M.tree_fingerprint(M.manifest_entries(manifest_listing(spark, sf_dir)))
 
 
+@query(
+    """
+, leaves AS (
+  SELECT machine, left(sha256(path), 4) AS bucket, count(*) AS n_entries, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest
+  FROM (SELECT *, concat_ws('|', 'error:' || error, 'link_target:' || link_target, 'path:' || path, 'sha256:' || sha256, 'size:' || size, 'type:' || type) AS line FROM ma)
+  GROUP BY ALL),
+mids AS (
+  SELECT machine, left(bucket, 2) AS bucket, sum(n_entries)::BIGINT AS n_entries, sha256(string_agg(bucket || ' ' || digest, chr(10) ORDER BY bucket)) AS digest
+  FROM leaves GROUP BY machine, left(bucket, 2))
+SELECT machine, '' AS bucket, sum(n_entries)::BIGINT AS n_entries, sha256(string_agg(bucket || ' ' || digest, chr(10) ORDER BY bucket)) AS digest
+FROM mids GROUP BY machine
+UNION ALL FROM mids UNION ALL FROM leaves""",
+    MANIFEST_SQL,
+)
+def tree_digests(spark, sf_dir):
+    """The digest tree of every machine: all its nodes."""
+    return M.tree_digests(M.manifest_entries(manifest_listing(spark, sf_dir)))
+
+
 COMPARE_SQL = (
     MANIFEST_SQL
     + """
@@ -412,7 +431,12 @@ def _compared(spark, sf_dir):
 
 @query("SELECT path, status, differences FROM compared", COMPARE_SQL)
 def manifest_compare(spark, sf_dir):
-    return _compared(spark, sf_dir).select("path", "status", F.array_join("differences", "; ").alias("differences"))
+    """Both sides stored with their digests; only the folders and buckets that differ are joined."""
+    listing, paths = manifest_listing(spark, sf_dir), [scratch_path(spark, "tree") for _ in range(2)]
+    for side, path in zip((listing, changed_listing(listing)), paths, strict=True):
+        M.write_tree(M.manifest_entries(side), path)
+    compared = M.compare_trees(spark, *paths, identical=True)
+    return compared.select("path", "status", F.array_join("differences", "; ").alias("differences"))
 
 
 @query(
