@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglode.functions.logparse import ERROR_MARK, event_time, normalize_query, with_parsed
 from loglode.functions.text import strip
+from loglode.operators.index_search import search_index
+from loglode.operators.word_index import WordIndex
 from loglode.plans.bounds import broadcast_if_small
 
 
@@ -47,3 +49,37 @@ def relevant_line_stream(
     sessions = clean.withWatermark(event_time, delay).groupBy(F.session_window(event_time, gap).alias("s"), *block)
     best = sessions.agg(F.min_by("_line", rank).alias("selected_line"))
     return best.select(*block, F.col("s.start").alias("session_start"), "selected_line")
+
+
+def drain(stream: DataFrame, out: str) -> DataFrame:
+    """Run a stream over all that is there now and return everything it has written so far.
+
+    The sink is a parquet folder; the checkpoint beside it holds offsets, watermark and
+    state, so the next call with the same folder goes on where this one ended.
+    """
+    writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    writer.option("path", out).option("checkpointLocation", f"{out}.checkpoint").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def lookup_batches(
+    queries: DataFrame, current: Callable[[], tuple[DataFrame, DataFrame, WordIndex | None]], out: str
+) -> DataFrame:
+    """Look up a stream of queries in the index as it is when each batch comes, all tiers included.
+
+    ``queries`` streams query_id, machine_id, version_id (or machine_id alone with an index
+    that names one version each) and message; ``current`` gives the postings, chunks and
+    word index to read for a batch. A batch that is run again replaces its own results.
+    """
+
+    def look_up(batch: DataFrame, batch_id: int) -> None:
+        postings, chunks, words = current()
+        if "version_id" not in batch.columns:
+            batch = batch.join(chunks.select("machine_id", "version_id").distinct(), "machine_id")
+        found = search_index(batch, postings, chunks, words)
+        found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = queries.writeStream.foreachBatch(look_up).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{out}.checkpoint").start().awaitTermination()
+    spark = queries.sparkSession
+    return spark.read.option("basePath", out).parquet(out)
