@@ -178,6 +178,23 @@ def differing_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("bucket", F.col("_a").isNotNull().alias("in_a"), F.col("_b").isNotNull().alias("in_b"))
 
 
+def compare_by_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All paths of two trees, as `compare_manifests` gives them: the digests of both settle which buckets need a join."""
+    differ = differing_buckets(tree_digests(a, ()), tree_digests(b, ()))
+    leaves = differ.filter(F.length("bucket") == LEAF).select("bucket")
+    sides = [with_bucket(s) for s in (a, b)]
+    return _compared(*sides, leaves).unionByName(_identical(sides[0], leaves))
+
+
+def _compared(a: DataFrame, b: DataFrame, leaves: DataFrame) -> DataFrame:
+    return compare_manifests(*[s.join(leaves, "bucket", "left_semi") for s in (a, b)])
+
+
+def _identical(a: DataFrame, leaves: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>").alias("differences")
+    return a.join(leaves, "bucket", "left_anti").select("path", F.lit("identical").alias("status"), none)
+
+
 def compare_trees(spark: SparkSession, a: str, b: str, identical: bool = False) -> DataFrame:
     """Differences of two stored trees, as `compare_manifests` gives them.
 
@@ -190,12 +207,8 @@ def compare_trees(spark: SparkSession, a: str, b: str, identical: bool = False)
     folders = ["b" + r.bucket for r in differ.filter(F.length("bucket") == STEP).select("bucket").collect()]
     leaves = differ.filter(F.length("bucket") == LEAF).select("bucket")
     sides = [spark.read.parquet(f"{p}/entries") for p in (a, b)]
-    found = compare_manifests(*[s.filter(F.col("folder").isin(folders)).join(leaves, "bucket", "left_semi") for s in sides])
-    if not identical:
-        return found
-    none = F.array().cast("array<string>").alias("differences")
-    rest = sides[0].join(leaves, "bucket", "left_anti").select("path", F.lit("identical").alias("status"), none)
-    return found.unionByName(rest)
+    found = _compared(*[s.filter(F.col("folder").isin(folders)) for s in sides], leaves)
+    return found.unionByName(_identical(sides[0], leaves)) if identical else found
 
 
 def entry_differences(a: str = "a", b: str = "b") -> Column:

@@ -67,15 +67,16 @@ def read_words(spark: SparkSession, path: str, machine: str | None = None, versi
 
 
 def words_with(tokens: DataFrame, found: WordIndex, kind: str, index: Sequence[str] = INDEX) -> DataFrame:
-    """(query_id, *index, token, word, n_places): the words that contain a token, for each of the tokens.
+    """(*index, token, word, n_places): the words that contain a token, for each distinct token.
 
     All grams of the token have to occur in the word; what comes through that is verified.
     """
     size = F.least(F.length("token"), F.lit(GRAM))
     own = F.when(size == 1, _grams(F.col("token"), [1])).when(size == 2, _grams(F.col("token"), [2])).otherwise(_grams(F.col("token"), [GRAM]))
-    asked = tokens.filter(F.length("token") > 0).select("query_id", *index, "token", F.size(own).alias("_n"), F.explode(own).alias("gram"))
+    distinct = tokens.filter(F.length("token") > 0).select(*index, "token").distinct()
+    asked = distinct.select(*index, "token", F.size(own).alias("_n"), F.explode(own).alias("gram"))
     held = found.grams.filter(F.col("kind") == kind).drop("kind")
-    hits = asked.join(held, [*index, "gram"]).groupBy("query_id", *index, "token", "_n", "word", "n_places").agg(F.count(F.lit(1)).alias("_has"))
+    hits = asked.join(held, [*index, "gram"]).groupBy(*index, "token", "_n", "word", "n_places").agg(F.count(F.lit(1)).alias("_has"))
     return hits.filter((F.col("_has") == F.col("_n")) & F.contains("word", F.col("token"))).drop("_n", "_has")
 
 
@@ -86,8 +87,8 @@ def rarest_tokens(tokens: DataFrame, found: WordIndex, kind: str, take: Column,
     number of the query's tokens that no word contains; they are the rarest and find nothing.
     """
     held = words_with(tokens, found, kind, index)
-    counted = held.groupBy("query_id", *index, "token").agg(F.sum("n_places").alias("n"))
-    own = tokens.join(counted, ["query_id", *index, "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = held.groupBy(*index, "token").agg(F.sum("n_places").alias("n"))
+    own = tokens.join(counted, [*index, "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     of_query = Window.partitionBy("query_id", *index)
     ranked = own.withColumns(
         {
@@ -96,7 +97,7 @@ def rarest_tokens(tokens: DataFrame, found: WordIndex, kind: str, take: Column,
         }
     )
     picked = ranked.filter(F.col("_rank") <= take).select("query_id", *index, "token", "absent")
-    return picked.join(held, ["query_id", *index, "token"]).select("query_id", *index, "token", "absent", "word")
+    return picked.join(held, [*index, "token"]).select("query_id", *index, "token", "absent", "word")
 
 
 def places_of(picked: DataFrame, found: WordIndex, kind: str, index: Sequence[str] = INDEX) -> DataFrame:

@@ -431,11 +431,19 @@ def _compared(spark, sf_dir):
 
 @query("SELECT path, status, differences FROM compared", COMPARE_SQL)
 def manifest_compare(spark, sf_dir):
-    """Both sides stored with their digests; only the folders and buckets that differ are joined."""
+    """Only the buckets whose digests differ are joined."""
+    a = manifest_listing(spark, sf_dir)
+    compared = M.compare_by_buckets(M.manifest_entries(a), M.manifest_entries(changed_listing(a)))
+    return compared.select("path", "status", F.array_join("differences", "; ").alias("differences"))
+
+
+@query("SELECT path, status, differences FROM compared WHERE status <> 'identical'", COMPARE_SQL)
+def stored_tree_compare(spark, sf_dir):
+    """Both sides stored with their digests; only the folders and buckets that differ are read."""
     listing, paths = manifest_listing(spark, sf_dir), [scratch_path(spark, "tree") for _ in range(2)]
     for side, path in zip((listing, changed_listing(listing)), paths, strict=True):
         M.write_tree(M.manifest_entries(side), path)
-    compared = M.compare_trees(spark, *paths, identical=True)
+    compared = M.compare_trees(spark, *paths).filter("status <> 'identical'")
     return compared.select("path", "status", F.array_join("differences", "; ").alias("differences"))
 
 
