@@ -12,12 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglode.operators.registry import UPLOAD
+from loglode.operators.registry import DELETE, UPLOAD
 from loglode.session import path_exists
 from loglode.sources.fragments import checked_versions, fragment_chunks, fragment_postings
 
 KEYS = ("machine_id", "version_id")
 TABLES = {"chunks": fragment_chunks, "postings": fragment_postings}
+DELETIONS = "machine_id string, version_id string, deleted_at timestamp_ntz"
 COMMITS = "load string, machine_id string, version_id string, committed_at timestamp_ntz, total_chunks long, total_errors long"
 
 
@@ -68,10 +69,51 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMMITS).parquet(f"{path}/commits")
 
 
+def delete(spark: SparkSession, path: str, gone: DataFrame, deleted_at: str) -> None:
+    """Name versions, or whole machines (a null version_id), as deleted at a time: one append, as a commit is.
+
+    What goes with them, versions with their machine and stored rows with their version, is
+    settled by readers, so no file is touched; a version loaded again later is there again.
+    """
+    rows = gone.select("machine_id", "version_id", F.lit(deleted_at).cast("timestamp_ntz").alias("deleted_at")).distinct()
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/deletions")
+
+
+def deletions(spark: SparkSession, path: str) -> DataFrame:
+    if not path_exists(spark, f"{path}/deletions"):
+        return spark.createDataFrame([], DELETIONS)
+    return spark.read.schema(DELETIONS).parquet(f"{path}/deletions")
+
+
 def current(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The last commit of every version: a version loaded again replaces itself."""
+    """The last commit of every version that lives: a version loaded again replaces itself, one deleted since, or with
+    its machine, is not there."""
     last = F.max_by(F.struct("load", "committed_at", "total_chunks", "total_errors"), F.struct("committed_at", "load"))
-    return commits(spark, path).groupBy(*keys).agg(last.alias("c")).select(*keys, "c.*")
+    newest = commits(spark, path).groupBy(*keys).agg(last.alias("c")).select(*keys, "c.*")
+    ended = deletions(spark, path)
+    end = F.max("deleted_at")
+    of_machine = ended.filter("version_id IS NULL").groupBy("machine_id").agg(end.alias("_machine_gone"))
+    of_version = ended.filter("version_id IS NOT NULL").groupBy(*keys).agg(end.alias("_version_gone"))
+    dated = newest.join(of_machine, "machine_id", "left").join(of_version, list(keys), "left")
+    gone = F.greatest("_machine_gone", "_version_gone")
+    return dated.filter(gone.isNull() | (F.col("committed_at") > gone)).drop("_machine_gone", "_version_gone")
+
+
+def stale_loads(spark: SparkSession, path: str) -> list[str]:
+    """Loads that no living version comes from: their folders may be removed. One row a load, not a version."""
+    named = commits(spark, path).select("load").distinct()
+    return [r.load for r in named.join(current(spark, path).select("load").distinct(), "load", "left_anti").collect()]
+
+
+def compact(spark: SparkSession, source: str, target: str, committed_at: str) -> DataFrame:
+    """Write what lives in one store to another as a single load: deleted and replaced rows stay behind."""
+    load = uuid.uuid4().hex
+    alive = current(spark, source)
+    for table in TABLES:
+        loaded(spark, source, table).write.parquet(f"{target}/{table}/load={load}")
+    rows = alive.withColumns({"load": F.lit(load), "committed_at": F.lit(committed_at).cast("timestamp_ntz")})
+    rows.select("load", *KEYS, "committed_at", "total_chunks", "total_errors").coalesce(1).write.mode("append").parquet(f"{target}/commits")
+    return current(spark, target)
 
 
 def loaded(spark: SparkSession, path: str, table: str, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -80,13 +122,10 @@ def loaded(spark: SparkSession, path: str, table: str, keys: Sequence[str] = KEY
     return rows.join(current(spark, path, keys).select("load", *keys), ["load", *keys], "left_semi").drop("load")
 
 
-def upload_events(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The commits as events of the registry."""
-    return commits(spark, path).select(*keys, F.lit(UPLOAD).alias("op"), F.col("committed_at").alias("ts"))
-
-
-def delete_versions(spark: SparkSession, path: str, gone: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """What readers see of a table of commits once versions, or whole machines, are gone: `gone` has machine_id and
-    perhaps version_id."""
-    on = [k for k in keys if k in gone.columns]
-    return current(spark, path, keys).join(gone.select(*on).distinct(), on, "left_anti")
+def events(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Commits and deletions as events of the registry; a machine's deletion is one of each of its versions."""
+    loads = commits(spark, path).select(*keys, F.lit(UPLOAD).alias("op"), F.col("committed_at").alias("ts"))
+    ended = deletions(spark, path)
+    whole = ended.filter("version_id IS NULL").select("machine_id", "deleted_at").join(loads.select(*keys).distinct(), "machine_id")
+    ends = ended.filter("version_id IS NOT NULL").unionByName(whole.select(*ended.columns))
+    return loads.unionByName(ends.select(*keys, F.lit(DELETE).alias("op"), F.col("deleted_at").alias("ts")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loglode.operators import chunks as C
 from loglode.operators import index_search as S
 from loglode.operators.facts import file_facts, stored_chunks, update_facts
-from loglode.operators.load import load_versions, loaded, upload_events
+from loglode.operators.load import compact, delete, events, load_versions, loaded
 from loglode.operators.registry import active_versions
 from loglode.operators.word_index import build_words
 from loglode.queries.base import query
@@ -205,13 +205,42 @@ def version_loads(spark, sf_dir):
     verdicts = [load_versions(rows.filter(number % 2 == 1 - step), path, f"2024-01-0{step + 1} 00:00:00") for step in range(2)]
     every = verdicts[0].unionByName(verdicts[1]).select(*INDEX_KEY, F.array_join("violations", "; ").alias("violations"))
     counts = [loaded(spark, path, t).groupBy(*INDEX_KEY).agg(F.count(F.lit(1)).alias(n)) for t, n in (("chunks", "n_chunks"), ("postings", "n_postings"))]
-    stamped = upload_events(spark, path).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=number.cast("decimal(18,6)")))
+    stamped = events(spark, path).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=number.cast("decimal(18,6)")))
     active = active_versions(stamped).withColumn("is_active", F.lit(True))
     for part in (*counts, active):
         every = every.join(part, list(INDEX_KEY), "left")
     return every.fillna(0, ["n_chunks", "n_postings"]).fillna(False, ["is_active"])
 
 
+@query(
+    """
+, loads AS (
+  SELECT machine_id, version_id, file_no, violations, count(*) FILTER (NOT legacy) AS n_chunks,
+    coalesce(sum(CASE WHEN note_level IS NULL THEN 3 ELSE 4 END) FILTER (NOT legacy), 0)::BIGINT AS n_postings,
+    CAST(substr(machine_id, 7) AS INT) % 5 = 2 AS machine_gone
+  FROM judged GROUP BY ALL)
+SELECT machine_id, version_id, n_chunks, n_postings FROM loads
+WHERE violations = '' AND NOT machine_gone AND (file_no % 3 <> 1 OR file_no % 2 = 0)""",
+    CODE_SQL + VIOLATION_SQL,
+)
+def deletions_cascade(spark, sf_dir):
+    """Machines deleted with their versions and index rows, single versions too, some of these loaded again; then compacted."""
+    path, rows = scratch_path(spark, "loads"), cut_lineage(_fragments(spark, sf_dir))
+    number = F.regexp_extract("version_id", "[0-9]+", 0).cast("int")
+    brand = F.substring("machine_id", 7, 9).cast("int")
+    load_versions(rows, path, "2024-01-01 00:00:00")
+    versions = rows.select(*INDEX_KEY).distinct()
+    delete(spark, path, versions.filter(number % 3 == 1), "2024-01-02 00:00:00")
+    load_versions(rows.filter((number % 3 == 1) & (number % 2 == 0)), path, "2024-01-03 00:00:00")
+    machines = versions.filter(brand % 5 == 2).select("machine_id", F.lit(None).cast("string").alias("version_id"))
+    delete(spark, path, machines, "2024-01-04 00:00:00")
+    target = scratch_path(spark, "compacted")
+    alive = compact(spark, path, target, "2024-01-05 00:00:00").select(*INDEX_KEY)
+    for t, n in (("chunks", "n_chunks"), ("postings", "n_postings")):
+        alive = alive.join(loaded(spark, target, t).groupBy(*INDEX_KEY).agg(F.count(F.lit(1)).alias(n)), list(INDEX_KEY), "left")
+    return alive.fillna(0, ["n_chunks", "n_postings"])
+
+
 # --- index search: each file version asked for its part types and names -----------------------------
 
 QUERY_SQL = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loglode.operators import chunks as C
-from loglode.operators.load import load_versions, loaded, upload_events
+from loglode.operators.load import events, load_versions, loaded
 from loglode.operators.facts import file_facts, stored_chunks, update_facts
 from loglode.operators.registry import active_versions
 from loglode.operators.word_index import build_words
@@ -115,7 +115,7 @@ def stream_lookup(spark, sf_dir):
     ).distinct()
 
     def active():
-        stamped = upload_events(spark, store).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=number.cast("decimal(18,6)")))
+        stamped = events(spark, store).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=number.cast("decimal(18,6)")))
         return active_versions(stamped)
 
     def current():

@@ -10,6 +10,7 @@ from loglode.operators.facts import file_facts, stored_chunks, update_facts
 from loglode.operators.index_search import Limits, group_chunks, prepare_queries, ranked, search_index
 from loglode.operators.word_index import build_words, read_words, words_with, write_words
 from loglode.operators import load
+from loglode.operators.registry import active_versions
 from loglode.sources import documents as D
 from loglode.sources.fragments import checked_versions, document_fragments, fragment_chunks, fragment_postings, read_fragments, write_fragments
 
@@ -276,6 +277,24 @@ def test_a_load_that_breaks_off_changes_nothing(spark, tmp_path):
     assert see() == before
     load.load_versions(rows, path, "2024-01-03 00:00:00")
     assert [v for v, _ in see()] == ["v"] * 3 + ["w"] * 3
-    assert load.upload_events(spark, path).count() == 4
-    assert [r["version_id"] for r in load.delete_versions(spark, path, spark.createDataFrame([("m", "v")], "machine_id string, version_id string")).collect()] == ["w"]
-    assert load.delete_versions(spark, path, spark.createDataFrame([("m",)], "machine_id string")).count() == 0
+    assert load.events(spark, path).count() == 4
+
+
+def test_deletions_take_what_belongs_to_them(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = fragments_of(spark, ["v", "w"])
+    rows = rows.union(rows.withColumn("machine_id", F.lit("n")))
+    load.load_versions(rows, path, "2024-01-01 00:00:00")
+    see = lambda: sorted(tuple(r) for r in load.loaded(spark, path, "postings").select("machine_id", "version_id").distinct().collect())
+    gone = lambda *rs: spark.createDataFrame(list(rs), "machine_id string, version_id string")
+    load.delete(spark, path, gone(("m", "v"), ("zz", None)), "2024-01-02 00:00:00")
+    assert see() == [("m", "w"), ("n", "v"), ("n", "w")] and load.stale_loads(spark, path) == []
+    load.delete(spark, path, gone(("n", None)), "2024-01-03 00:00:00")
+    assert see() == [("m", "w")]
+    load.load_versions(rows.filter("machine_id = 'n' AND version_id = 'v'"), path, "2024-01-04 00:00:00")
+    assert see() == [("m", "w"), ("n", "v")]
+    lives = {tuple(r)[:2] for r in active_versions(load.events(spark, path)).collect()}
+    assert ("m", "w") in lives
+    target = str(tmp_path / "target")
+    assert load.compact(spark, path, target, "2024-01-05 00:00:00").count() == 2
+    assert load.loaded(spark, target, "chunks").count() == 6 and load.commits(spark, target).select("load").distinct().count() == 1
