@@ -50,18 +50,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Rows with equal text (by hash) make a unit, and units in the order of their hash fill the shards one after another,
     each unit going where its middle falls; a group over GROUP_SHARE of a shard or MAX_ROWS rows is subdivided by a hash
-    of its rows into units of that size, so one text may hold any share of the table. Positions come without a global
+    of its rows' numbers into units of that size, so one text may hold any share of the table. Positions come without a global
     sort: splitters from a size-weighted sample cut the units into ranges, ranges are summed, and within a range a
     running sum goes on from the sums before. Texts do not move; only the slim rows (hash, id, size) are shuffled.
 
     Defined cases: a null text has size 1 and checksum 0, like an empty one, and makes one group with other null texts; a
-    null doc_id is carried; repeated rows each get a slot of their own (rows with equal id and text are never split up);
+    null doc_id is carried; repeated rows each get a slot of their own, and are subdivided like all others;
     an empty table gives no rows; a single text larger than a shard makes a larger shard; other columns are ignored.
     """
     text = F.col("`text`")
     slim = docs.select(
         F.col("`doc_id`"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"),
-        F.xxhash64(text).alias("key"), F.pmod(F.xxhash64("`doc_id`", text, F.lit("piece")), F.lit(1 << 20)).alias("d"),
+        F.xxhash64(text).alias("key"),
     )
     slim = stored(slim.withColumn("bytes", F.col("bytes") + 1))
     whole = slim.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
@@ -69,7 +69,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = slim.groupBy("key").agg(F.sum("bytes").alias("group_bytes"), F.count("*").alias("group_rows"))
     pieces = F.greatest(F.ceil(F.col("group_bytes") / most), F.ceil(F.col("group_rows") / MAX_ROWS))
     large = groups.select("key", pieces.alias("pieces")).where("pieces > 1")
-    rows = slim.join(large, "key", "left")
+    # The stored rows are numbered for good, so rows that are equal in all they hold can be told apart as well.
+    draw = F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(1 << 20))
+    rows = slim.withColumn("d", draw).join(large, "key", "left")
     rows = rows.withColumn("piece", F.floor(F.col("d") * F.coalesce("pieces", F.lit(1)) / (1 << 20)))
     rows = rows.select("doc_id", "bytes", "text_crc32", "key", "piece")
     units = rows.groupBy("key", "piece").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))

@@ -5,6 +5,8 @@ import zlib
 from collections import Counter
 
 from brute import WORD, documents, frame, least_errors
+from pyspark.sql import functions as F
+
 from loglode.llm.decontaminate import Matcher, errors_within, leaks, normal, without_leaks
 from loglode.llm.licenses import LEAST_PROBABILITY, licence_paragraphs, sample_lines, thresholds
 from loglode.llm.quality import keep_good, quality_verdicts
@@ -128,6 +130,13 @@ def test_shards(spark):
     assert shard_by_bytes(frame(spark, rows).where("false")).count() == 0
 
 
+def test_shards_of_repeated_rows_are_near_equal(spark):
+    rows = [(None, "one text in all rows")] * 20_000 + [(7, "another one")] * 5_000 + [(i, f"text number {i}") for i in range(20_000)]
+    got = shard_by_bytes(frame(spark, rows)).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    total = sum(r.b for r in got)
+    assert len(got) == 16 and all(abs(r.b - total / 16) < 0.06 * total / 16 and r["last"] == r.n - 1 for r in got)
+
+
 def test_licences(spark):
     rows = documents() + [
         (6000, "Words before.\nReleased under the MIT License.\nWords after."), (6001, "Licensed under the Apache License, Version 2.0."),
