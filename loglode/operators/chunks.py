@@ -60,13 +60,19 @@ def call_errors(call: Column) -> Column:
 
 
 def chunk_bodies(
-    src: DataFrame, key: Sequence[str], deep: bool = False, outer: bool = False, signature_lines: int | None = SIGNATURE_LINES
+    src: DataFrame,
+    key: Sequence[str],
+    deep: bool = False,
+    outer: bool = False,
+    signature_lines: int | None = SIGNATURE_LINES,
+    comment_window: int | None = INDEX_COMMENT_WINDOW,
 ) -> DataFrame:
     """One row per function of parsed files (key, text, facts): code, signature, docstring, comment, messages.
 
     Shuffle-free: every function leaves its file's row as a row of its own, and takes its
     slices of the file's lines and calls only there. With ``outer`` a file without
-    functions leaves one empty row, and ``parsed`` tells whether it could be read.
+    functions leaves one empty row, and ``parsed`` tells whether it could be read. The
+    limits are lines; None has none.
     """
     # A file that does not parse has no functions; a filter on that would parse every file once more.
     lines = src.withColumn("_lines", split_lines(F.col("text")))
@@ -76,7 +82,7 @@ def chunk_bodies(
     rows = lines.select(*key, "facts", "_lines", explode(wanted).alias("x"))
     f = F.col("x.f")
     d, end = f["line_start"], f["line_end"]
-    above_from = F.greatest(d - 2 * INDEX_COMMENT_WINDOW, F.lit(1))
+    above_from = F.lit(1) if comment_window is None else F.greatest(d - 2 * comment_window, F.lit(1))
     calls = F.slice(F.col("facts.calls"), f["first_call"] + 1, f["n_calls"])
     ordered = F.array_sort(F.transform(calls, lambda c: F.struct(c["depth"], c["seq"], c.alias("c"))), _by_depth)
     head = F.slice(F.col("_lines"), d, end - d + 1 if signature_lines is None else F.lit(signature_lines + 1))
@@ -94,7 +100,7 @@ def chunk_bodies(
         F.reverse(F.slice(F.col("_lines"), above_from, d - above_from)).alias("above"),
         F.flatten(F.transform(ordered, lambda o: call_errors(o["c"]))).alias("error_messages"),
     )
-    rows = with_comment(rows, "line_start", INDEX_COMMENT_WINDOW, skip_decorators=False)
+    rows = with_comment(rows, "line_start", comment_window, skip_decorators=False)
     rows = rows.withColumnRenamed("leading_comment_block", "leading_comment").drop(
         "above", "leading_comment_start_line", "leading_comment_end_line"
     )
@@ -110,12 +116,13 @@ def with_chunk_id(rows: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_id", F.substring(digest, 1, CHUNK_ID_LENGTH))
 
 
-def function_chunks(files: DataFrame, key: Sequence[str] = ("path",), deep: bool = False) -> DataFrame:
+def function_chunks(files: DataFrame, key: Sequence[str] = ("path",), deep: bool = False, **limits: int | None) -> DataFrame:
     """One row per function: code, signature, docstring, comment, messages, id.
 
-    ``deep`` also takes functions defined under else, except, finally and match arms.
+    ``deep`` also takes functions defined under else, except, finally and match arms;
+    ``limits`` are those of `chunk_bodies`.
     """
-    return with_chunk_id(chunk_bodies(with_facts(files.select(*key, "text")), key, deep))
+    return with_chunk_id(chunk_bodies(with_facts(files.select(*key, "text")), key, deep, **limits))
 
 
 def _by_depth(a: Column, b: Column) -> Column:

@@ -211,8 +211,8 @@ def _first(items: Column, test) -> Column:
     return F.coalesce(F.array_position(F.transform(items, test), F.lit(True)), F.lit(0)).cast("int")
 
 
-def with_docstring(blocks: DataFrame) -> DataFrame:
-    """Docstring (at most 16 KiB) of blocks from ``below``, the lines under their header."""
+def with_docstring(blocks: DataFrame, cap: int | None = DOCSTRING_CAP) -> DataFrame:
+    """Docstring of blocks from ``below``, the lines under their header; one of more than ``cap`` characters is none."""
     c = F.col
     out = blocks.withColumn("_at", _first(c("below"), lambda x: ~lstrip(x).rlike(r"^(#|\z)")))
     out = out.withColumn("_line", F.get("below", c("_at") - 1)).withColumn("_bare", lstrip(c("_line")))
@@ -220,7 +220,8 @@ def with_docstring(blocks: DataFrame) -> DataFrame:
     opens = (c("_at") > 0) & (indent_width(c("_line")) > c("header_indent")) & mark.isin('"""', "'''")
     out = out.withColumn("_mark", F.when(opens, mark))
     single = F.substring(c("_bare"), F.lit(4), F.length("_bare") - 6)
-    one_line = F.endswith("_bare", "_mark") & (F.length("_bare") > 6) & (F.length("_bare") <= DOCSTRING_CAP + 6)
+    fits = lambda size: F.lit(True) if cap is None else size <= cap
+    one_line = F.endswith("_bare", "_mark") & (F.length("_bare") > 6) & fits(F.length("_bare") - 6)
     rest = F.when(c("_mark").isNotNull(), F.slice(c("below"), c("_at") + 1, F.size("below")))
     out = out.withColumns({"_single": F.when(one_line, single), "_rest": rest})
     out = out.withColumn("_close", _first(c("_rest"), lambda x: F.contains(x, c("_mark"))))
@@ -235,7 +236,7 @@ def with_docstring(blocks: DataFrame) -> DataFrame:
     )
     size = F.aggregate("_body", F.length("_head"), lambda acc, x: acc + F.length(x))
     joined = strip(F.concat_ws("\n", F.array("_head"), "_body", F.when(c("_tail") != "", F.array("_tail"))))
-    out = out.withColumn("_joined", F.when((c("_close") > 0) & (size <= DOCSTRING_CAP), joined))
+    out = out.withColumn("_joined", F.when((c("_close") > 0) & fits(size), joined))
     text = F.coalesce("_single", F.when(c("_joined") != "", c("_joined")))
     out = out.withColumn("docstring_text", text)
     first = F.when(c("docstring_text").isNotNull(), c("def_line_no") + c("_at"))
@@ -246,9 +247,9 @@ def with_docstring(blocks: DataFrame) -> DataFrame:
 
 
 def with_comment(
-    blocks: DataFrame, def_line: str, window: int = LIVE_COMMENT_WINDOW, skip_decorators: bool = True
+    blocks: DataFrame, def_line: str, window: int | None = LIVE_COMMENT_WINDOW, skip_decorators: bool = True
 ) -> DataFrame:
-    """Comment block above headers; ``above`` holds the lines upwards from each one.
+    """Comment block above headers; ``above`` holds the lines upwards from each one, ``window`` bounds the walk.
 
     Each line becomes one letter, and the lines to walk are the longest prefix with
     at most one blank between marked lines. A ``#`` line or one-line quote stands for
@@ -267,7 +268,8 @@ def with_comment(
         )
 
     above = F.col("above")
-    out = blocks.withColumn("_letters", F.array_join(F.transform(F.slice(above, 1, window), letter), ""))
+    near = above if window is None else F.slice(above, 1, window)
+    out = blocks.withColumn("_letters", F.array_join(F.transform(near, letter), ""))
     walk = "^(?:B?[DCQ])*" if skip_decorators else "^(?:B?[CQ])*"
     out = out.withColumn("_walk", F.split(F.regexp_extract("_letters", walk, 0), ""))
     marked = F.filter(F.transform("_walk", lambda x, i: F.when(x.isin("C", "Q"), i + 1)), lambda i: i.isNotNull())
@@ -280,7 +282,7 @@ def with_comment(
 
     def reach(p: Column) -> Column:
         mark = F.substring(p["bare"], 1, 3)
-        further = F.slice(above, p["i"] + 1, window - 1)
+        further = F.slice(above, p["i"] + 1, F.size(above) if window is None else F.lit(window - 1))
         closes = lambda x: F.contains(x, mark) & (~is_decorator(x) if skip_decorators else F.lit(True))
         single = F.startswith(p["bare"], F.lit("#")) | (F.endswith(p["bare"], mark) & (F.length(p["bare"]) > 6))
         return F.struct(
@@ -313,26 +315,34 @@ def with_comment(
     ).drop("_letters", "_walk", "_marks", "_reach", "_pieces")
 
 
-def doc_and_comments(files: DataFrame, blocks: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
-    """Docstring and leading comment of blocks: (key, def_line_no) plus six columns."""
+def doc_and_comments(
+    files: DataFrame,
+    blocks: DataFrame,
+    key: Sequence[str] = ("path",),
+    docstring_cap: int | None = DOCSTRING_CAP,
+    comment_window: int | None = LIVE_COMMENT_WINDOW,
+) -> DataFrame:
+    """Docstring and leading comment of blocks: (key, def_line_no) plus six columns.
+
+    The limits are those of a live look-up; None takes docstrings and comments of any
+    length. Every header leaves its file's row as a row of its own before it takes its lines.
+    """
     key = list(key)
     heads = blocks.filter("def_line_no is not null").select(*key, "def_line_no", "end_line", "header_indent").distinct()
     per_file = heads.groupBy(*key).agg(F.collect_list(F.struct("def_line_no", "end_line", "header_indent")).alias("heads"))
     src = files.select(*key, "text").join(per_file, key)
-    src = src.withColumn("_lines", byte_lines(F.col("text")))
-
-    def surround(h: Column) -> Column:
-        d = h["def_line_no"]
-        start = F.greatest(d - 2 * LIVE_COMMENT_WINDOW, F.lit(1))
-        return F.struct(
-            d.alias("def_line_no"),
-            h["header_indent"].alias("header_indent"),
-            F.reverse(F.slice(F.col("_lines"), start, d - start)).alias("above"),
-            F.slice(F.col("_lines"), d + 1, F.greatest(h["end_line"] - d, F.lit(0))).alias("below"),
-        )
-
-    rows = src.select(*key, F.explode(F.transform("heads", surround)).alias("s")).select(*key, "s.*")
-    return with_comment(with_docstring(rows), "def_line_no").drop("above", "below", "header_indent")
+    src = src.select(*key, byte_lines(F.col("text")).alias("_lines"), "heads")
+    rows = src.select(*key, "_lines", F.explode("heads").alias("h")).select(*key, "_lines", "h.*")
+    d = F.col("def_line_no")
+    start = F.lit(1) if comment_window is None else F.greatest(d - 2 * comment_window, F.lit(1))
+    rows = rows.select(
+        *key,
+        "def_line_no",
+        "header_indent",
+        F.reverse(F.slice("_lines", start, d - start)).alias("above"),
+        F.slice("_lines", d + 1, F.greatest(F.col("end_line") - d, F.lit(0))).alias("below"),
+    )
+    return with_comment(with_docstring(rows, docstring_cap), "def_line_no", comment_window).drop("above", "below", "header_indent")
 
 
 def enrich_matches(files: DataFrame, hits: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:

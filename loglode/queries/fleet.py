@@ -460,12 +460,16 @@ def compare_summary(spark, sf_dir):
 
 @query(
     """
-SELECT path, status FROM compared WHERE status <> 'identical'
-ORDER BY list_position(['only_in_a', 'only_in_b', 'different'], status), path LIMIT 50""",
+SELECT split_part(path, '/', 1) AS machine, path, status,
+  row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY list_position(['only_in_a', 'only_in_b', 'different'], status), path) AS mismatch_no
+FROM compared WHERE status <> 'identical' QUALIFY mismatch_no <= 50""",
     COMPARE_SQL,
 )
 def top_mismatches(spark, sf_dir):
-    return M.top_mismatches(_compared(spark, sf_dir)).select("path", "status")
+    """The first mismatches of every machine."""
+    a, key = manifest_listing(spark, sf_dir), ("machine", "path")
+    compared = M.compare_manifests(M.manifest_entries(a), M.manifest_entries(changed_listing(a)), key)
+    return M.top_mismatches(compared, group=("machine",)).select(*key, "status", "mismatch_no")
 
 
 @query("SELECT path FROM ma WHERE path NOT IN (SELECT path FROM mb)", MANIFEST_SQL)
@@ -513,11 +517,13 @@ DIR_SQL = (
     """
 SELECT path, git, n_markers, code_files_here, total_files_here,
   CASE WHEN git THEN 100 ELSE 0 END + 20 * n_markers + least(code_files_here, 50) AS score FROM dirs
-WHERE git OR n_markers > 0 OR code_files_here > 0 ORDER BY score DESC, path LIMIT 200""",
+WHERE git OR n_markers > 0 OR code_files_here > 0
+QUALIFY row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY score DESC, path) <= 200""",
     DIR_SQL,
 )
 def code_roots(spark, sf_dir):
-    rows = V.top_code_roots(tree_listing(spark, sf_dir))
+    trees = tree_listing(spark, sf_dir).withColumn("machine", F.element_at(F.split("path", "/"), 1))
+    rows = V.top_code_roots(trees, key=("machine",))
     return rows.select("path", "git", F.size("markers").alias("n_markers"), "code_files_here", "total_files_here", "score")
 
 

@@ -3,7 +3,7 @@
 import random
 import re
 
-from loglode.operators.enclosure import block_bounds, enclose, enrich_matches, with_block_text
+from loglode.operators.enclosure import block_bounds, doc_and_comments, enclose, enrich_matches, with_block_text
 from loglode.operators.slices import context_preview
 
 HEADER = re.compile(r"^\s*((async\s+def|def)\s+[A-Za-z_]\w*\s*\(|class\s+[A-Za-z_]\w*\s*(\(|:))")
@@ -126,3 +126,15 @@ def test_bounds_of_every_header(spark):
     src, _ = rich(spark, 10)
     names = [r["name"] for r in block_bounds(src).orderBy("def_line_no").collect()]
     assert names == ["handler", "Box", "get", "bare"]
+
+
+def test_long_docstrings_and_comments_without_limits(spark):
+    comment = "\n".join(f"# line {i}" for i in range(200))
+    body = "\n".join("    words of a long docstring" for _ in range(1600))
+    text = f'x = 1\n{comment}\ndef f(a):\n    """First.\n{body}\n    """\n    return a\n'
+    files = spark.createDataFrame([("a.py", text)], "path string, text string")
+    blocks = spark.createDataFrame([("a.py", 202, 1805, 0)], "path string, def_line_no int, end_line int, header_indent int")
+    whole = doc_and_comments(files, blocks, docstring_cap=None, comment_window=None).first()
+    assert whole["leading_comment_block"] == comment and whole["docstring_text"].startswith("First.\n    words") and len(whole["docstring_text"]) > 40_000
+    live = doc_and_comments(files, blocks).first()
+    assert live["docstring_text"] is None and live["leading_comment_block"].count("\n") == 24
