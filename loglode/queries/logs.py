@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loglode.functions.display import cut_metadata, human_bytes, human_time, with_display
-from loglode.functions.logparse import build_columns, normalize_query, relevant_line, relevant_rows, with_parsed
+from loglode.functions.logparse import analyze_blocks, build_columns, normalize_query, relevant_line, relevant_rows, with_parsed
 from loglode.functions.scoring import match_excerpt, significant_tokens
 from loglode.functions.text import explode_lines, settle, shorten, split_lines
 from loglode.operators import rollups
 from loglode.operators.enclosure import enclose, enrich_matches
 from loglode.operators.search import search_messages, tiered_search
 from loglode.operators.slices import context_preview, files_with_hits
+from loglode.plans.analyze import analyze
 from loglode.plans.bounds import spread
 from loglode.queries.base import query
 from loglode.queries.inputs import (
@@ -200,9 +201,38 @@ def log_counts_per_hour(spark, sf_dir):
     return counts.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "level", "component", "n_lines")
 
 
+@query(
+    """
+, picked AS (
+  SELECT event_id // 5 AS block_id, arg_min(event_id, (CASE WHEN upper(event_type[1]) = 'E' THEN 0 ELSE 1 END, event_id)) AS event_id
+  FROM events GROUP BY 1)
+SELECT block_id, stamp AS timestamp, upper(event_type[1]) AS level, component, message AS search_message, component || ': ' || message AS key_exact
+FROM picked JOIN logs USING (event_id)""",
+    LOG_SQL,
+)
+def analyze_pasted_blocks(spark, sf_dir):
+    """Blocks of five log lines: the relevant line of each, parsed to its end."""
+    lines = log_lines(spark, sf_dir).select("event_id", "line").withColumn("block_id", F.floor(F.col("event_id") / 5))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n")
+    blocks = lines.groupBy("block_id").agg(joined.alias("text"))
+    return analyze_blocks(blocks).select("block_id", "timestamp", "level", "component", "search_message", "key_exact")
+
+
 # --- search ------------------------------------------------------------------------------
 
 
+@query(
+    """
+SELECT DISTINCT item_id, message, path, line_no FROM msgs JOIN doc_lines ON contains(line_text, message)""",
+    DOC_SQL,
+)
+def overlapping_roots(spark, sf_dir):
+    """Files listed by two overlapping roots: one hit per line all the same."""
+    files = doc_files(spark, sf_dir)
+    lines = explode_lines(files.unionByName(files))
+    return search_messages(lines, messages(spark, sf_dir), file=("path",)).select("item_id", "message", "path", "line_no")
+
+
 @query(
     """
 SELECT item_id, message, path, line_no, line_text, 'exact_message' AS match_type, 1.0::DOUBLE AS score
@@ -315,6 +345,23 @@ def enclosing_block(spark, sf_dir):
     )
 
 
+@query(
+    """
+, blocks AS (SELECT p_partkey AS block_id, p_name || ' failed for' AS message FROM part)
+SELECT block_id, machine_id, version_id, path, base + 5 AS line_no, 'E' AS level, 'Handler' AS component, function_name AS name,
+  block_start AS start_line, block_end AS end_line, docstring AS docstring_text
+FROM blocks JOIN fns ON contains(p_name || ' failed for', message)""",
+    CODE_SQL,
+)
+def analysis(spark, sf_dir):
+    """From pasted lines to their places in the code of all machines, with block and docstring."""
+    part = table(spark, sf_dir, "part")
+    text = F.concat(F.lit("RS1234 proc: <I> [#1] Other: ok\nRS1234 proc: <E> [#1] Handler: "), "p_name", F.lit(" failed for"))
+    blocks = part.select(F.col("p_partkey").alias("block_id"), text.alias("text"))
+    found = analyze(blocks, code_files(spark, sf_dir), key=FILE_KEY, max_results=None)
+    return found.select("block_id", *FILE_KEY, "line_no", "level", "component", "name", "start_line", "end_line", "docstring_text")
+
+
 @query(
     """
 SELECT machine_id, version_id, path, line_start AS def_line_no, docstring AS docstring_text, line_start + 1 AS docstring_start_line,
