@@ -44,5 +44,5 @@ def test_pipeline(spark):
 
 def test_queries_are_registered():
     numbers = {n.split("_")[0] for n in queries.QUERIES}
-    assert {f"op{k}" for k in range(1, 11)} | {"pipeline"} == numbers
+    assert {f"op{k}" for k in range(1, 14)} | {"pipeline"} == numbers
     assert len(corpus_pipeline.STAGES) == 5
