@@ -10,6 +10,7 @@ from loglode.operators import discover as V
 from loglode.operators import inventory as I
 from loglode.operators import manifest as M
 from loglode.operators import registry as R
+from loglode.operators.measure import scan_report, write_measured
 from loglode.queries.base import query
 from loglode.queries.inputs import (
     CODE_SQL,
@@ -24,6 +25,7 @@ from loglode.queries.inputs import (
     manifest_listing,
     registry_events,
     script_files,
+    table,
     tree_listing,
 )
 from loglode.session import cut_lineage, scratch_path
@@ -563,6 +565,32 @@ def scan_throughput(spark, sf_dir):
     return V.scan_throughput(_scanned(spark, sf_dir))
 
 
+@query(
+    """
+SELECT count(*) FILTER (r IS NULL) AS files_read, count(r) AS files_skipped, coalesce(sum(length) FILTER (r IS NULL), 0)::BIGINT AS bytes_read,
+  true AS has_rates FROM reasons""",
+    SCAN_SQL,
+)
+def scan_observed(spark, sf_dir):
+    """Counts taken by the scan itself while its files are stored; the rates differ from run to run, so only their being is told."""
+    path = scratch_path(spark, "scan")
+    report = scan_report(_scanned(spark, sf_dir), lambda files: files.write.parquet(path))
+    rates = (F.col("files_per_second") > 0) & (F.col("bytes_per_second") > 0)
+    return report.select("files_read", "files_skipped", "bytes_read", rates.alias("has_rates"))
+
+
+@query(
+    """
+SELECT count(*) AS n_rows, sum(strlen(text))::BIGINT AS raw_bytes, true AS has_ratio FROM documents""",
+)
+def stored_sizes(spark, sf_dir):
+    """Documents stored by language: raw bytes as they passed, stored bytes from the listing of the files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    sizes = write_measured(docs, scratch_path(spark, "documents"), F.octet_length("text"), ["lang"])
+    fits = (F.col("n_files") > 0) & (F.col("ratio") > 0) & (F.col("ratio") < 2)
+    return sizes.select("n_rows", "raw_bytes", fits.alias("has_ratio"))
+
+
 @query(
     """
 SELECT path, regexp_matches(path, '/(scripts|bin)/') AS is_script,
@@ -624,8 +652,6 @@ FROM orders GROUP BY o_custkey HAVING o_custkey % 9 <> 4""",
 )
 def registry_state(spark, sf_dir):
     """Machines folded from change events: the orders of a customer update its machine, some machines are deleted."""
-    from loglode.queries.inputs import table
-
     orders = table(spark, sf_dir, "orders")
     at = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") % 86400)
     updates = orders.select(
