@@ -16,7 +16,7 @@ from loglode.llm.common import LAST_ID, Words, chunks, gram_hashes, map_arrow, m
 MIN_WORDS = 13
 ANCHOR = 5
 INDEX_CHUNK = 2 << 20
-_BLOCK_ROW = "key int, content long, doc long, tag int, at int, n int, kind int"
+_BLOCK_ROW = "key long, content long, doc long, tag int, place long"
 BLOCK, FACTOR, MIXED, MARK = 0, 1, 2, 3
 _SPAN_ROW = "window long, doc long, tag int, at int"
 
@@ -49,7 +49,7 @@ def cut_blocks(texts: pa.Array, size: int = MIN_WORDS, anchor: int = ANCHOR) ->
     hashes, first, window, text = _windows(texts, size)
     if not len(window):
         none = np.zeros(0, np.int64)
-        return Blocks(none, none, none, none.astype(np.int32), none)
+        return Blocks(none, none, none, none, none)
     order = mix(gram_hashes(hashes, anchor) ^ np.uint64(0x5851F42D4C957F2D))
     best, place = order[window].copy(), window.copy()
     for k in range(1, size - anchor + 1):
@@ -63,8 +63,7 @@ def cut_blocks(texts: pa.Array, size: int = MIN_WORDS, anchor: int = ANCHOR) ->
     grams = gram_hashes(hashes, size)[window]
     grams *= powers(int(n.max()))[np.arange(len(window)) - np.repeat(head, n)]
     content = mix(np.add.reduceat(grams, head) + n.astype(np.uint64))
-    anchors = (best[head] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return Blocks(text[head], window[head] - first[text[head]], n, anchors, signed(content))
+    return Blocks(text[head], window[head] - first[text[head]], n, signed(best[head]), signed(content))
 
 
 def _index_rows(size: int, anchor: int):
@@ -91,7 +90,7 @@ def _index_rows(size: int, anchor: int):
             distinct = np.add.reduceat(other.astype(np.int64), np.flatnonzero(other_anchor))
             several = np.empty(len(by), bool)
             several[by] = (distinct > 1)[np.cumsum(other_anchor) - 1]
-            key = np.where(several, _narrow(b.content.view(np.uint64)), b.anchor)
+            key = np.where(several, signed(mix(b.content)), b.anchor)
             left = ~known
             yield _rows(key[left], b.content[left], doc[left], tag[left], b.at[left], b.n[left], np.where(several[left], MIXED, BLOCK))
             marks = anchors[other_anchor][distinct > 1]
@@ -101,19 +100,17 @@ def _index_rows(size: int, anchor: int):
             if known.any():
                 text, at, n, doc, tag = b.text[known], b.at[known], b.n[known], doc[known], tag[known]
                 head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] != at[:-1] + n[:-1])]))
-                spread = _narrow(doc[head].view(np.uint64) + at[head].astype(np.uint64))
+                spread = signed(mix(doc[head].view(np.uint64) + at[head].astype(np.uint64)))
                 yield _rows(spread, np.zeros(len(head), np.int64), doc[head], tag[head], at[head], np.add.reduceat(n, head), np.full(len(head), FACTOR))
 
     return run
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return (mix(x) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def _rows(key, content, doc, tag, at, n, kind) -> pa.RecordBatch:
-    narrow = [pa.array(x.astype(np.int32)) for x in (tag, at, n, kind)]
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(doc), *narrow], names=["key", "content", "doc", "tag", "at", "n", "kind"])
+    """Rows of the index; place holds at, n and kind in one number, since most of them are small."""
+    place = (at.astype(np.int64) << 32) | (n.astype(np.int64) << 2) | kind
+    columns = [pa.array(key), pa.array(content), pa.array(doc), pa.array(tag.astype(np.int32)), pa.array(place)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "content", "doc", "tag", "place"])
 
 
 def _boundary_rows(size: int):
@@ -202,7 +199,9 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
     Reference blocks are cut where the words themselves say so (`cut_blocks`) and indexed by anchor. Each document is
     factored greedily against every block of every earlier document: a block found whole extends the factor. Where a
     factor ends inside a block (its anchor is indexed, but only with other words around it), the boundary is checked
-    window by window. Only block hashes move, about one per five words, once; texts meet their factors in one join.
+    window by window. Anchors and contents are 64 bits each and both must agree, so strange blocks do not meet at 100 TB
+    either. Block hashes move once, about one per five words; the windows of blocks at boundaries move as well; texts meet
+    their factors in one join.
 
     An anchor or passage in very many documents costs one row per chunk of text at its place in the index, not one per
     document (`_index_rows`); boundary windows are summed before they are shuffled, and joins split skewed keys.
@@ -217,13 +216,15 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
         F.hash("`text`").alias("tag"), *[F.col(f"`{c}`").alias(f"own_{c}") for c in carry],
     )
     index = map_arrow(keyed.select("text", "doc", "tag"), _index_rows(min_words, anchor), _BLOCK_ROW).repartition("key")
+    kind, n, at = F.col("place").bitwiseAND(3), F.shiftright("place", 2).bitwiseAND((1 << 30) - 1), F.shiftright("place", 32)
     same, near = Window.partitionBy("key", "content"), Window.partitionBy("key")
-    content = F.when(F.col("kind") == BLOCK, F.col("content"))
-    marked = F.coalesce(F.max((F.col("kind") == MARK)).over(near), F.lit(False))
+    content = F.when(kind == BLOCK, F.col("content"))
+    marked = F.coalesce(F.max(kind == MARK).over(near), F.lit(False))
     differ = F.coalesce(F.min(content).over(near) < F.max(content).over(near), F.lit(False))
-    met = index.withColumn("first", F.min("doc").over(same)).withColumn("mixed", (F.col("kind") == MIXED) | marked | differ)
-    whole = (F.col("kind") == FACTOR) | (F.col("doc") > F.col("first"))
-    met = met.where(F.col("kind") != MARK).where(whole | F.col("mixed")).select("doc", "tag", "at", "n", whole.alias("whole"))
+    met = index.withColumn("first", F.min("doc").over(same)).withColumn("mixed", (kind == MIXED) | marked | differ)
+    whole = (kind == FACTOR) | (F.col("doc") > F.col("first"))
+    met = met.where(kind != MARK).where(whole | F.col("mixed"))
+    met = met.select("doc", "tag", at.cast("int").alias("at"), n.cast("int").alias("n"), whole.alias("whole"))
     span = F.struct("at", "n")
     spans = met.groupBy("doc", "tag").agg(
         F.collect_list(F.when(F.col("whole"), span)).alias("factors"), F.collect_list(F.when(~F.col("whole"), span)).alias("open")
