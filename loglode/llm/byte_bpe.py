@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,8 @@ from loglode.llm.common import CHUNK_BYTES, chunks, map_arrow, offsets, raw_byte
 
 #: Text of one batch: its words are looked up together and its documents reassembled together.
 BATCH_BYTES = 12 << 20
+#: Words and ids a task remembers before it starts afresh.
+KNOWN_BYTES = 64 << 20
 _ROW = "key long, batch long, words binary, sizes binary, places binary, doc_id long, sequence binary"
 _IDS_ROW = "key long, places binary, sizes binary, ids binary"
 
@@ -111,11 +112,14 @@ def _flush(batch: int, numbers: dict[str, int], docs: list, fan: int) -> Iterato
 
 
 def _encode_words(shared):
-    """Ids of the words of every batch; a word that several batches hold is encoded once, since its hash leads all of them here."""
+    """Ids of the words of every batch; a word that several batches hold is encoded once, since its hash leads all of them here.
+
+    What a task remembers is bounded by KNOWN_BYTES; beyond, it begins anew and encodes a word again at worst."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict[bytes, int] = shared.value
         known: dict[bytes, bytes] = {}
+        held = 0
         for part in batches:
             rows = []
             for row in part.select(["batch", "words", "sizes", "places"]).to_pylist():
@@ -126,7 +130,11 @@ def _encode_words(shared):
                     word = row["words"][at : at + size]
                     at += size
                     if (own := known.get(word)) is None:
-                        own = known[word] = np.array(merge(word, ranks), "<u4").tobytes()
+                        own = np.array(merge(word, ranks), "<u4").tobytes()
+                        if held > KNOWN_BYTES:
+                            known, held = {}, 0
+                        known[word] = own
+                        held += len(word) + len(own) + 100
                     ids.append(own)
                     counts.append(len(own) // 4)
                 rows.append((-1 - row["batch"], row["places"], _pack(np.array(counts)), _pack(np.frombuffer(b"".join(ids), "<u4"))))
@@ -139,7 +147,7 @@ def _encode_words(shared):
 
 def _reassemble(rows: pa.Table, found: pa.Table) -> pa.Table:
     """The ids of a batch's documents, position by position."""
-    docs = rows.filter(pa.compute.is_valid(rows.column("sequence"))) if rows.num_rows else rows
+    docs = rows
     pieces = found.select(["places", "sizes", "ids"]).to_pylist() if docs.num_rows else []
     places = [_unpack(p["places"]) for p in pieces]
     sizes = [_unpack(p["sizes"]) for p in pieces]
@@ -170,7 +178,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     A batch of some 12 MB of text turns into its distinct words and its documents as sequences of word numbers. Words
     are shuffled by hash, so each distinct word of the table is encoded once; their ids go back to the batches, where
-    they replace the numbers at every position. The one exchange carries both kinds of rows and is read twice. A very
+    they replace the numbers at every position. The one exchange carries both kinds of rows and is read twice; only the
+    sequences reach the reassembly, a batch at a time. A very
     common word costs one entry per batch. The vocabulary (some 50,000 tokens, whatever the input) is broadcast.
     docs should be a stored table: a batch must hold the same rows if a lost task runs again.
 
@@ -183,7 +192,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     slim = docs.select(F.col("`doc_id`"), F.col("`text`"))
     rows = map_arrow(slim, _split(pattern, fan), _ROW).repartition("key")
     found = map_arrow(rows, _encode_words(shared), _IDS_ROW)
-    both = rows.groupBy("key").cogroup(found.groupBy("key"))
+    # Tied to the partition, the condition stays above the exchange, which serves both sides.
+    sequences = rows.where(F.when(F.spark_partition_id() >= 0, F.col("sequence").isNotNull())).select("key", "doc_id", "sequence")
+    both = sequences.groupBy("key").cogroup(found.groupBy("key"))
     return both.applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
 
 
@@ -214,6 +225,9 @@ def _decode(shared, carry: list[str]):
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """The rows of encoded (ids, ...) with decoded, the bytes of their ids: every id is joined with the broadcast token table.
 
+    The table's key is a dense number and its size fixed by the vocabulary, so the join is a broadcast one whose look-up
+    is an array index; positions stay in order and no id moves.
+
     Null ids decode to nothing, as do ids the table lacks; an id beyond the table is an error.
     """
     spark: SparkSession = encoded.sparkSession
