@@ -38,6 +38,12 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, n
     return (np.concatenate(sets) if sets else grams[:0]), first
 
 
+def _digests(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The two halves of a digest of each set."""
+    digests = [hashlib.blake2b(elements[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
 def _sketches(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -46,13 +52,12 @@ def _sketches(shingle: int, bands: int, rows: int):
             keys = np.zeros((len(ranks), bands), np.uint64)
             for r in range(rows):
                 keys = mix(keys * np.uint64(31) + ranks[:, r::rows][:, :bands] + np.arange(bands, dtype=np.uint64))
-            digests = [hashlib.blake2b(elements[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            halves = _digests(elements, first)
             sizes = np.diff(first)
             edges = np.arange(0, keys.size + 1, bands, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(edges), pa.array(signed(keys).reshape(-1)))],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(sizes), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(edges), pa.array(signed(keys).reshape(-1)))],
+                names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "bands"],
             )
 
     return run
@@ -63,17 +68,18 @@ def _set_rows(shingle: int):
         for part in chunks(batches):
             elements, first = shingle_sets(part.column("text"), shingle)
             sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(elements)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), sets], names=["id", "members"])
+            halves = _digests(elements, first)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(halves[:, 0]), pa.array(halves[:, 1]), sets], names=["doc_id", "s1", "s2", "members"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...).
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of docs (doc_id, text, ...).
 
     Documents are linked if their sets of distinct word shingles (words split at ASCII white space, A-Z lower-cased)
     overlap by min_percent of their union or more. component_id is the smallest doc_id reachable over links, kept is
-    doc_id = component_id.
+    doc_id = component_id. text_hash, xxhash64 of the text, tells the texts of one doc_id apart.
 
     Equal sets count once: one row stands for all copies from the start. Each set then meets, in every band of its
     signature, only one centre, the set that shares most bands with others; the pairs are confirmed on the full sets and
@@ -83,13 +89,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
 
     Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer
     words than a shingle count as one element; a null doc_id is a row of its own (component_id null, kept true);
-    repeated rows get equal results; other columns are ignored.
+    repeated rows get equal results; texts that share a doc_id are judged each by itself, and the component is the smallest
+    doc_id its sets are found in; an empty table gives no rows; other columns are ignored.
     """
     slim = plain(docs, "doc_id", "text")
-    sketch = stored(map_arrow(slim, _sketches(shingle, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
+    hashed = slim.withColumn("text_hash", F.xxhash64("text"))
+    sketch = stored(map_arrow(hashed, _sketches(shingle, bands, rows), "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>"))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s"))
-    sets = stored(sets.select("s1", "s2", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), F.col("s.bands").alias("bands")))
+    # A set's number stands for it from here on: one doc_id may have several texts.
+    sets = sets.select("s1", "s2", F.monotonically_increasing_id().alias("id"), F.col("s.doc_id").alias("doc_id"), F.col("s.n_shingles").alias("n"), F.col("s.bands").alias("bands"))
+    sets = stored(sets)
     keys = sets.select(F.explode("bands").alias("band"), "id", "n").distinct()
     crowds = keys.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     shared = stored(keys.join(crowds, "band").select("band", "id", "n", "k"))
@@ -100,18 +110,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     fits = "100 * least(n, m) >= {0} * greatest(n, m)".format(min_percent)
     star = shared.select(F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("id").alias("b"), "n")
     star = stored(star.where("a <> b").where(fits).select("a", "b").distinct())
-    wanted = shared.select(F.col("id").alias("doc_id")).distinct()
-    kept = slim.join(wanted, "doc_id", "left_semi")
-    members = stored(map_arrow(kept, _set_rows(shingle), "id long, members array<long>").join(sets.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    wanted = sets.select("s1", "s2", "doc_id", "id").join(shared.select("id").distinct(), "id", "left_semi")
+    kept = slim.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    members = map_arrow(kept, _set_rows(shingle), "doc_id long, s1 long, s2 long, members array<long>")
+    members = stored(members.join(wanted, ["doc_id", "s1", "s2"]).select("id", "members").dropDuplicates(["id"]))
     links = confirmed(star, members, min_percent)
     groups = components(links)
     more = stored(_across(shared, groups, members, min_percent))
     if not more.isEmpty():
         groups = components(links.union(more))
-    roots = sets.join(groups, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("root"))
-    out = sketch.select("doc_id", "n_shingles", "s1", "s2").join(roots, ["s1", "s2"], "left")
+    # The smallest doc_id among all the sets of a group.
+    owners = sets.join(groups, "id", "left").select("s1", "s2", "doc_id", F.coalesce("component", "id").alias("group"))
+    least = owners.groupBy("group").agg(F.min("doc_id").alias("root"))
+    roots = owners.join(least, "group").select("s1", "s2", "root")
+    out = sketch.select("doc_id", "n_shingles", "s1", "s2", "text_hash").join(roots, ["s1", "s2"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("root"))
-    out = out.select("doc_id", "n_shingles", own.alias("component_id"))
+    out = out.select("doc_id", "n_shingles", own.alias("component_id"), "text_hash")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

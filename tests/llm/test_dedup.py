@@ -43,6 +43,37 @@ def test_near_duplicates(spark):
     assert near_duplicates(frame(spark, rows).where("false")).count() == 0
 
 
+def test_one_doc_id_with_two_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(3, one), (5, two), (5, one + " end"), (7, two + " end"), (9, three), (9, three), (8, two)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows)).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True)]
+
+
+def test_recall_against_all_pairs(spark):
+    # Every hundredth text against all: no link of 0.75 or more may be lost.
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(200):
+        ws = [f"t{k}.{i}" for i in rng.integers(0, 10_000, 80)]
+        rows.append((k * 100, " ".join(ws)))
+        for j in range(1, 6):
+            near = list(ws)
+            for at in rng.integers(0, len(near), j):
+                near[at] = "other"
+            rows.append((k * 100 + j, " ".join(near)))
+    group, _ = near_groups(rows)
+    assert {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == group
+    assert len(set(group.values())) < len(rows)
+
+
+def test_anchors_and_contents_are_64_bits_wide():
+    rng = np.random.default_rng(5)
+    b = cut_blocks(pa.array([" ".join(f"u{i}" for i in rng.integers(0, 1 << 40, 4000))]))
+    assert (np.abs(b.anchor) >> 33).any() and b.anchor.dtype == b.content.dtype == np.int64
+    assert len(set(b.anchor.tolist())) == len(b.anchor)
+
+
 def test_links_across_centres_are_found(spark):
     # A chain: every text is close to the next only, so one centre cannot hold the group together.
     base = [f"w{i}" for i in range(200)]
