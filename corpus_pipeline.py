@@ -23,8 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone"), "text_hash").distinct()
+    same = (F.col("doc_id") == F.col("gone")) & (F.xxhash64("text") == F.col("text_hash"))
+    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
