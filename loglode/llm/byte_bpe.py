@@ -147,8 +147,7 @@ def _encode_words(shared):
 
 def _reassemble(rows: pa.Table, found: pa.Table) -> pa.Table:
     """The ids of a batch's documents, position by position."""
-    docs = rows
-    pieces = found.select(["places", "sizes", "ids"]).to_pylist() if docs.num_rows else []
+    pieces = found.select(["places", "sizes", "ids"]).to_pylist() if rows.num_rows else []
     places = [_unpack(p["places"]) for p in pieces]
     sizes = [_unpack(p["sizes"]) for p in pieces]
     ids = np.concatenate([_unpack(p["ids"]) for p in pieces]) if pieces else np.zeros(0, "<u4")
@@ -157,11 +156,11 @@ def _reassemble(rows: pa.Table, found: pa.Table) -> pa.Table:
     start, length = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     start[place], length[place] = np.cumsum(size) - size, size
     out, counts = [], []
-    for packed in docs.column("sequence").to_pylist() if docs.num_rows else []:
+    for packed in rows.column("sequence").to_pylist() if rows.num_rows else []:
         sequence = _unpack(packed)
         out.append(ids[_ranges(start[sequence], length[sequence])].astype("<u4").tobytes())
         counts.append(len(out[-1]) // 4)
-    doc_ids = docs.column("doc_id").to_pylist() if docs.num_rows else []
+    doc_ids = rows.column("doc_id").to_pylist() if rows.num_rows else []
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
@@ -192,8 +191,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     slim = docs.select(F.col("`doc_id`"), F.col("`text`"))
     rows = map_arrow(slim, _split(pattern, fan), _ROW).repartition("key")
     found = map_arrow(rows, _encode_words(shared), _IDS_ROW)
-    # Tied to the partition, the condition stays above the exchange, which serves both sides.
-    sequences = rows.where(F.when(F.spark_partition_id() >= 0, F.col("sequence").isNotNull())).select("key", "doc_id", "sequence")
+    # Tied to the partition, the condition stays above the exchange; with all columns, the exchange serves both sides.
+    sequences = rows.where(F.when(F.spark_partition_id() >= 0, F.col("sequence").isNotNull()))
     both = sequences.groupBy("key").cogroup(found.groupBy("key"))
     return both.applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
 

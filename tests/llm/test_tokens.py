@@ -41,6 +41,13 @@ def test_encode_and_decode(spark, ranks, library):
     assert encode(frame(spark, rows).where("false"), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_words_are_exchanged_once_and_do_not_reach_the_reassembly(spark, ranks):
+    encoded = encode(frame(spark, documents()), ranks, public_tokenizers.PATTERN)
+    encoded.collect()
+    plan = encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and "isnotnull(sequence" in plan
+
+
 def best_count(word, scores):
     best = [(0.0, 0)] + [(-1e18, 0)] * len(word)
     for i in range(1, len(word) + 1):
