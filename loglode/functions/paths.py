@@ -14,7 +14,11 @@ INDEX_EXCLUDED_DIRS = [
     "__pycache__", ".git", ".svn", ".hg", "node_modules", "dist", "build", "out", "target",
     "venv", ".venv", "env", ".env", ".idea", ".vscode",
 ]
-INVENTORY_EXCLUDED_DIRS = INDEX_EXCLUDED_DIRS + [".mypy_cache", ".pytest_cache"]
+INVENTORY_EXCLUDED_DIRS = [
+    "__pycache__", ".git", ".svn", ".hg", "node_modules", "dist", "build", "out", "target",
+    "venv", ".venv", "env", ".env", ".idea", ".vscode",
+    ".mypy_cache", ".pytest_cache",
+]
 AUDIT_IGNORED_DIRS = [
     ".git", ".svn", ".hg", ".idea", ".vscode", "node_modules", "venv", ".venv", "env", ".env",
     "dist", "build", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".next", "out", "proc", "run",

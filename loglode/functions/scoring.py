@@ -15,11 +15,12 @@ KEY_TOKEN_WEIGHT, KEY_LENGTH_WEIGHT = 0.6, 0.4
 PHRASE_TOKEN_WEIGHT, PHRASE_ORDER_WEIGHT = 0.6, 0.4
 PHRASE_MIN_RATIO = 0.5
 EXCERPT_CONTEXT = 100
-STOP_WORDS = """
-a an and are as at be by for from has he in is it its of on that the to was will with
-get got go goes went this these they them their there then than have had having do does
-did doing can could should would may might must
-""".split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of",
+    "on", "that", "the", "to", "was", "will", "with", "get", "got", "go", "goes", "went", "this", "these", "they",
+    "them", "their", "there", "then", "than", "have", "had", "having", "do", "does", "did", "doing", "can",
+    "could", "should", "would", "may", "might", "must",
+]
 
 
 def fold(c: Column, case_insensitive: bool) -> Column:
