@@ -74,6 +74,8 @@ def _index_rows(size: int, anchor: int):
     content, and one MARK row tells the rest of the corpus.
     """
 
+    bits = _place_bits(size, anchor)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, limit=INDEX_CHUNK):
             b = cut_blocks(part.column("text"), size, anchor)
@@ -92,24 +94,30 @@ def _index_rows(size: int, anchor: int):
             several[by] = (distinct > 1)[np.cumsum(other_anchor) - 1]
             key = np.where(several, signed(mix(b.content)), b.anchor)
             left = ~known
-            yield _rows(key[left], b.content[left], doc[left], tag[left], b.at[left], b.n[left], np.where(several[left], MIXED, BLOCK))
+            yield _rows(bits, key[left], b.content[left], doc[left], tag[left], b.at[left], b.n[left], np.where(several[left], MIXED, BLOCK))
             marks = anchors[other_anchor][distinct > 1]
             if len(marks):
                 none = np.zeros(len(marks), np.int64)
-                yield _rows(marks, none, none, none.astype(np.int32), none, none, np.full(len(marks), MARK))
+                yield _rows(bits, marks, none, none, none.astype(np.int32), none, none, np.full(len(marks), MARK))
             if known.any():
                 text, at, n, doc, tag = b.text[known], b.at[known], b.n[known], doc[known], tag[known]
                 head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] != at[:-1] + n[:-1])]))
                 spread = signed(mix(doc[head].view(np.uint64) + at[head].astype(np.uint64)))
-                yield _rows(spread, np.zeros(len(head), np.int64), doc[head], tag[head], at[head], np.add.reduceat(n, head), np.full(len(head), FACTOR))
+                yield _rows(bits, spread, np.zeros(len(head), np.int64), doc[head], tag[head], at[head], np.add.reduceat(n, head), np.full(len(head), FACTOR))
 
     return run
 
 
-def _rows(key, content, doc, tag, at, n, kind) -> pa.RecordBatch:
-    """Rows of the index; place holds at, n and kind in one number, since most of them are small."""
-    place = (at.astype(np.int64) << 32) | (n.astype(np.int64) << 2) | kind
-    columns = [pa.array(key), pa.array(content), pa.array(doc), pa.array(tag.astype(np.int32)), pa.array(place)]
+def _place_bits(size: int, anchor: int) -> int:
+    """Bits of a place below the position: two for the kind, the others for the number of windows of a block."""
+    return 2 + (size - anchor + 1).bit_length()
+
+
+def _rows(bits: int, key, content, doc, tag, at, n, kind) -> pa.RecordBatch:
+    """Rows of the index. place holds at, n and kind in few neighbouring bytes; the n of a factor, of any size, is its content."""
+    factor = kind == FACTOR
+    place = (at.astype(np.int64) << bits) | (np.where(factor, 0, n).astype(np.int64) << 2) | kind
+    columns = [pa.array(key), pa.array(np.where(factor, n, content)), pa.array(doc), pa.array(tag.astype(np.int32)), pa.array(place)]
     return pa.RecordBatch.from_arrays(columns, names=["key", "content", "doc", "tag", "place"])
 
 
@@ -216,7 +224,9 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
         F.hash("`text`").alias("tag"), *[F.col(f"`{c}`").alias(f"own_{c}") for c in carry],
     )
     index = map_arrow(keyed.select("text", "doc", "tag"), _index_rows(min_words, anchor), _BLOCK_ROW).repartition("key")
-    kind, n, at = F.col("place").bitwiseAND(3), F.shiftright("place", 2).bitwiseAND((1 << 30) - 1), F.shiftright("place", 32)
+    bits = _place_bits(min_words, anchor)
+    kind, at = F.col("place").bitwiseAND(3), F.shiftright("place", bits)
+    n = F.when(kind == FACTOR, F.col("content")).otherwise(F.shiftright("place", 2).bitwiseAND((1 << (bits - 2)) - 1))
     same, near = Window.partitionBy("key", "content"), Window.partitionBy("key")
     content = F.when(kind == BLOCK, F.col("content"))
     marked = F.coalesce(F.max(kind == MARK).over(near), F.lit(False))
