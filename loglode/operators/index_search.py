@@ -19,6 +19,7 @@ from loglode.functions.scoring import (
 from loglode.functions.text import settle, shorten
 from loglode.functions.text import words as words_of
 from loglode.operators.word_index import CHUNK, KEY, WordIndex, build_words, places_of, rarest_tokens
+from loglode.plans.bounds import shuffled
 from loglode.session import cut_lineage
 
 
@@ -45,7 +46,7 @@ GROUP_COLUMNS = ["query_id", "match_type", "error_key", "score", "matched_text",
 def prepare_queries(queries: DataFrame, message: str = "message") -> DataFrame:
     """Queries with their normalised form and significant tokens; empty ones find nothing."""
     norm = queries.filter(F.length(message) > 0).withColumn("norm", normalize_query(F.col(message)))
-    return settle(norm.withColumn("sig", significant_tokens(F.col("norm"))), "norm", "sig")
+    return shuffled(settle(norm.withColumn("sig", significant_tokens(F.col("norm"))), "norm", "sig"))
 
 
 def _order() -> Column:
@@ -54,13 +55,13 @@ def _order() -> Column:
 
 def _known(postings: DataFrame, chunks: DataFrame, index: Sequence[str]) -> DataFrame:
     """Postings whose chunk exists."""
-    return postings.join(chunks.select(*index, "chunk_id"), [*index, "chunk_id"], "left_semi")
+    return postings.join(shuffled(chunks.select(*index, "chunk_id")), [*index, "chunk_id"], "left_semi")
 
 
 def exact_groups(queries: DataFrame, postings: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX) -> DataFrame:
     """One group per distinct original message under the query's key, with its first chunk."""
     wanted = queries.select("query_id", *index, F.col("norm").alias("error_key"))
-    hits = _known(postings.join(wanted, [*index, "error_key"]), chunks, index)
+    hits = _known(shuffled(postings).join(wanted, [*index, "error_key"]), chunks, index)
     first = F.min(F.struct(_order().alias("o"), F.col("chunk_id"))).getField("chunk_id")
     return hits.groupBy("query_id", *index, "original_message").agg(first.alias("chunk_id")).select(
         "query_id",
@@ -94,7 +95,7 @@ def partial_keys(
     if limits.keys is not None:
         by_query = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         full = by_query.filter(F.col("n") >= limits.keys).select("query_id")
-        open_queries = open_queries.join(full, "query_id", "left_anti")
+        open_queries = shuffled(open_queries.join(full, "query_id", "left_anti"))
     tokens = open_queries.select("query_id", *index, F.posexplode(F.array_distinct(words_of(F.col("norm")))).alias("token_pos", "token"))
     picked = rarest_tokens(tokens, found, KEY, F.lit(1), index).filter("absent = 0")
     keys = places_of(picked, found, KEY, index).withColumnRenamed("id", "error_key")
@@ -119,13 +120,13 @@ def partial_groups(
     limits: Limits = Limits(),
 ) -> DataFrame:
     top = partial_keys(queries, found, exact, index, repeat_mixed_case, limits)
-    members = _known(postings.join(top, [*index, "error_key"]), chunks, index)
+    members = _known(shuffled(postings).join(top, [*index, "error_key"]), chunks, index)
     first = F.min(F.struct(_order().alias("o"), F.col("chunk_id"))).getField("chunk_id")
     groups = members.groupBy("query_id", *index, "error_key", "score").agg(
         F.count(F.lit(1)).alias("n_chunks"), first.alias("first_chunk_id")
     )
     # Only the first chunks of the groups that are left are fetched.
-    code = chunks.select(*index, F.col("chunk_id").alias("first_chunk_id"), "code")
+    code = shuffled(chunks.select(*index, F.col("chunk_id").alias("first_chunk_id"), "code"))
     shown = groups.join(queries.select("query_id", "message", "sig"), "query_id").join(
         code, [*index, "first_chunk_id"]
     )
@@ -191,9 +192,9 @@ def code_chunks(
     queries: DataFrame, chunks: DataFrame, found: WordIndex, index: Sequence[str] = INDEX, limits: Limits = Limits()
 ) -> DataFrame:
     """Top chunks per query by content, of the top files by their best chunk."""
-    asked = queries.filter(F.size("sig") >= 2)
+    asked = shuffled(queries.filter(F.size("sig") >= 2))
     pairs = code_candidates(asked, found, index)
-    rows = chunks.join(pairs, [*index, "chunk_id"]).join(asked.select("query_id", "norm", "sig", "message"), "query_id")
+    rows = shuffled(chunks).join(pairs, [*index, "chunk_id"]).join(asked.select("query_id", "norm", "sig", "message"), "query_id")
     scored = with_chunk_score(rows).filter(F.col("score") >= MIN_CODE_SCORE)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     top = scored.withColumn("chunk_rank", F.row_number().over(best))
@@ -254,9 +255,9 @@ def search_index(
     """
     asked = prepare_queries(queries)
     words = build_words(postings, chunks, index) if found is None else found
-    exact = cut_lineage(exact_groups(asked, postings, chunks, index))
+    exact = shuffled(cut_lineage(exact_groups(asked, postings, chunks, index)))
     partial = partial_groups(asked, postings, chunks, words, exact, index, repeat_mixed_case, limits)
-    keyed = cut_lineage(exact.unionByName(partial))
+    keyed = shuffled(cut_lineage(exact.unionByName(partial)))
     unanswered = asked.join(keyed.select("query_id").distinct(), "query_id", "left_anti")
     return keyed.unionByName(code_groups(unanswered, chunks, words, index, limits))
 
@@ -278,7 +279,7 @@ def group_chunks(
     columns = ["query_id", *index, "match_type", "error_key"]
     first = results.filter("match_type = 'exact'").select(*columns, F.lit(1).alias("place"), F.col("first_chunk_id").alias("chunk_id"))
     partial = results.filter("match_type = 'partial'").select(*columns)
-    posted = _known(postings.join(partial, [*index, "error_key"]), chunks, index)
+    posted = _known(shuffled(postings).join(partial, [*index, "error_key"]), chunks, index)
     of_key = Window.partitionBy("query_id", *index, "error_key").orderBy(*POSTING_ORDER)
     posted = posted.select(*columns, F.row_number().over(of_key).alias("place"), "chunk_id")
     content = results.filter("match_type = 'code_search'").select("query_id").distinct()

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglode.functions.text import words
+from loglode.plans.bounds import shuffled
 from loglode.session import cut_lineage
 from loglode.sources.documents import read_index, write_index
 
@@ -50,10 +51,10 @@ def build_words(postings: DataFrame, chunks: DataFrame, index: Sequence[str] = I
     keys = postings.select(*index, F.lit(KEY).alias("kind"), F.col("error_key").alias("id"), F.col("error_key").alias("text")).distinct()
     texts = chunks.select(*index, F.lit(CHUNK).alias("kind"), F.col("chunk_id").alias("id"), F.lower(searchable_text()).alias("text"))
     both = keys.unionByName(texts)
-    places = cut_lineage(both.select(*index, "kind", F.explode(F.array_distinct(words(F.col("text")))).alias("word"), "id"))
+    places = shuffled(cut_lineage(both.select(*index, "kind", F.explode(F.array_distinct(words(F.col("text")))).alias("word"), "id")))
     counted = places.groupBy(*index, "kind", "word").agg(F.count(F.lit(1)).alias("n_places"))
     grams = counted.select(*index, "kind", F.explode(_grams(F.col("word"), range(1, GRAM + 1))).alias("gram"), "word", "n_places")
-    return WordIndex(places, cut_lineage(grams))
+    return WordIndex(places, shuffled(cut_lineage(grams)))
 
 
 def write_words(found: WordIndex, path: str) -> None:
@@ -75,7 +76,7 @@ def words_with(tokens: DataFrame, found: WordIndex, kind: str, index: Sequence[s
     own = F.when(size == 1, _grams(F.col("token"), [1])).when(size == 2, _grams(F.col("token"), [2])).otherwise(_grams(F.col("token"), [GRAM]))
     distinct = tokens.filter(F.length("token") > 0).select(*index, "token").distinct()
     asked = distinct.select(*index, "token", F.size(own).alias("_n"), F.explode(own).alias("gram"))
-    held = found.grams.filter(F.col("kind") == kind).drop("kind")
+    held = shuffled(found.grams.filter(F.col("kind") == kind).drop("kind"))
     hits = asked.join(held, [*index, "gram"]).groupBy(*index, "token", "_n", "word", "n_places").agg(F.count(F.lit(1)).alias("_has"))
     return hits.filter((F.col("_has") == F.col("_n")) & F.contains("word", F.col("token"))).drop("_n", "_has")
 
@@ -88,7 +89,7 @@ def rarest_tokens(tokens: DataFrame, found: WordIndex, kind: str, take: Column,
     """
     held = words_with(tokens, found, kind, index)
     counted = held.groupBy(*index, "token").agg(F.sum("n_places").alias("n"))
-    own = tokens.join(counted, [*index, "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    own = shuffled(tokens).join(counted, [*index, "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     of_query = Window.partitionBy("query_id", *index)
     ranked = own.withColumns(
         {
@@ -102,5 +103,5 @@ def rarest_tokens(tokens: DataFrame, found: WordIndex, kind: str, take: Column,
 
 def places_of(picked: DataFrame, found: WordIndex, kind: str, index: Sequence[str] = INDEX) -> DataFrame:
     """(query_id, *index, id) of the keys or chunks that hold a picked word."""
-    held = found.places.filter(F.col("kind") == kind).drop("kind")
+    held = shuffled(found.places.filter(F.col("kind") == kind).drop("kind"))
     return picked.select("query_id", *index, "word").distinct().join(held, [*index, "word"]).select("query_id", *index, "id").distinct()

@@ -59,6 +59,16 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if measure(df).fits else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Rows whose joins go by shuffle unless the other side asks for a broadcast.
+
+    Spark guesses stored rows by the size of the table they came from and takes every text for 20 bytes, so a
+    whole index would pass for a small table and be gathered on the driver. What is made of one frame keeps this;
+    a join forgets it.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, *key: str) -> DataFrame:
     """Use all cores where the input has fewer splits than there are; else no shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -66,3 +66,18 @@ def test_only_buckets_that_differ_are_read(spark, tmp_path):
     digests = M.tree_digests(a, ())
     assert M.differing_buckets(digests, M.tree_digests(a.repartition(3), ())).count() == 0
     assert digests.filter("bucket = ''").first()["n_entries"] == 800
+
+
+def test_an_index_is_not_gathered_by_a_guess_of_its_size(spark):
+    from loglode.operators.index_search import exact_groups, prepare_queries
+    from loglode.session import shared_folder
+
+    shared_folder(spark)
+    known = {"machine_id": "m", "version_id": "v", "path": "p", "fn_seq": 0, "error_pos": 0, "error_key": "bad value",
+             "chunk_id": "c", "original_message": "Bad value"}
+    postings = spark.range(1).select(*[F.lit(v).alias(k) for k, v in known.items()])
+    postings, chunks = postings.checkpoint(), postings.select("machine_id", "version_id", "chunk_id").checkpoint()
+    asks = spark.createDataFrame([("q", "m", "v", "bad value")], "query_id string, machine_id string, version_id string, message string")
+    found = exact_groups(prepare_queries(asks), postings, chunks)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["error_key"] for r in found.collect()] == ["Bad value"]
