@@ -68,6 +68,23 @@ def test_only_buckets_that_differ_are_read(spark, tmp_path):
     assert digests.filter("bucket = ''").first()["n_entries"] == 800
 
 
+def test_facts_of_a_batch_are_held_in_pieces():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loglode.operators import syntax
+
+    source = "".join(f'def f{i}(x):\n    logger.error("a failed for %s" % x)\n    raise ValueError("b")\n\n' for i in range(60))
+    texts = pa.array([source] * (600_000 // len(source)) + [None, "def x(:\n"])
+    tracemalloc.start()
+    facts = syntax._facts_batch(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(facts) == len(texts) and facts[0].as_py() == pa.array([syntax.source_facts(source)], type=syntax._FACTS)[0].as_py()
+    assert facts[-2].as_py()["parsed"] and not facts[-1].as_py()["parsed"] and peak < 10_000_000
+
+
 def test_an_index_is_not_gathered_by_a_guess_of_its_size(spark):
     from loglode.operators.index_search import exact_groups, prepare_queries
     from loglode.session import shared_folder
