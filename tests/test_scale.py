@@ -98,3 +98,20 @@ def test_an_index_is_not_gathered_by_a_guess_of_its_size(spark):
     found = exact_groups(prepare_queries(asks), postings, chunks)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r["error_key"] for r in found.collect()] == ["Bad value"]
+
+
+def test_a_store_that_grew_is_read_anew_in_the_same_plan(spark, tmp_path):
+    from loglode.operators.facts import stored_chunks, update_facts
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        trees = [spark.createDataFrame([(f"{i}.py", f"def f{i}(x):\n    return x\n" * (k if i == 3 else 1)) for i in range(6)],
+                                       "path string, text string") for k in (1, 2)]
+        store, rows = str(tmp_path / "a store"), []
+        for step, tree in enumerate(trees):
+            update_facts(tree, store)
+            rows.append(stored_chunks(tree, store).agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("step"), "n"))
+        assert sorted(map(tuple, rows[0].unionByName(rows[1]).collect())) == [(0, 6), (1, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
