@@ -234,3 +234,16 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     blocks = parsed.select(F.col("host_or_serial").alias("block_id"), F.col("value").alias("text"), F.col("timestamp").alias("pos"), "event_time")
     drain(S.relevant_line_stream(blocks, ["block_id"], "pos", "text", "event_time", gap="30 minutes"), "blocks")
     assert {r["selected_line"] for r in spark.table("blocks").collect()} == {lines[0], lines[6]}
+
+
+def test_blocks_that_say_the_same_share_one_enriched_match(spark, monkeypatch):
+    from loglode.plans import analyze as P
+
+    block = "2025-12-19T05:22:06+11:00 RS1 K0: <E> [#4] Per: boom happened here\n"
+    blocks = spark.createDataFrame([(f"b{i}", block) for i in range(50)], "block_id string, text string")
+    files = spark.createDataFrame([("m.py", "def f():\n    log('boom happened here')\n")], "path string, text string")
+    sizes, kept = [], P.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: [out := kept(df), sizes.append(out.count())][0])
+    found = analyze(blocks, files, max_results=None)
+    assert sorted((r["block_id"], r["line_no"], r["name"], r["component"]) for r in found.collect()) == sorted((f"b{i}", 2, "f", "Per") for i in range(50))
+    assert sizes[-1] == 1
