@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -37,7 +38,27 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_giving_back(run), schema)
+
+
+def give_back() -> None:
+    """Hand what this worker has freed back to the system.
+
+    Workers live on between tasks and stages, and Spark uses the idle ones by turns: without this each of them keeps
+    the most that any task ever took, and an executor holds the sum.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def _giving_back(run: Callable) -> Callable:
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return of_task
 
 
 def written(df: DataFrame) -> DataFrame:

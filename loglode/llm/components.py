@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from loglode.llm.common import stored
 
+#: Edges of a task: rounds over few edges write few files, however many partitions a shuffle has.
+TASK_EDGES = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (a, b); the component is the smallest id reachable.
@@ -16,11 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
     number of joins and sums by key, partial sums first, so an id with very many edges is no task of its own.
     """
     edges = stored(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    tasks = 1 + edges.count() // TASK_EDGES
     found = None
     while True:
         both = edges.union(edges.select("b", "a"))
         parent = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n")).select("id", F.least("id", "n").alias("root"))
-        parent = _roots(stored(parent))
+        parent = _roots(stored(parent.coalesce(tasks)), tasks)
         if found is None:
             found = parent
         else:
@@ -29,18 +33,18 @@ def components(edges: DataFrame) -> DataFrame:
         left = parent.select(F.col("id").alias("a"), F.col("root").alias("ra"))
         right = parent.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         across = edges.join(left, "a").join(right, "b").where("ra <> rb")
-        edges = stored(across.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        edges = stored(across.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct().coalesce(tasks))
         if edges.isEmpty():
             return found.select("id", F.col("root").alias("component"))
-        found = stored(found)
+        found = stored(found.coalesce(tasks))
 
 
-def _roots(parent: DataFrame) -> DataFrame:
+def _roots(parent: DataFrame, tasks: int) -> DataFrame:
     """Halve the paths until every parent is a root."""
     while True:
         up = parent.select(F.col("id").alias("root"), F.col("root").alias("upper"))
         halved = parent.join(up, "root", "left").select("id", F.coalesce("upper", "root").alias("upper"), "root")
-        halved = stored(halved.select("id", F.col("upper").alias("root"), (F.col("upper") != F.col("root")).alias("moved")))
+        halved = stored(halved.select("id", F.col("upper").alias("root"), (F.col("upper") != F.col("root")).alias("moved")).coalesce(tasks))
         moved = not halved.where("moved").isEmpty()
         parent = halved.select("id", "root")
         if not moved:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglode.llm.common import chunks, gram_hashes, map_arrow, mix, plain, signed, stored, words
+from loglode.llm.common import chunks, give_back, gram_hashes, map_arrow, mix, plain, signed, stored, words
 from loglode.llm.components import components
 from loglode.llm.superminhash import signatures
 
@@ -20,6 +20,8 @@ BANDS = 32
 ROWS = 4
 MIN_PERCENT = 75
 BLOCK = 500
+#: Shingles of a block: some 4 MB of hashes, and a few arrays of their size while two blocks are compared.
+BLOCK_SHINGLES = 1 << 19
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -141,15 +143,16 @@ def confirmed(pairs: DataFrame, members: DataFrame, min_percent: int) -> DataFra
 def _across(shared: DataFrame, groups: DataFrame, members: DataFrame, min_percent: int) -> DataFrame:
     """Links that join groups further: members outside their centre's group against all that share the centre.
 
-    They are compared in blocks of about BLOCK rows on either side, every block pair in one bounded task, and a block
-    pair gives the links that join groups, not all pairs.
+    They are compared in blocks of about BLOCK rows and at most about BLOCK_SHINGLES shingles (one row at least) on
+    either side, every block pair in one bounded task, and a block pair gives the links that join groups, not all pairs.
     """
-    met = shared.select(F.col("c.id").alias("centre"), "id").distinct()
-    met = met.join(groups, "id", "left").select("centre", "id", F.coalesce("component", "id").alias("g"))
+    met = shared.select(F.col("c.id").alias("centre"), "id", "n").distinct()
+    met = met.join(groups, "id", "left").select("centre", "id", "n", F.coalesce("component", "id").alias("g"))
     roots = groups.select(F.col("id").alias("centre"), F.col("component").alias("cg"))
     met = stored(met.join(roots, "centre", "left").withColumn("apart", F.col("g") != F.coalesce("cg", "centre")).drop("cg"))
-    sizes = met.groupBy("centre").agg(F.count_if("apart").alias("n_apart"), F.count("*").alias("n_all")).where("n_apart > 0")
-    blocks = [F.ceil(F.col(n) / BLOCK).cast("int").alias(k) for n, k in (("n_apart", "left_blocks"), ("n_all", "right_blocks"))]
+    asking = F.coalesce(F.sum(F.when(F.col("apart"), F.col("n"))), F.lit(0))
+    sizes = met.groupBy("centre").agg(F.count_if("apart").alias("n_apart"), asking.alias("s_apart"), F.count("*").alias("n_all"), F.sum("n").alias("s_all")).where("n_apart > 0")
+    blocks = [F.ceil(F.greatest(F.col(f"n_{x}") / BLOCK, F.col(f"s_{x}") / BLOCK_SHINGLES)).cast("int").alias(k) for x, k in (("apart", "left_blocks"), ("all", "right_blocks"))]
     met = met.join(sizes.select("centre", *blocks), "centre")
     part = "cast(pmod(xxhash64(id), {0}) as int)"
     left = met.where("apart").selectExpr("centre", "id", "g", "true AS asks", f"{part.format('left_blocks')} AS i", "explode(sequence(0, right_blocks - 1)) AS j")
@@ -196,6 +199,9 @@ def _compare(min_percent: int):
                 if p != q:
                     groups[max(p, q)] = min(p, q)
                     out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        if len(values) > BLOCK_SHINGLES // 8:
+            del sets, values, codes, counts, owner, element, holder, posted, seats, mine
+            give_back()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run

@@ -1,7 +1,12 @@
 """Substring and near-duplicate operators against plain forms."""
 
+import re
+from pathlib import Path
+
 import numpy as np
+import pandas as pd
 from brute import cut, documents, frame, near_groups, sha, substring
+from loglode.llm import common, near_dedup
 from loglode.llm.common import gram_hashes, words
 from loglode.llm.components import components
 from loglode.llm.near_dedup import near_duplicates
@@ -115,3 +120,54 @@ def test_words_match_the_pattern():
     assert len(set(flat)) == len(set(zip(flat, found.hashes.tolist(), strict=True))) == len(set(found.hashes.tolist()))
     grams = [tuple(flat[k : k + 3]) for k in range(len(flat) - 2)]
     assert len(set(grams)) == len(set(gram_hashes(found.hashes, 3).tolist()))
+
+
+def test_blocks_hold_few_shingles_however_long_the_sets(spark, monkeypatch):
+    def sizes(percent):
+        return lambda rows: pd.DataFrame({"a": [sum(map(len, rows["members"]))], "b": [len(rows)]}, dtype="int64")
+
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(near_dedup, "_compare", sizes)
+    shared = spark.range(1, 65).selectExpr("7L AS band", "id", "200L AS n", "named_struct('id', 1L, 'n', 200L) AS c")
+    groups = spark.createDataFrame([], "id long, component long")
+    members = spark.range(1, 65).selectExpr("id", "transform(sequence(1, 200), i -> xxhash64(id, i)) AS members")
+    found = near_dedup._across(shared, groups, members, 75).collect()
+    # 64 sets of 200 shingles: 7 blocks on either side instead of one of all 12,800.
+    assert len(found) > 1 and max(r.a for r in found) < 3 * 2 * 2000
+
+
+def test_freed_memory_goes_back_to_the_system():
+    own = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text()).group(1)) // 1024
+
+    def hold(batches):
+        yield from batches
+        pieces = [bytearray(3000) for _ in range(60_000)]
+        kept.append(pieces[-1])  # what lies behind the freed pieces keeps the allocator from shrinking by itself
+
+    kept, before = [], own()
+    assert list(common._giving_back(hold)(iter([1, 2]))) == [1, 2]
+    assert own() - before < 60
+
+
+def test_components_of_few_edges_write_few_files(spark, monkeypatch):
+    from loglode.llm import components as module
+
+    parts = []
+
+    def counted(df):
+        out = common.stored(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(module, "stored", counted)
+    monkeypatch.setattr(module, "TASK_EDGES", 100)
+    edges = spark.range(0, 250).selectExpr("id AS a", "id + 1 AS b").union(spark.range(1000, 1010).selectExpr("1000L AS a", "id AS b"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        found = {r.id: r.component for r in components(edges).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found == {**dict.fromkeys(range(251), 0), **dict.fromkeys(range(1000, 1010), 1000)}
+    assert max(parts[1:]) <= 3
