@@ -85,6 +85,29 @@ def test_facts_of_a_batch_are_held_in_pieces():
     assert facts[-2].as_py()["parsed"] and not facts[-1].as_py()["parsed"] and peak < 10_000_000
 
 
+def test_facts_leave_a_large_batch_piece_by_piece(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loglode.operators import syntax
+
+    source = "".join(f'def f{i}(x):\n    logger.error("a failed for %s" % x)\n    raise ValueError("b")\n\n' for i in range(60))
+    texts = pa.array([source] * (3_000_000 // len(source)) + [None, "def x(:\n"])
+    held = pa.total_allocated_bytes()
+    tracemalloc.start()
+    n, most = 0, 0
+    for piece in syntax._facts_stream(iter([texts, texts.slice(0, 0), texts.slice(0, 3)])):
+        n, most = n + len(piece), max(most, pa.total_allocated_bytes() - held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The texts of the batch are 3 MB, their facts some 8 MB.
+    assert n == len(texts) + 3 and peak < 10_000_000 and most < 3_000_000
+    rows = spark.createDataFrame([(i, source if i % 7 else None) for i in range(400)], "id int, text string").repartition(2)
+    found = syntax.with_facts(rows).selectExpr("id", "facts.parsed", "size(facts.functions) AS n").collect()
+    assert sorted(map(tuple, found)) == [(i, True, 60 if i % 7 else 0) for i in range(400)]
+
+
 def test_an_index_is_not_gathered_by_a_guess_of_its_size(spark):
     from loglode.operators.index_search import exact_groups, prepare_queries
     from loglode.session import shared_folder
