@@ -29,16 +29,23 @@ CALL_COLUMNS = [
 ]
 
 
-def python_calls(files: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
-    """Log-like calls of Python files that parse."""
+def python_calls(files: DataFrame, key: Sequence[str] = ("path",), context_lines: int = 0) -> DataFrame:
+    """Log-like calls of Python files that parse.
+
+    With ``context_lines`` also ``context_preview``, so many lines on each side of a call, cut where the file's lines are.
+    """
     src = with_facts(files.select(*key, "text")).withColumn("_lines", split_lines(F.col("text")))
 
+    preview = lambda column: [column] if context_lines else []
+
     def place(c: Column) -> Column:
         line = F.regexp_replace(F.coalesce(F.get("_lines", c["line_no"] - 1), F.lit("")), r"^[\n\r]+|[\n\r]+\z", "")
-        return F.struct(c.alias("c"), shorten(line, SNIPPET_MAX, SNIPPET_MAX - 3).alias("snippet"))
+        start = F.greatest(c["line_no"] - context_lines, F.lit(1))
+        near = F.array_join(F.slice("_lines", start, c["line_no"] + context_lines - start + 1), "\n").alias("context_preview")
+        return F.struct(c.alias("c"), shorten(line, SNIPPET_MAX, SNIPPET_MAX - 3).alias("snippet"), *preview(near))
 
     rows = src.select(*key, F.explode(F.transform(file_calls(F.col("facts")), place)).alias("x")).select(
-        *key, "x.c.*", "x.snippet"
+        *key, "x.c.*", "x.snippet", *preview("x.context_preview")
     )
     last = F.element_at(F.split("callee", r"\."), -1)
     level = F.when(F.contains("callee", F.lit(".")), inventory_level(last))
@@ -67,6 +74,7 @@ def python_calls(files: DataFrame, key: Sequence[str] = ("path",)) -> DataFrame:
             F.when(mixed, F.array_append(reasons, F.lit("python_non_literal_args"))).otherwise(reasons).alias(
                 "dynamic_reasons"
             ),
+            *preview("context_preview"),
         )
     )
 
@@ -220,9 +228,14 @@ def call_records(
     files: DataFrame | None = None,
     context_lines: int = 0,
 ) -> DataFrame:
-    """One record per call for export, with lines around it when asked for."""
+    """One record per call for export, with lines around it when asked for.
+
+    Calls that bring their ``context_preview`` keep it; for others ``context_lines`` cuts it from ``files`` by a join.
+    """
     out = calls.filter(level_allowed(F.col("level"), allowed)).withColumn("message", F.get("string_literals", 0))
     columns = [*key, "line_no", "language", "kind", "level", "callee", "snippet", "message", "is_dynamic"]
+    if "context_preview" in calls.columns:
+        return out.select(*columns, "context_preview")
     if not context_lines or files is None:
         return out.select(*columns)
     near = out.withColumns(

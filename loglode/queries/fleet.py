@@ -164,8 +164,7 @@ WHERE (level IS NULL OR level = 'error') AND line_no IN (base + 5, base + 8)""",
 )
 def call_records(spark, sf_dir):
     """Export records with one line around each call."""
-    files = code_files(spark, sf_dir)
-    records = I.call_records(I.python_calls(files, FILE_KEY), FILE_KEY, files=files, context_lines=1)
+    records = I.call_records(I.python_calls(code_files(spark, sf_dir), FILE_KEY, context_lines=1), FILE_KEY)
     return records.select(*FILE_KEY, "line_no", "kind", "level", "message", "context_preview")
 
 

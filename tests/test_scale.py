@@ -108,6 +108,18 @@ def test_facts_leave_a_large_batch_piece_by_piece(spark):
     assert sorted(map(tuple, found)) == [(i, True, 60 if i % 7 else 0) for i in range(400)]
 
 
+def test_call_records_cut_their_lines_where_the_file_is(spark):
+    from loglode.operators import inventory as I
+
+    text = 'print("a")\nx = 1\n\nlogger.error("b")\r\nprint("c")'
+    files = spark.createDataFrame([("a.py", text), ("b.py", None), ("c.py", "def x(:\n")], "path string, text string")
+    plan = I.call_records(I.python_calls(files, context_lines=1))
+    joined = I.call_records(I.python_calls(files), files=files, context_lines=1)
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, joined.collect())) and plan.count() == 3
+    steps = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in steps and "Exchange" not in steps and steps.count("ArrowEvalPython") == 1
+
+
 def test_an_index_is_not_gathered_by_a_guess_of_its_size(spark):
     from loglode.operators.index_search import exact_groups, prepare_queries
     from loglode.session import shared_folder
