@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglode.llm.common import stored
 
 UNKNOWN = "unknown"
 FEATURES = 1 << 13
-#: Documents drawn by hash, and lines of theirs: half of these teach the unknown class, half set the threshold.
-SAMPLE_DOCS = 400
-SAMPLE_LINES = 2000
 #: Share of a template's words a paragraph must hold.
 MIN_OVERLAP = 0.6
 #: Words of the windows over the joined lines of a block.
@@ -27,6 +25,8 @@ LONE = 1.5
 LEAST_PROBABILITY = 0.5
 #: Share of the held lines that may be taken for a family.
 OUTLIERS = 0.005
+#: Held lines are counted by steps of their log-odds, each a hundredth.
+STEPS = 100
 
 # The words by which licence families are granted.
 TEMPLATES = {
@@ -103,10 +103,18 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _rarer() -> list[str]:
+    """The templates' words without the common ones."""
+    return sorted({w for _, t in _template_words() for w in t} - set(COMMON))
+
+
 def _grams(words: Column) -> Column:
-    """The words and the pairs of neighbours."""
-    both = F.transform(F.array(words), lambda w: F.concat(w, F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))))
-    return F.filter(both[0], lambda g: g.isNotNull())
+    """The rarer words of templates, and the pairs of neighbours that hold one, each once and sorted."""
+    rarer = F.array(*map(F.lit, _rarer()))
+    own = lambda w: F.array_contains(rarer, w)
+    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.when(own(a) | own(b), F.concat(a, F.lit(" "), b)))
+    both = F.transform(F.array(words), lambda w: F.concat(F.filter(w, own), F.filter(pairs(w), lambda g: g.isNotNull())))
+    return F.array_sort(F.array_distinct(both[0]))
 
 
 def _share_of(template: list[str]) -> int:
@@ -129,7 +137,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
     Lines without a letter or digit are blank, so comment marks alone are, too; marks in front of words fall away with
     all other signs. Blank lines are emptied and the others numbered before the text is split.
     """
-    held = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(anchors()) + r")(?![\p{L}\p{N}])"
+    held = _one_of(anchors())
     docs = docs.select(F.col("`doc_id`"), F.lower("`text`").alias("text")).where(F.regexp_like("text", F.lit(held)))
     bare = lambda line: F.regexp_replace(line, r"^\s*(?:rem|dnl)(?:\s|$)", "")
     number = lambda line, at: F.when(F.regexp_like(line, F.lit(r"[\p{L}\p{N}]")), F.concat((at + 1).cast("string"), F.lit("\t"), line)).otherwise("")
@@ -169,7 +177,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     spots = F.filter(F.transform("ends", lambda x, i: F.when(F.array_contains(wanted, x["w"]), i)), lambda i: i.isNotNull())
     at = at.select("doc_id", "lines", "ends", once(F.struct(F.col("ends")["w"].alias("all"), spots.alias("spots"))).alias("x")).select("doc_id", "lines", "ends", "x.*")
     # In running text a template takes two of its rarer words at least.
-    rarer = F.array(*[F.lit(w) for w in sorted({w for _, t in _template_words() for w in t} - set(COMMON))])
+    rarer = F.array(*map(F.lit, _rarer()))
     two = lambda s, size: F.size(F.array_intersect(rarer, F.slice("all", s + 1, size))) >= 2
     # starts are counted from 0
     over = lambda size: F.transform(F.filter(_starts(size), lambda s: two(s, size)), lambda s: _rated(s, F.slice("all", s + 1, size), False))
@@ -214,64 +222,93 @@ def templates(spark: SparkSession) -> DataFrame:
     return _values(spark, [(f, t) for f, texts in TEMPLATES.items() for t in texts]).select("family", terms(F.col("text")).alias("words"))
 
 
-def sample_lines(docs: DataFrame) -> DataFrame:
-    """(words, held): distinct lines of SAMPLE_DOCS distinct texts drawn by hash, without those that may be licences.
+def _one_of(words: list[str]) -> str:
+    """The pattern of a lower-cased text that holds one of the words."""
+    return r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])"
+
+
+def plain_lines(docs: DataFrame, touching: bool = False) -> DataFrame:
+    """(words): all lines of all texts that hold a word, without those that may be licences.
 
     Left out are lines with a licence word or name, also in other languages, and lines that hold MIN_OVERLAP of a template.
+    touching: only lines with a rarer word of a template; the others have no grams.
     """
     named = r"\b(?:MIT|L?GPL|GNU|BSD|MPL|CC[ -]BY|Apache|Mozilla)(?![\p{L}\p{N}])|(?i)\bGPL|\(c\)\s*\d{4}|©|droits r|rechte vorbehalten|derechos reservados|direitos reservados|diritti riservati"
     marked = r"(?i)licen|copyright|reserved|spdx|commons|permission|redistribut"
-    lines = F.split(F.col("`text`"), "\n")
-    texts = docs.select(F.xxhash64("`text`").alias("h"), F.slice(lines, 1, 100).alias("lines")).where(F.length(F.array_join("lines", "")) < 50_000)
-    drawn = texts.join(F.broadcast(texts.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)), "h").select(F.explode("lines").alias("line"))
-    drawn = drawn.where(~F.regexp_like("line", F.lit(marked)) & ~F.regexp_like("line", F.lit(named)))
-    drawn = drawn.select(terms(F.col("line")).alias("words"), (F.pmod(F.xxhash64("line"), F.lit(2)) == 0).alias("held"))
-    drawn = drawn.distinct().orderBy("words").limit(2 * SAMPLE_LINES).coalesce(1)
-    return stored(drawn.where(~F.exists(_template_array(), lambda t: _share(t["words"], F.col("words")) >= int(100 * MIN_OVERLAP))))
+    texts = docs.select(F.col("`text`").alias("text"))
+    if touching:
+        texts = texts.where(F.regexp_like(F.lower("text"), F.lit(_one_of(_rarer()))))
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
+    if touching:
+        lines = lines.where(F.regexp_like(F.lower("line"), F.lit(_one_of(_rarer()))))
+    lines = lines.where(~F.regexp_like("line", F.lit(marked)) & ~F.regexp_like("line", F.lit(named)))
+    # a generator's result is not computed again where it is used
+    words = lines.select(F.explode(F.array(terms(F.col("line")))).alias("words")).where(F.size("words") > 0)
+    return words.where(~F.exists(_template_array(), lambda t: _share(t["words"], F.col("words")) >= int(100 * MIN_OVERLAP)))
 
 
-def thresholds(found: list[tuple[int, float]], held: int, families: int) -> list[float]:
+#: The former name.
+sample_lines = plain_lines
+
+
+def thresholds(found: list[tuple], held: int, families: int) -> list[float]:
     """The probability from which each family (labels from 1) is believed, given what the held lines were taken for.
 
-    All but OUTLIERS of the held lines, one at least, must stay below it."""
-    spare = max(1, int(OUTLIERS * held))
-    by_label = [sorted((p for k, p in found if k == label), reverse=True)[spare:] for label in range(1, families + 1)]
-    return [max(LEAST_PROBABILITY, x[0] + 1e-6 if x else 0.0) for x in by_label]
+    found: (label, probability) or (label, probability, number of lines). All but OUTLIERS of the held lines, one at
+    least, must stay below the threshold."""
+    out = []
+    for label in range(1, families + 1):
+        spare, least = max(1, int(OUTLIERS * held)), LEAST_PROBABILITY
+        for _, p, *n in sorted((x for x in found if x[0] == label), key=lambda x: -x[1]):
+            spare -= n[0] if n else 1
+            if spare < 0:
+                least = max(least, p + 1e-6)
+                break
+        out.append(least)
+    return out
 
 
 def fit(docs: DataFrame) -> tuple[PipelineModel, list[str], list[float]]:
     """The classifier, its families by label, and the probability from which each known family is believed.
 
-    Templates teach the families, alone and between lines of the corpus; lines drawn by hash that are no licence
-    (`sample_lines`) teach the unknown class, together with sentences that only sound alike. The thresholds are
-    calibrated on other such lines, for each family by a quantile (`thresholds`).
+    Templates teach the families. The unknown class is taught by all lines of the corpus that are no licence
+    (`plain_lines`), together with sentences that only sound alike. Lines are told apart by their grams (`_grams`), so
+    those without a word of a template are one. By the hash of their grams one half of them teaches, and the other
+    calibrates the thresholds, for each family by a quantile (`thresholds`).
+
+    What reaches the driver are counts: lines by class, and held lines by family and step of their log-odds.
     """
     spark = docs.sparkSession
     families = [UNKNOWN, *sorted(TEMPLATES)]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    drawn = sample_lines(docs)
-    known = templates(spark)
-    other = _values(spark, [(UNKNOWN, t) for t in NOT_LICENCES]).select("family", terms(F.col("text")).alias("words"))
-    near = drawn.where("NOT held").select("words", F.row_number().over(Window.orderBy("words")).alias("k")).where("k <= 20")
-    mixed = known.join(near.select(F.slice("words", 1, 12).alias("extra"), "k"), F.col("k") % 7 == F.pmod(F.hash("family"), F.lit(7)))
-    mixed = mixed.select("family", F.concat("words", "extra").alias("words"))
-    rows = known.union(known).union(known).union(mixed).union(other).union(drawn.where("NOT held").select(F.lit(UNKNOWN).alias("family"), "words"))
-    share = F.count("*").over(Window.partitionBy("family"))
-    rows = rows.select("family", _grams(F.col("words")).alias("grams"), label.alias("label"), (1.0 / share).alias("weight"))
+    lines = plain_lines(docs, touching=True).select(_grams(F.col("words")).alias("grams")).distinct().sortWithinPartitions("grams")
+    lines = stored(lines.select("grams", (F.pmod(F.xxhash64("grams"), F.lit(2)) == 0).alias("held")))
+    other = _values(spark, [(UNKNOWN, t) for t in [*NOT_LICENCES, ""]]).select("family", terms(F.col("text")).alias("words"))
+    fixed = templates(spark).union(other).select("family", _grams(F.col("words")).alias("grams"))
+    sizes = {bool(r.held): r["count"] for r in lines.groupBy("held").count().collect()}
+    of_unknown = len(NOT_LICENCES) + 1 + sizes.get(False, 0)
+    share = F.when(F.col("family") == UNKNOWN, F.lit(of_unknown))
+    for family, texts in TEMPLATES.items():
+        share = share.when(F.col("family") == family, F.lit(len(texts)))
+    rows = fixed.union(lines.where("NOT held").select(F.lit(UNKNOWN).alias("family"), "grams"))
+    rows = rows.select("grams", label.alias("label"), (1.0 / share).alias("weight"))
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
     logistic = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4, weightCol="weight", standardization=False, predictionCol="", rawPredictionCol="")
-    model = PipelineModel([hashing, logistic.fit(hashing.transform(stored(rows.coalesce(1))))])
-    held = drawn.where("held").select("words")
-    found = [(r.label, r.p) for r in _classified(model, held, [0.0] * len(TEMPLATES)).select("label", "p").collect()]
-    return model, families, thresholds(found, held.count(), len(TEMPLATES))
+    model = PipelineModel([hashing, logistic.fit(hashing.transform(rows))])
+    # Probabilities are rounded up to whole steps, so no held line counts for less than it got.
+    step = F.ceil(STEPS * F.log(F.col("p") / (1 - F.col("p"))))
+    taken = _classified(model, lines.where("held").select("grams"), [LEAST_PROBABILITY] * len(TEMPLATES))
+    taken = taken.select("label", F.when(F.col("p") < 1, F.least(step, F.lit(40 * STEPS))).otherwise(40 * STEPS).alias("step"))
+    found = [(r.label, 1 / (1 + math.exp(-r.step / STEPS)), r["count"]) for r in taken.groupBy("label", "step").count().collect()]
+    return model, families, thresholds(found, sizes.get(True, 0), len(TEMPLATES))
 
 
 def _classified(model: PipelineModel, rows: DataFrame, least: list[float]) -> DataFrame:
-    """Rows (words, ...) whose most likely family is known and reaches its threshold, with its label and probability p.
+    """Rows (grams, ...) whose most likely family is known and reaches its threshold, with its label and probability p.
 
     One generator per row reads the probabilities once; as a filter the model would run once per mention of its result.
     """
-    out = model.transform(rows.withColumn("grams", _grams(F.col("words"))))
+    out = model.transform(rows)
     best = F.transform(F.array(vector_to_array("probability")), lambda v: F.struct(F.array_max(v).alias("p"), (F.array_position(v, F.array_max(v)) - 1).cast("int").alias("label")))
     best = F.filter(best, lambda b: (b["label"] > 0) & (b["p"] >= F.get(F.array(*map(F.lit, least)), b["label"] - 1)))
     return out.select(*rows.columns, F.inline(best))
@@ -281,19 +318,19 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, family, overlap) for every paragraph of docs (doc_id, text, ...) that grants or reserves rights.
 
     What holds MIN_OVERLAP of the words of a template, on a line or wrapped over several (`paragraphs`), goes as hashed
-    single words and pairs through a multinomial logistic regression over the families and an unknown class (`fit`). The
+    single words and pairs that hold a rarer word of a template through a multinomial logistic regression over the families and an unknown class (`fit`). The
     family it names must be one whose template is held; overlap is the largest such share, in percent, and line_no the
     line where the paragraph begins.
 
-    Built-in functions and the JVM's models only. Every text is judged where it is read; nothing is shuffled, and of the
-    corpus only a sample of fixed size reaches the training. Texts without any of the templates' rarer words, one of
+    Built-in functions and the JVM's models only. Every text is judged where it is read; what is shuffled are the grams of
+    the lines that teach, which all lines with a rarer word of a template do. Texts without any of the templates' rarer words, one of
     which every licence holds that can be confirmed, are passed over.
 
     Defined cases: a null or empty text has no paragraphs; a null doc_id is carried; repeated rows give repeated rows;
     an empty table gives no rows; other columns are ignored.
     """
     model, families, least = fit(docs)
-    found = _classified(model, paragraphs(docs), least)
+    found = _classified(model, paragraphs(docs).withColumn("grams", _grams(F.col("words"))), least)
     named = F.element_at(F.array(*map(F.lit, families)), F.col("label") + 1)
     out = found.select("doc_id", "line_no", named.alias("family"), "near", "nearest").where("family = coalesce(nearest, family)")
     best = F.array_max(F.transform(F.filter(_template_array(), lambda t: t["family"] == F.col("family")), lambda t: _share(t["words"], F.col("near"))))
