@@ -20,7 +20,7 @@ from loglode.functions.text import settle, shorten
 from loglode.functions.text import words as words_of
 from loglode.operators.word_index import CHUNK, KEY, WordIndex, build_words, places_of, rarest_tokens
 from loglode.plans.bounds import shuffled
-from loglode.session import cut_lineage
+from loglode.session import stored
 
 
 class Limits(NamedTuple):
@@ -120,16 +120,23 @@ def partial_groups(
     limits: Limits = Limits(),
 ) -> DataFrame:
     top = partial_keys(queries, found, exact, index, repeat_mixed_case, limits)
-    members = _known(shuffled(postings).join(top, [*index, "error_key"]), chunks, index)
-    first = F.min(F.struct(_order().alias("o"), F.col("chunk_id"))).getField("chunk_id")
-    groups = members.groupBy("query_id", *index, "error_key", "score").agg(
-        F.count(F.lit(1)).alias("n_chunks"), first.alias("first_chunk_id")
+    return _with_excerpt(_key_groups(top, postings, chunks, index), queries, chunks, index)
+
+
+def _key_groups(top: DataFrame, postings: DataFrame, chunks: DataFrame, index: Sequence[str]) -> DataFrame:
+    """(query_id, *index, error_key, score, n_chunks, first_chunk_id): the keys found, with how many chunks hold each and which is first."""
+    asked = top.select("query_id", *index, "error_key", "score")
+    members = _known(shuffled(postings), chunks, index).groupBy(*index, "error_key").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.min(F.struct(_order().alias("o"), F.col("chunk_id"))).getField("chunk_id").alias("first_chunk_id")
     )
-    # Only the first chunks of the groups that are left are fetched.
+    return shuffled(members).join(asked, [*index, "error_key"]).select("query_id", *index, "error_key", "score", "n_chunks", "first_chunk_id")
+
+
+def _with_excerpt(groups: DataFrame, queries: DataFrame, chunks: DataFrame, index: Sequence[str]) -> DataFrame:
+    """Groups of partial matches as results; the code of their first chunks is fetched here and goes no further."""
+    said = shuffled(groups).join(queries.select("query_id", "message", "sig"), "query_id")
     code = shuffled(chunks.select(*index, F.col("chunk_id").alias("first_chunk_id"), "code"))
-    shown = groups.join(queries.select("query_id", "message", "sig"), "query_id").join(
-        code, [*index, "first_chunk_id"]
-    )
+    shown = shuffled(settle(said, "message", "sig")).join(code, [*index, "first_chunk_id"])
     shown = shown.withColumn("excerpt", match_excerpt(F.col("message"), F.col("sig"), F.col("code")))
     excerpt = F.col("excerpt")
     longer = F.length(excerpt) > F.length("error_key")
@@ -191,11 +198,12 @@ def with_chunk_score(rows: DataFrame) -> DataFrame:
 def code_chunks(
     queries: DataFrame, chunks: DataFrame, found: WordIndex, index: Sequence[str] = INDEX, limits: Limits = Limits()
 ) -> DataFrame:
-    """Top chunks per query by content, of the top files by their best chunk."""
+    """Top chunks per query by content, of the top files by their best chunk: ids, path, score and ranks."""
     asked = shuffled(queries.filter(F.size("sig") >= 2))
-    pairs = code_candidates(asked, found, index)
-    rows = shuffled(chunks).join(pairs, [*index, "chunk_id"]).join(asked.select("query_id", "norm", "sig", "message"), "query_id")
-    scored = with_chunk_score(rows).filter(F.col("score") >= MIN_CODE_SCORE)
+    pairs = shuffled(code_candidates(asked, found, index)).join(asked.select("query_id", "norm", "sig"), "query_id")
+    rows = shuffled(settle(pairs, "norm", "sig")).join(shuffled(chunks), [*index, "chunk_id"])
+    # Texts end here: pairs go on with their score only.
+    scored = with_chunk_score(rows).filter(F.col("score") >= MIN_CODE_SCORE).select("query_id", *index, "path", "chunk_id", "score")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     top = scored.withColumn("chunk_rank", F.row_number().over(best))
     if limits.chunks is not None:
@@ -210,31 +218,36 @@ def code_chunks(
 def code_groups(
     queries: DataFrame, chunks: DataFrame, found: WordIndex, index: Sequence[str] = INDEX, limits: Limits = Limits()
 ) -> DataFrame:
-    """Content matches grouped by file."""
+    """Content matches grouped by file, with the ids of their chunks, best first; only the texts of the first ones are fetched."""
     top = code_chunks(queries, chunks, found, index, limits)
+    ranked_ids = F.array_sort(F.collect_list(F.struct("chunk_rank", "chunk_id")))
+    groups = top.groupBy("query_id", *index, "path").agg(
+        F.max("score").alias("score"),
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.transform(ranked_ids, lambda x: x["chunk_id"]).alias("chunk_ids"),
+    )
+    groups = groups.withColumn("first_chunk_id", F.get("chunk_ids", 0))
+    said = shuffled(groups).join(queries.select("query_id", "message", "norm", "sig"), "query_id")
+    texts = shuffled(chunks.select(*index, F.col("chunk_id").alias("first_chunk_id"), "code", "error_messages"))
+    shown = shuffled(settle(said, "message", "norm", "sig")).join(texts, [*index, "first_chunk_id"])
     norm = F.col("norm")
     hit = F.filter("error_messages", lambda e: F.contains(F.lower(e["message"]), norm))
     said = F.get(hit, 0)["message"]
-    top = top.withColumn("excerpt", match_excerpt(F.col("message"), F.col("sig"), F.col("code")))
+    shown = shown.withColumn("excerpt", match_excerpt(F.col("message"), F.col("sig"), F.col("code")))
     excerpt = F.col("excerpt")
     text = F.coalesce(
         F.when(said != "", said), F.when(excerpt != "", excerpt), shorten(F.col("code"), SNIPPET), F.lit("")
     )
-    shown = top.withColumn("text", text)
-    return shown.groupBy("query_id", *index, "path").agg(
-        F.max("score").alias("score"),
-        F.min_by("text", "chunk_rank").alias("matched_text"),
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.min_by("chunk_id", "chunk_rank").alias("first_chunk_id"),
-    ).select(
+    return shown.select(
         "query_id",
         *index,
         F.lit("code_search").alias("match_type"),
         F.concat(F.lit(FILE_LABEL), "path").alias("error_key"),
         "score",
-        "matched_text",
+        text.alias("matched_text"),
         "n_chunks",
         "first_chunk_id",
+        "chunk_ids",
     )
 
 
@@ -251,15 +264,20 @@ def search_index(
 
     ``queries`` has ``query_id``, the index columns and ``message``. ``found`` is the
     stored word index of the chunks (built here where none is given). The groups of the
-    first tiers are stored, since the later tiers ask for them again.
+    first tiers are stored, since the later tiers ask for them again, partial ones without
+    their excerpts: a reader of counts or of other tiers has none cut.
     """
     asked = prepare_queries(queries)
     words = build_words(postings, chunks, index) if found is None else found
-    exact = shuffled(cut_lineage(exact_groups(asked, postings, chunks, index)))
-    partial = partial_groups(asked, postings, chunks, words, exact, index, repeat_mixed_case, limits)
-    keyed = shuffled(cut_lineage(exact.unionByName(partial)))
-    unanswered = asked.join(keyed.select("query_id").distinct(), "query_id", "left_anti")
-    return keyed.unionByName(code_groups(unanswered, chunks, words, index, limits))
+    exact = shuffled(stored(exact_groups(asked, postings, chunks, index).drop("match_type")))
+    top = partial_keys(asked, words, exact, index, repeat_mixed_case, limits)
+    partial = shuffled(stored(_key_groups(top, postings, chunks, index)))
+    answered = exact.select("query_id").union(partial.select("query_id")).distinct()
+    unanswered = shuffled(stored(asked.join(shuffled(answered), "query_id", "left_anti")))
+    exact = exact.withColumn("match_type", F.lit("exact"))
+    content = code_groups(unanswered, chunks, words, index, limits)
+    keyed = exact.unionByName(_with_excerpt(partial, asked, chunks, index))
+    return keyed.unionByName(content, allowMissingColumns=True)
 
 
 def group_chunks(
@@ -274,23 +292,18 @@ def group_chunks(
     """Every chunk of the groups a search returned: (query_id, *index, match_type, error_key, place, chunk_id).
 
     An exact group holds its first chunk; a partial one the chunk of every posting, in
-    their order, repeats kept; a content group the chunks found in its file, best first.
+    their order, repeats kept; a content group the chunks found in its file, best first,
+    as the search listed them, so no tier is asked again.
     """
     columns = ["query_id", *index, "match_type", "error_key"]
     first = results.filter("match_type = 'exact'").select(*columns, F.lit(1).alias("place"), F.col("first_chunk_id").alias("chunk_id"))
     partial = results.filter("match_type = 'partial'").select(*columns)
-    posted = _known(shuffled(postings).join(partial, [*index, "error_key"]), chunks, index)
-    of_key = Window.partitionBy("query_id", *index, "error_key").orderBy(*POSTING_ORDER)
-    posted = posted.select(*columns, F.row_number().over(of_key).alias("place"), "chunk_id")
-    content = results.filter("match_type = 'code_search'").select("query_id").distinct()
-    words = build_words(postings, chunks, index) if found is None else found
-    top = code_chunks(prepare_queries(queries).join(content, "query_id", "left_semi"), chunks, words, index, limits)
-    of_file = Window.partitionBy("query_id", *index, "path").orderBy("chunk_rank")
-    label = F.concat(F.lit(FILE_LABEL), "path")
-    listed = top.select(
-        "query_id", *index, F.lit("code_search").alias("match_type"), label.alias("error_key"),
-        F.row_number().over(of_file).alias("place"), "chunk_id",
-    )
+    # Places are those of the key, the same for every query that found it: ordered once, before the queries come in.
+    of_key = Window.partitionBy(*index, "error_key").orderBy(*POSTING_ORDER)
+    placed = _known(shuffled(postings), chunks, index).select(*index, "error_key", F.row_number().over(of_key).alias("place"), "chunk_id")
+    posted = shuffled(placed).join(partial, [*index, "error_key"]).select(*columns, "place", "chunk_id")
+    content = results.filter("match_type = 'code_search'")
+    listed = content.select(*columns, F.posexplode("chunk_ids").alias("place", "chunk_id")).withColumn("place", F.col("place") + 1)
     return first.unionByName(posted).unionByName(listed)
 
 

@@ -1,10 +1,12 @@
 """Stored word index of chunk indexes: which words hold a token, how frequent they are, where they stand.
 
 A token that occurs anywhere in a text without blanks inside it lies within one of the
-text's words. So a substring search needs no scan of the texts: the grams of a token
-find the words that contain it, and the words their keys or chunks. All rows carry
-machine and version, so a search touches no other index, and a new version adds rows
-without changing those of others.
+text's words. So a substring search needs no scan of the texts: a gram of a token finds
+the words that contain it, and the words their keys or chunks. Grams are cut from the
+stored words when tokens are looked up and take no room; a Bloom filter of the grams (then
+of the words) asked for drops the other rows where they are read, before any shuffle.
+All rows carry machine and version, so a search touches no other index, and a new version
+adds rows without changing those of others.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglode.functions.text import words
+from loglode.operators.substring_join import bloom, might_hold
 from loglode.plans.bounds import shuffled
-from loglode.session import cut_lineage
+from loglode.session import stored
 from loglode.sources.documents import read_index, write_index
 
 INDEX = ("machine_id", "version_id")
@@ -29,7 +32,7 @@ GRAM = 3
 
 class WordIndex(NamedTuple):
     places: DataFrame  # *index, kind, word, id: a row for each distinct word of a key or chunk
-    grams: DataFrame  # *index, kind, gram, word, n_places: a row for each gram of a distinct word
+    words: DataFrame  # *index, kind, word, n_places: a row for each distinct word
 
 
 def searchable_text() -> Column:
@@ -46,39 +49,48 @@ def _grams(word: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*[cut(q) for q in sizes]))
 
 
+def _asked_for(rows: DataFrame, asked: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
+    """Rows whose keys are among those asked for, and a few others: what a Bloom filter lets through where they are read."""
+    key = F.xxhash64(*keys)
+    held, size = bloom(asked.select(key.alias("_key")), "_key", count)
+    return shuffled(rows.filter(might_hold(held, size, key)))
+
+
 def build_words(postings: DataFrame, chunks: DataFrame, index: Sequence[str] = INDEX) -> WordIndex:
     """The index of some chunks and their postings; both of its tables are stored once."""
     keys = postings.select(*index, F.lit(KEY).alias("kind"), F.col("error_key").alias("id"), F.col("error_key").alias("text")).distinct()
     texts = chunks.select(*index, F.lit(CHUNK).alias("kind"), F.col("chunk_id").alias("id"), F.lower(searchable_text()).alias("text"))
     both = keys.unionByName(texts)
-    places = shuffled(cut_lineage(both.select(*index, "kind", F.explode(F.array_distinct(words(F.col("text")))).alias("word"), "id")))
+    places = shuffled(stored(both.select(*index, "kind", F.explode(F.array_distinct(words(F.col("text")))).alias("word"), "id")))
     counted = places.groupBy(*index, "kind", "word").agg(F.count(F.lit(1)).alias("n_places"))
-    grams = counted.select(*index, "kind", F.explode(_grams(F.col("word"), range(1, GRAM + 1))).alias("gram"), "word", "n_places")
-    return WordIndex(places, shuffled(cut_lineage(grams)))
+    return WordIndex(places, shuffled(stored(counted)))
 
 
 def write_words(found: WordIndex, path: str) -> None:
     """Store or update the versions the index holds; those of others stay as they are."""
     write_index(found.places, f"{path}/places")
-    write_index(found.grams, f"{path}/grams")
+    write_index(found.words, f"{path}/words")
 
 
 def read_words(spark: SparkSession, path: str, machine: str | None = None, version: str | None = None) -> WordIndex:
-    return WordIndex(read_index(spark, f"{path}/places", machine, version), read_index(spark, f"{path}/grams", machine, version))
+    return WordIndex(read_index(spark, f"{path}/places", machine, version), read_index(spark, f"{path}/words", machine, version))
 
 
 def words_with(tokens: DataFrame, found: WordIndex, kind: str, index: Sequence[str] = INDEX) -> DataFrame:
     """(*index, token, word, n_places): the words that contain a token, for each distinct token.
 
-    All grams of the token have to occur in the word; what comes through that is verified.
+    A word that contains the token holds any gram of it, so one gram is asked for; what comes through is verified.
     """
+    held = found.words.filter(F.col("kind") == kind).drop("kind")
     size = F.least(F.length("token"), F.lit(GRAM))
-    own = F.when(size == 1, _grams(F.col("token"), [1])).when(size == 2, _grams(F.col("token"), [2])).otherwise(_grams(F.col("token"), [GRAM]))
     distinct = tokens.filter(F.length("token") > 0).select(*index, "token").distinct()
-    asked = distinct.select(*index, "token", F.size(own).alias("_n"), F.explode(own).alias("gram"))
-    held = shuffled(found.grams.filter(F.col("kind") == kind).drop("kind"))
-    hits = asked.join(held, [*index, "gram"]).groupBy(*index, "token", "_n", "word", "n_places").agg(F.count(F.lit(1)).alias("_has"))
-    return hits.filter((F.col("_has") == F.col("_n")) & F.contains("word", F.col("token"))).drop("_n", "_has")
+    asked = shuffled(stored(distinct.select(*index, "token", F.substring("token", -GRAM, GRAM).alias("gram"))))
+    seen = asked.agg(F.count(F.lit(1)).alias("n"), F.collect_set(size).alias("sizes")).first()
+    if not seen["n"]:
+        return held.select(*index, F.lit("").alias("token"), "word", "n_places").filter(F.lit(False))
+    cut = held.select(*index, F.explode(_grams(F.col("word"), sorted(seen["sizes"]))).alias("gram"), "word", "n_places")
+    pairs = asked.join(_asked_for(cut, asked, [*index, "gram"], seen["n"]), [*index, "gram"])
+    return pairs.filter(F.contains("word", F.col("token"))).select(*index, "token", "word", "n_places")
 
 
 def rarest_tokens(tokens: DataFrame, found: WordIndex, kind: str, take: Column, index: Sequence[str] = INDEX) -> DataFrame:
@@ -87,7 +99,7 @@ def rarest_tokens(tokens: DataFrame, found: WordIndex, kind: str, take: Column,
     ``tokens`` has query_id, the index columns, token, token_pos and the columns `take` needs. Adds ``absent``, the
     number of the query's tokens that no word contains; they are the rarest and find nothing.
     """
-    held = words_with(tokens, found, kind, index)
+    held = shuffled(stored(words_with(tokens, found, kind, index)))
     counted = held.groupBy(*index, "token").agg(F.sum("n_places").alias("n"))
     own = shuffled(tokens).join(counted, [*index, "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     of_query = Window.partitionBy("query_id", *index)
@@ -103,5 +115,6 @@ def rarest_tokens(tokens: DataFrame, found: WordIndex, kind: str, take: Column,
 
 def places_of(picked: DataFrame, found: WordIndex, kind: str, index: Sequence[str] = INDEX) -> DataFrame:
     """(query_id, *index, id) of the keys or chunks that hold a picked word."""
-    held = shuffled(found.places.filter(F.col("kind") == kind).drop("kind"))
-    return picked.select("query_id", *index, "word").distinct().join(held, [*index, "word"]).select("query_id", *index, "id").distinct()
+    asked = shuffled(stored(picked.select("query_id", *index, "word").distinct()))
+    held = found.places.filter(F.col("kind") == kind).drop("kind")
+    return asked.join(_asked_for(held, asked, [*index, "word"], asked.count()), [*index, "word"]).select("query_id", *index, "id").distinct()

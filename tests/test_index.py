@@ -298,3 +298,37 @@ def test_deletions_take_what_belongs_to_them(spark, tmp_path):
     target = str(tmp_path / "target")
     assert load.compact(spark, path, target, "2024-01-05 00:00:00").count() == 2
     assert load.loaded(spark, target, "chunks").count() == 6 and load.commits(spark, target).select("load").distinct().count() == 1
+
+
+def folder_bytes(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from loglode.session import shared_folder
+
+    walked = os.walk(urlparse(shared_folder(spark)).path)
+    return sum(os.path.getsize(os.path.join(folder, f)) for folder, _, files in walked for f in files)
+
+
+def test_a_word_index_takes_little_more_room_than_its_texts(spark):
+    rng = random.Random(4)
+    code = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(1000))
+    chunks = spark.createDataFrame([("m", "v", "c1", "a.py", 1, "f", code, None, None, [("Bad value", "E", "logging")])], CHUNKS)
+    postings, before = error_postings(chunks, KEY), folder_bytes(spark)
+    found = build_words(postings, chunks)
+    assert folder_bytes(spark) - before < 3 * len(code)
+    tokens = spark.createDataFrame([("m", "v", code[3:30])], "machine_id string, version_id string, token string")
+    assert [(r["word"], r["n_places"]) for r in words_with(tokens, found, "chunk").collect()] == [(code[:40], 1)]
+
+
+def test_group_chunks_asks_no_tier_again(spark, monkeypatch):
+    from loglode.operators import index_search as S
+
+    asked, tier = [], S.code_chunks
+    monkeypatch.setattr(S, "code_chunks", lambda *a, **k: [asked.append(1), tier(*a, **k)][1])
+    chunks, postings = small_index(spark)
+    queries = ask(spark, "socket connect host")
+    words = build_words(postings, chunks)
+    members = group_chunks(search_index(queries, postings, chunks, words), queries, postings, chunks, words)
+    assert [(r["place"], r["chunk_id"]) for r in members.orderBy("place").collect()] == [(1, "chunk_001"), (2, "chunk_002")]
+    assert len(asked) == 1
