@@ -247,3 +247,17 @@ def test_blocks_that_say_the_same_share_one_enriched_match(spark, monkeypatch):
     found = analyze(blocks, files, max_results=None)
     assert sorted((r["block_id"], r["line_no"], r["name"], r["component"]) for r in found.collect()) == sorted((f"b{i}", 2, "f", "Per") for i in range(50))
     assert sizes[-1] == 1
+
+
+def test_equal_blocks_are_parsed_once_and_meet_matches_in_lists(spark, monkeypatch):
+    from loglode.plans import analyze as P
+
+    block = "2025-12-19T05:22:06+11:00 RS1 K0: <E> [#4] Per: boom happened here\n"
+    blocks = spark.createDataFrame([(f"b{i}", block) for i in range(300)] + [("c", "x"), ("d", None)], "block_id string, text string")
+    files = spark.createDataFrame([(f"m{i}.py", "def f():\n    log('boom happened here')\n") for i in range(40)], "path string, text string")
+    seen, parse = [], P.analyze_blocks
+    monkeypatch.setattr(P, "analyze_blocks", lambda df: [seen.append(df.count()), parse(df)][1])
+    monkeypatch.setattr(P, "SLICE", 50)
+    found = analyze(blocks, files, max_results=None)
+    assert sorted((r["block_id"], r["path"], r["level"]) for r in found.collect()) == sorted((f"b{i}", f"m{j}.py", "E") for i in range(300) for j in range(40))
+    assert seen == [2]
