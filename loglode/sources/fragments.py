@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from loglode import schemas
 from loglode.operators.chunks import SCHEMA_VERSION
+from loglode.session import path_exists, stored
 from loglode.sources.documents import CHUNK_FIELDS, INDEX_KEYS, parse_documents, with_violations
 
 HEAD, CHUNK, POSTING = "head", "chunk", "posting"
 LINES = "machine_id string, version_id string, part string, place struct<part: int, key: string, path: string, fn_seq: int, pos: int>, json string"
 _NULLS = {"ignoreNullFields": "false"}
+#: Folders of a machine: a folder a version would be as many renames and listings as there are versions.
+FOLDERS, FOLDER = 64, "versions"
 
 
 def _place(part: int, key: Column, path: Column, fn_seq: Column, pos: Column) -> Column:
@@ -77,15 +80,36 @@ def fragment_postings(fragments: DataFrame, keys: Sequence[str] = INDEX_KEYS) ->
     return rows.select(*keys, "p.*", F.col("place.path").alias("path"), F.col("place.fn_seq").alias("fn_seq"), F.col("place.pos").alias("error_pos"))
 
 
+def _folder(version: Column) -> Column:
+    return F.pmod(F.xxhash64(version), F.lit(FOLDERS)).cast("int").alias(FOLDER)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{LINES}, {FOLDER} int").json(path)
+
+
 def write_fragments(fragments: DataFrame, path: str, keys: Sequence[str] = INDEX_KEYS) -> None:
-    """JSON lines in a folder per version, in the order of the document; a large version is many files, in order by name."""
-    dealt = fragments.repartitionByRange(*keys, "place").sortWithinPartitions(*keys, "place")
-    dealt.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+    """JSON lines, a machine's versions dealt over a fixed number of folders, each in the order of its document.
+
+    Many files of a folder are in order by name. What is written replaces its versions; the others that share their
+    folders are written again with them.
+    """
+    spark, (machine, version) = fragments.sparkSession, keys
+    rows = fragments.withColumn(FOLDER, _folder(F.col(version)))
+    if path_exists(spark, path):
+        rows = stored(rows)
+        kept = _read(spark, path).join(rows.select(machine, FOLDER).distinct(), [machine, FOLDER], "left_semi")
+        rows = rows.unionByName(kept.join(rows.select(*keys).distinct(), list(keys), "left_anti"))
+    order = [machine, FOLDER, version, "place"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.partitionBy(machine, FOLDER).mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 
 
 def read_fragments(spark: SparkSession, path: str, machine: str | None = None, version: str | None = None) -> DataFrame:
-    """Fragments as written; machine and version prune folders, so one version's download reads only its own."""
-    rows = spark.read.schema(LINES).json(path)
+    """Fragments as written; machine and version prune folders, so one version's download reads one folder of each machine."""
+    rows = _read(spark, path)
     if machine is not None:
         rows = rows.filter(F.col("machine_id") == machine)
-    return rows if version is None else rows.filter(F.col("version_id") == version)
+    if version is not None:
+        rows = rows.filter((F.col(FOLDER) == _folder(F.lit(version))) & (F.col("version_id") == version))
+    return rows.drop(FOLDER)

@@ -332,3 +332,16 @@ def test_group_chunks_asks_no_tier_again(spark, monkeypatch):
     members = group_chunks(search_index(queries, postings, chunks, words), queries, postings, chunks, words)
     assert [(r["place"], r["chunk_id"]) for r in members.orderBy("place").collect()] == [(1, "chunk_001"), (2, "chunk_002")]
     assert len(asked) == 1
+
+
+def test_fragments_of_many_versions_share_folders(spark, tmp_path):
+    path, one = str(tmp_path / "f"), fragments_of(spark, ["v"])
+    heads = one.filter("part = 'head'").crossJoin(spark.range(300).select(F.concat(F.lit("v"), "id").alias("other")))
+    many = heads.withColumn("version_id", F.col("other")).select(*one.columns)
+    write_fragments(many.repartition(1), path)
+    assert 32 < len([f for f in (tmp_path / "f" / "machine_id=m").iterdir() if f.is_dir()]) <= 64
+    assert [r["version_id"] for r in read_fragments(spark, path, "m", "v17").collect()] == ["v17"]
+    # a version written again is replaced, alone
+    write_fragments(one.withColumn("version_id", F.lit("v17")), path)
+    counts = {r["version_id"]: r["count"] for r in read_fragments(spark, path).groupBy("version_id").count().collect()}
+    assert counts == {f"v{i}": 8 if i == 17 else 1 for i in range(300)}
